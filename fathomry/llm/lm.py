@@ -135,7 +135,7 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 def _bits_of(hashes: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     """The bit of each of the probes of n-grams at one level, within a segment of `bits` bits."""
-    a = common.mix64(hashes ^ (np.uint64(level) * np.uint64(0xA0761D6478BD642F)))
+    a = common.mix64(hashes ^ np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
     b = common.mix64(a) | np.uint64(1)
     for k in range(PROBES):
         yield ((a + np.uint64(k) * b) >> np.uint64(20)) % np.uint64(bits)
