@@ -5,15 +5,949 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as fx
+from .operators import aggregates as agg
+from .operators import graph, joins, lookup, ranking, vector
+from .plans import projections as p
+from .streaming import changes
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(*parts: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; `parts` are the CTEs and the SELECT of its SQL."""
 
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if parts:
+            ctes = ", ".join(parts[:-1])
+            recursive = "RECURSIVE " if "UNION" in ctes and "(id" in ctes else ""
+            _SQL[f.__name__] = (f"WITH {recursive}{ctes} " if ctes else "") + parts[-1]
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+S, E, C, M, V = p.SYMBOLS, p.EDGES, p.CHUNKS, p.MESSAGES, p.VECTORS
+SYMBOL_COLUMNS = "id, name, kind, language, line, path, module, visibility, weight"
+QV = "q AS (SELECT v AS q FROM vectors WHERE id = 1)"
+COS = "list_cosine_similarity(v, q)"
+
+
+def _q(spark: SparkSession, sf: str) -> DataFrame:
+    return p.vectors(spark, sf).where("id = 1").select(F.col("v").alias("q"))
+
+
+# scans
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols")
+def scan_symbols(spark, sf):
+    return p.symbols(spark, sf)
+
+
+@query(E, "SELECT src, dst, kind, line FROM edges")
+def scan_edges(spark, sf):
+    return p.edges(spark, sf)
+
+
+@query(E, "SELECT src, dst, line FROM edges WHERE kind = 'Calls'")
+def scan_edges_by_kind(spark, sf):
+    return p.edges(spark, sf).where("kind = 'Calls'").select("src", "dst", "line")
+
+
+@query("SELECT page_id, url AS path, sha256(html) AS hash, CAST(length(html) AS INT) AS n_chars FROM pages")
+def scan_files(spark, sf):
+    return p.table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.sha2("html", 256).alias("hash"), F.length("html").alias("n_chars"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
+def scan_imports(spark, sf):
+    return p.table(spark, sf, "pages").select("page_id", F.explode(fx.links(F.col("html"))).alias("target"))
+
+
+@query(V, "SELECT id, segment, len(v) AS dimension, round(list_sum(v), 6) AS total FROM vectors")
+def scan_vectors(spark, sf):
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return p.vectors(spark, sf).select("id", "segment", F.size("v").cast("long").alias("dimension"), F.round(total, 6).alias("total"))
+
+
+@query(V, "SELECT id, segment FROM vectors WHERE id IN (3, 5, 8, 13, 21, 34, 55)")
+def scan_vectors_by_id(spark, sf):
+    return p.vectors(spark, sf).where(F.col("id").isin(3, 5, 8, 13, 21, 34, 55)).select("id", "segment")
+
+
+@query(V, "s AS (SELECT id % 50 AS id, segment, id AS n FROM vectors)", "SELECT id, min(segment) AS segment FROM s GROUP BY id")
+def scan_segmented_vectors(spark, sf):
+    rows = p.vectors(spark, sf).select((F.col("id") % 50).alias("id"), "segment", F.col("id").alias("n"))
+    return rows.groupBy("id").agg(F.min_by("segment", "segment").alias("segment"))
+
+
+@query(M, "SELECT id, thread, line, role, sha256(text) AS hash FROM messages")
+def scan_transcripts(spark, sf):
+    return p.messages(spark, sf).select("id", "thread", "line", "role", F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def scan_json_properties(spark, sf):
+    return p.events(spark, sf).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS hash FROM documents")
+def scan_file_content(spark, sf):
+    return p.table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("hash"))
+
+
+# filters and projections
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols WHERE kind = 'ECONOMY' AND language = 'Brand#7' AND module = 'economy.3'")
+def filter_kind_module_lang(spark, sf):
+    return p.symbols(spark, sf).where("kind = 'ECONOMY' and language = 'Brand#7' and module = 'economy.3'")
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols WHERE path = 'Brand#1/large' OR starts_with(path, 'Brand#1/large/')")
+def filter_path_scope(spark, sf):
+    return p.symbols(spark, sf).where(fx.in_prefix(F.col("path"), "./Brand#1//large/"))
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols WHERE lower(kind) = 'small' AND lower(visibility) = 'public'")
+def filter_facets(spark, sf):
+    return lookup.facets(p.symbols(spark, sf), {"kind": "Small", "visibility": "PUBLIC"})
+
+
+@query(C, "SELECT chunk_id FROM chunks WHERE collection = 'fr' AND source_path = 'src1'")
+def filter_doc_scope(spark, sf):
+    return p.chunks(spark, sf).where("collection = 'fr' and source_path = 'src1'").select("chunk_id")
+
+
+@query(C, "SELECT chunk_id, 1.0::DOUBLE AS score FROM chunks WHERE contains(content, 'MIT License')")
+def filter_literal(spark, sf):
+    return p.chunks(spark, sf).where(F.col("content").contains("MIT License")).select("chunk_id", F.lit(1.0).alias("score"))
+
+
+@query(V, QV, f"SELECT id, round({COS}, 6) AS score FROM vectors, q WHERE {COS} >= 0.25")
+def filter_score_floor(spark, sf):
+    return vector.scored(p.vectors(spark, sf), _q(spark, sf)).where("score >= 0.25").withColumn("score", F.round("score", 6))
+
+
+@query(V, QV, f"t AS (SELECT id, {COS} AS score FROM vectors, q ORDER BY score DESC, id LIMIT 20)", "SELECT id, round(score, 6) AS score FROM t WHERE score >= 0.3")
+def filter_threshold(spark, sf):
+    return vector.top(vector.scored(p.vectors(spark, sf), _q(spark, sf)), 20).where("score >= 0.3").withColumn("score", F.round("score", 6))
+
+
+@query(S, "SELECT id, name FROM symbols WHERE id IN (SELECT * FROM range(0, 200, 7))")
+def filter_id_set(spark, sf):
+    return p.symbols(spark, sf).where(F.col("id").isin(*range(0, 200, 7))).select("id", "name")
+
+
+@query(S, "SELECT id, name FROM symbols WHERE id = 42 AND language = (SELECT language FROM symbols WHERE id = 42)")
+def filter_id_lang(spark, sf):
+    s = p.symbols(spark, sf)
+    own = s.where("id = 42").select("language")
+    return s.where("id = 42").join(own, "language").select("id", "name")
+
+
+@query(C, "seen AS (SELECT DISTINCT source_path FROM chunks WHERE chunk_id < 10)", "SELECT chunk_id, source_path FROM chunks WHERE source_path NOT IN (SELECT source_path FROM seen)")
+def filter_exclude_sources(spark, sf):
+    c = p.chunks(spark, sf)
+    return c.join(c.where("chunk_id < 10").select("source_path").distinct(), "source_path", "left_anti").select("chunk_id", "source_path")
+
+
+@query(S, "SELECT id FROM symbols WHERE 20 BETWEEN line AND line + 5")
+def pred_range_contains(spark, sf):
+    ranges = p.symbols(spark, sf).select("id", F.col("line").alias("start_line"), (F.col("line") + 5).alias("end_line"))
+    return lookup.contains_position(ranges, 20).select("id")
+
+
+@query(S, "SELECT id FROM symbols WHERE path = 'Brand#3/promo/f2' OR module = 'promo.2' OR starts_with(module, 'promo.2.') OR starts_with('promo.2', module || '.') OR visibility = 'Public'")
+def pred_visibility(spark, sf):
+    return lookup.visible_from(p.symbols(spark, sf), "Brand#3/promo/f2", "promo.2").select("id")
+
+
+@query(S, "SELECT id, kind IN ('ECONOMY', 'PROMO') AS structural, kind = 'SMALL' AS member FROM symbols")
+def pred_kind_sets(spark, sf):
+    return p.symbols(spark, sf).select("id", F.col("kind").isin("ECONOMY", "PROMO").alias("structural"), (F.col("kind") == "SMALL").alias("member"))
+
+
+@query(E, "SELECT src, dst, line, kind IN ('Calls', 'Uses', 'References') AS is_usage, kind IN ('Implements', 'Extends') AS is_hierarchical FROM edges")
+def pred_usage_hier(spark, sf):
+    kind = F.col("kind")
+    return p.edges(spark, sf).select("src", "dst", "line", kind.isin("Calls", "Uses", "References").alias("is_usage"), kind.isin("Implements", "Extends").alias("is_hierarchical"))
+
+
+@query("SELECT page_id, contains(url, '/fr/') AS is_french, regexp_matches(url, '\\?') AS has_query FROM pages")
+def pred_paths(spark, sf):
+    return p.table(spark, sf, "pages").select("page_id", F.col("url").contains("/fr/").alias("is_french"), F.col("url").rlike(r"\?").alias("has_query"))
+
+
+@query(S, "SELECT id, line + 1 AS line FROM symbols")
+def proj_lines(spark, sf):
+    return p.symbols(spark, sf).select("id", (F.col("line") + 1).alias("line"))
+
+
+@query(S, "SELECT id, unnest(['kind', 'visibility', 'language']) AS facet, unnest([kind, visibility, language]) AS value FROM symbols")
+def proj_facets(spark, sf):
+    return lookup.facet_rows(p.symbols(spark, sf))
+
+
+# lookups
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols WHERE name = 'red widget'")
+def lookup_name(spark, sf):
+    return lookup.by_name(p.symbols(spark, sf), "red widget")
+
+
+@query(S, "f AS (SELECT * FROM symbols WHERE name = 'red widget')", "r AS (SELECT *, row_number() OVER (ORDER BY path, line, id) AS position FROM f)", "SELECT id, path, line, position::INT AS position, (SELECT count(*) FROM f) AS total FROM r WHERE position BETWEEN 6 AND 15")
+def lookup_name_page(spark, sf):
+    return lookup.page(p.symbols(spark, sf).where("name = 'red widget'"), 10, 5).select("id", "path", "line", "position", "total")
+
+
+@query(S, "f AS (SELECT * FROM symbols WHERE name = 'red widget' AND visibility = 'Public')", "r AS (SELECT *, row_number() OVER (ORDER BY path, line, id) AS position FROM f)", "SELECT id, path, line, position::INT AS position, (SELECT count(*) FROM f) AS total FROM r WHERE position BETWEEN 3 AND 6")
+def lookup_name_filtered_page(spark, sf):
+    return lookup.page(p.symbols(spark, sf).where("name = 'red widget' and visibility = 'Public'"), 4, 2).select("id", "path", "line", "position", "total")
+
+
+@query(S, f"SELECT {SYMBOL_COLUMNS} FROM symbols WHERE name = 'cold ring' AND (module = 'small.4' OR ends_with(module, '.small.4'))")
+def lookup_dotted(spark, sf):
+    return lookup.dotted(p.symbols(spark, sf), "small.4.cold ring")
+
+
+@query(S, "SELECT id, 'found' AS status FROM symbols WHERE id = 77")
+def lookup_id_or_name(spark, sf):
+    return lookup.id_or_name(p.symbols(spark, sf), "symbol_id:77").select("id", "status")
+
+
+@query(S, "SELECT id, name FROM symbols WHERE path = 'Brand#5/medium/f1'")
+def lookup_by_file(spark, sf):
+    return p.symbols(spark, sf).where("path = 'Brand#5/medium/f1'").select("id", "name")
+
+
+@query(S, "SELECT id, name FROM symbols WHERE module = 'medium.1'")
+def lookup_by_module(spark, sf):
+    return p.symbols(spark, sf).where("module = 'medium.1'").select("id", "name")
+
+
+@query(S, "SELECT id, name FROM symbols WHERE name = 'old bolt' AND line BETWEEN 10 AND 20")
+def lookup_name_range(spark, sf):
+    return p.symbols(spark, sf).where("name = 'old bolt' and line between 10 and 20").select("id", "name")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id = 7")
+def lookup_file_info(spark, sf):
+    return p.table(spark, sf, "pages").where("page_id = 7").select("page_id", "url")
+
+
+@query(S, "SELECT id, path FROM symbols WHERE starts_with(path, 'Brand#9/')")
+def lookup_inventory(spark, sf):
+    return lookup.inventory(p.symbols(spark, sf), fx.in_prefix(F.col("path"), "Brand#9"), 100_000).select("id", "path")
+
+
+@query(C, "l AS (SELECT chunk_id, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS n FROM chunks WHERE chunk_id = 3)", "SELECT chunk_id, n::INT AS n, line FROM l WHERE n BETWEEN 1 AND 4")
+def lookup_chunk(spark, sf):
+    lines = p.chunks(spark, sf).where("chunk_id = 3").select("chunk_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    return lines.where("n between 1 and 4")
+
+
+@query(M, "SELECT id, role, text FROM messages WHERE id = 3000")
+def lookup_message(spark, sf):
+    return p.messages(spark, sf).where("id = 3000").select("id", "role", "text")
+
+
+@query(S, "c AS (SELECT name, count(*) AS n, min(id) AS id FROM symbols WHERE language = 'Brand#2' GROUP BY name)", "SELECT name, id FROM c WHERE n = 1")
+def lookup_knode(spark, sf):
+    return joins.exactly_one(p.symbols(spark, sf).where("language = 'Brand#2'").select("name", "id"), "name")
+
+
+# joins
+
+
+@query(S, E, "SELECT e.src, e.dst, e.kind, e.line, s.name FROM edges e JOIN symbols s ON e.dst = s.id")
+def join_hydrate(spark, sf):
+    return joins.hydrate(p.edges(spark, sf), p.symbols(spark, sf).select("id", "name")).select("src", "dst", "kind", "line", "name")
+
+
+@query(S, "w AS (SELECT range AS position, (range * 37) % 211 AS id FROM range(100))", "SELECT CAST(position AS BIGINT) AS position, CAST(w.id AS BIGINT) AS id, name FROM w JOIN symbols s ON s.id = w.id")
+def join_hydrate_ordered(spark, sf):
+    wanted = spark.range(100).select(F.col("id").alias("position"), (F.col("id") * 37 % 211).alias("id"))
+    return joins.hydrate_ordered(wanted, p.symbols(spark, sf).select("id", "name")).select("position", "id", "name")
+
+
+@query(S, E, "SELECT src, dst, kind, line FROM edges WHERE src IN (SELECT id FROM symbols WHERE starts_with(path, 'Brand#4/'))")
+def join_scope_semi(spark, sf):
+    inside = p.symbols(spark, sf).where(fx.in_prefix(F.col("path"), "Brand#4")).select(F.col("id").alias("src"))
+    return p.edges(spark, sf).join(inside, "src", "left_semi").select("src", "dst", "kind", "line")
+
+
+@query(S, E, "k AS (SELECT * FROM symbols WHERE id % 10 <> 3)", "SELECT e.src, e.dst, e.kind, e.line, a.name AS from_name, b.name AS to_name, a.name IS NULL OR b.name IS NULL AS orphan FROM edges e LEFT JOIN k a ON a.id = e.src LEFT JOIN k b ON b.id = e.dst")
+def join_dump_endpoints(spark, sf):
+    return joins.dump_endpoints(p.edges(spark, sf), p.symbols(spark, sf).where("id % 10 <> 3")).select("src", "dst", "kind", "line", "from_name", "to_name", "orphan")
+
+
+CALLS = "calls AS (SELECT id AS call_id, name, path, module, language, CAST((line * 7) % 50 AS INT) AS line FROM symbols WHERE id % 3 = 0)"
+
+
+def _calls(spark, sf):
+    return p.symbols(spark, sf).where("id % 3 = 0").select(F.col("id").alias("call_id"), "name", "path", "module", "language", (F.col("line") * 7 % 50).alias("line"))
+
+
+@query(S, CALLS, "SELECT c.call_id, s.id AS target FROM calls c JOIN symbols s ON s.name = c.name AND s.path = c.path")
+def join_local_tier(spark, sf):
+    s = p.symbols(spark, sf).select(F.col("id").alias("target"), "name", "path")
+    return _calls(spark, sf).join(s, ["name", "path"]).select("call_id", "target")
+
+
+@query(S, CALLS, "c AS (SELECT c.call_id, s.id AS target, count(*) OVER (PARTITION BY c.call_id) AS n FROM calls c JOIN symbols s ON s.name = c.name AND s.language = c.language AND s.visibility = 'Public')", "SELECT call_id, target FROM c WHERE n = 1")
+def join_language_tier(spark, sf):
+    s = p.symbols(spark, sf).where("visibility = 'Public'").select(F.col("id").alias("target"), "name", "language")
+    return joins.exactly_one(_calls(spark, sf).join(s, ["name", "language"]).select("call_id", "target"), "call_id")
+
+
+@query(
+    S,
+    CALLS,
+    "cand AS (SELECT c.call_id, c.line, s.id AS target, s.line AS def_line, CASE WHEN s.path = c.path THEN 0 WHEN s.module = c.module THEN 1 ELSE 2 END AS tier FROM calls c JOIN symbols s ON s.name = c.name AND s.language = c.language)",
+    "best AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY call_id) AS low FROM cand) WHERE tier = low)",
+    "num AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN def_line <= line THEN 0 ELSE 1 END, CASE WHEN def_line <= line THEN -def_line ELSE 0 END, def_line, target) AS k FROM best)",
+    "SELECT call_id, target, tier FROM num WHERE (tier = 0 AND k = 1) OR (tier > 0 AND n = 1)",
+)
+def join_disambiguate(spark, sf):
+    return joins.tiered(_calls(spark, sf), p.symbols(spark, sf))
+
+
+@query(S, CALLS, "r AS (SELECT c.call_id, s.line AS def_line, s.id AS target, row_number() OVER (PARTITION BY c.call_id ORDER BY s.line DESC, s.id) AS k FROM calls c JOIN symbols s ON s.module = c.module AND s.line <= c.line)", "SELECT call_id, def_line, target FROM r WHERE k = 1")
+def join_asof_closest(spark, sf):
+    return joins.asof_closest(_calls(spark, sf), p.symbols(spark, sf), "module")
+
+
+@query(
+    "r AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderkey % 1000 AS lo, o_orderkey % 1000 + 40 + o_orderkey % 7 AS hi FROM orders)",
+    "pts AS (SELECT c_custkey AS point, c_custkey AS k, (c_custkey * 13) % 1040 AS spot FROM customer)",
+    "m AS (SELECT point, r.id AS range_id, row_number() OVER (PARTITION BY point ORDER BY lo DESC, hi, r.id) AS n FROM pts JOIN r ON r.k = pts.k AND spot BETWEEN lo AND hi)",
+    "SELECT point, range_id FROM m WHERE n = 1",
+)
+def join_range_enclosing(spark, sf):
+    n = F.col("o_orderkey")
+    ranges = p.table(spark, sf, "orders").select(n.alias("id"), F.col("o_custkey").alias("k"), (n % 1000).alias("lo"), (n % 1000 + 40 + n % 7).alias("hi"))
+    points = p.table(spark, sf, "customer").select(F.col("c_custkey").alias("point"), F.col("c_custkey").alias("k"), (F.col("c_custkey") * 13 % 1040).alias("at"))
+    return joins.enclosing(points, ranges, "k", 64)
+
+
+HAVE = "have AS (SELECT DISTINCT c_custkey AS type, o_orderpriority AS member FROM customer JOIN orders ON o_custkey = c_custkey)"
+NEED = "need AS (SELECT DISTINCT n_nationkey % 5 AS interface, o_orderpriority AS member FROM nation JOIN orders ON o_orderkey % 25 = n_nationkey WHERE o_orderkey < 20)"
+
+
+@query(HAVE, NEED, "sz AS (SELECT interface, count(*) AS size FROM need GROUP BY interface)", "SELECT type, interface FROM have JOIN need USING (member) JOIN sz USING (interface) GROUP BY type, interface, size HAVING count(*) = size")
+def join_implements_division(spark, sf):
+    o = p.table(spark, sf, "orders")
+    have = o.select(F.col("o_custkey").alias("type"), F.col("o_orderpriority").alias("member"))
+    n = p.table(spark, sf, "nation")
+    need = o.where("o_orderkey < 20").join(n, F.col("o_orderkey") % 25 == F.col("n_nationkey")).select((F.col("n_nationkey") % 5).alias("interface"), F.col("o_orderpriority").alias("member"))
+    return joins.implements_division(have, need)
+
+
+OLD = "old AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 11 <> 0)"
+LIVE = "live AS (SELECT CASE WHEN doc_id % 13 = 0 THEN doc_id + 1000000 ELSE doc_id END AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0)"
+
+
+def _snapshots(spark, sf):
+    d, n = p.table(spark, sf, "documents"), F.col("doc_id")
+    old = d.where("doc_id % 11 <> 0").select(n.alias("path"), F.sha2("text", 256).alias("hash"))
+    text = F.when(n % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    live = d.where("doc_id % 7 <> 0").select(F.when(n % 13 == 0, n + 1000000).otherwise(n).alias("path"), F.sha2(text, 256).alias("hash"))
+    return old, live
+
+
+STATUS = "CASE WHEN o.path IS NULL THEN 'new' WHEN l.path IS NULL THEN '{}' WHEN o.hash = l.hash THEN 'unchanged' ELSE 'changed' END"
+
+
+@query(OLD, LIVE, f"SELECT coalesce(o.path, l.path) AS path, {STATUS.format('removed')} AS status FROM old o FULL JOIN live l ON o.path = l.path")
+def join_change_detect(spark, sf):
+    return joins.detect_changes(*_snapshots(spark, sf))
+
+
+@query(OLD, LIVE, f"d AS (SELECT coalesce(o.path, l.path) AS path, {STATUS.format('missing')} AS status FROM old o FULL JOIN live l ON o.path = l.path)", "SELECT path, status, (SELECT count(*) FROM d) > 100 AS truncated FROM d ORDER BY path LIMIT 100")
+def join_drift(spark, sf):
+    return joins.drift(*_snapshots(spark, sf), 100)
+
+
+@query(
+    OLD,
+    LIVE,
+    "gone AS (SELECT * FROM old WHERE path NOT IN (SELECT path FROM live))",
+    "fresh AS (SELECT * FROM live WHERE path NOT IN (SELECT path FROM old))",
+    "a AS (SELECT hash, min(path) AS old_path FROM gone GROUP BY hash HAVING count(*) = 1)",
+    "b AS (SELECT hash, min(path) AS new_path FROM fresh GROUP BY hash HAVING count(*) = 1)",
+    "SELECT old_path, new_path FROM a JOIN b USING (hash)",
+)
+def join_rename_pairs(spark, sf):
+    old, live = _snapshots(spark, sf)
+    return joins.rename_pairs(old.join(live, "path", "left_anti"), live.join(old, "path", "left_anti"))
+
+
+@query("m AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text))", "SELECT doc_id, item_id FROM m WHERE n = 1")
+def join_mentions(spark, sf):
+    d = p.table(spark, sf, "documents").select("doc_id", "text")
+    b = p.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("label"))
+    return joins.mentions(d, b, F.col("text").contains(F.col("label")), ("doc_id", "item_id"))
+
+
+@query(
+    S,
+    E,
+    *[f"{n} AS (SELECT DISTINCT src AS {a}, dst AS {b} FROM edges WHERE kind = '{k}')" for n, k, a, b in (("refs", "References", "caller", "wanted"), ("impl", "Implements", "type", "interface"), ("own1", "Defines", "interface", "wanted"), ("own2", "Defines", "type", "method"))],
+    "SELECT DISTINCT caller, method FROM refs JOIN own1 USING (wanted) JOIN impl USING (interface) JOIN own2 USING (type) JOIN symbols a ON a.id = wanted JOIN symbols b ON b.id = method WHERE a.kind = b.kind AND method <> wanted",
+)
+def join_dispatch_candidates(spark, sf):
+    return joins.dispatch_candidates(p.edges(spark, sf), p.symbols(spark, sf).select("id", F.col("kind").alias("name")))
+
+
+@query("x AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 10 = 0 THEN 'root' || c_custkey ELSE CAST(c_custkey - c_custkey % 4 - CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS VARCHAR) END AS refers_to FROM customer)",
+       "r(id, t, d) AS (SELECT CAST(name AS VARCHAR), refers_to, 0 FROM x UNION ALL SELECT r.id, x.refers_to, d + 1 FROM r JOIN x ON CAST(x.name AS VARCHAR) = r.t WHERE d < 8)",
+       "SELECT id AS name, t AS target FROM r WHERE t NOT IN (SELECT CAST(name AS VARCHAR) FROM x)")
+def join_reexport_fixpoint(spark, sf):
+    n = F.col("c_custkey")
+    refers = F.when(n % 10 == 0, F.concat(F.lit("root"), n.cast("string"))).otherwise((n - n % 4 - F.when(n % 4 == 0, 2).otherwise(0)).cast("string"))
+    return joins.reexports(p.table(spark, sf, "customer").select(n.cast("string").alias("name"), refers.alias("refers_to")))
+
+
+@query(E, S, "SELECT DISTINCT s.path FROM edges e JOIN symbols s ON s.id = e.src JOIN symbols t ON t.id = e.dst WHERE starts_with(t.path, 'Brand#6/') AND NOT starts_with(s.path, 'Brand#6/')")
+def join_inbound_callers(spark, sf):
+    s = p.symbols(spark, sf)
+    into = s.where(fx.in_prefix(F.col("path"), "Brand#6")).select(F.col("id").alias("dst"))
+    callers = p.edges(spark, sf).join(into, "dst", "left_semi").select(F.col("src").alias("id"))
+    return s.join(callers, "id", "left_semi").where(~fx.in_prefix(F.col("path"), "Brand#6")).select("path").distinct()
+
+
+@query("a AS (SELECT c_custkey, n_name AS label, c_mktsegment AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 60)", "b AS (SELECT s_suppkey, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
+       "m AS (SELECT c_custkey, s_suppkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM a JOIN b USING (label))", "SELECT c_custkey, CASE WHEN n = 1 THEN min(s_suppkey) ELSE -1 END AS provider, n AS candidates FROM m GROUP BY c_custkey, n")
+def join_contract_consumers(spark, sf):
+    a = p.table(spark, sf, "customer").where("c_custkey < 60").select("c_custkey", F.col("c_nationkey").alias("k"))
+    b = p.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
+    m = a.join(b, "k").groupBy("c_custkey").agg(F.count("*").alias("candidates"), F.min("s_suppkey").alias("first"))
+    return m.select("c_custkey", F.when(F.col("candidates") == 1, F.col("first")).otherwise(-1).alias("provider"), "candidates")
+
+
+@query(OLD, LIVE, "SELECT o.path, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.hash = o.hash THEN 'matching_observed_hashes' ELSE 'stale' END AS status FROM old o LEFT JOIN live l ON l.path = o.path")
+def join_provenance(spark, sf):
+    old, live = _snapshots(spark, sf)
+    seen = live.select("path", F.col("hash").alias("observed"))
+    status = F.when(F.col("observed").isNull(), "missing").when(F.col("observed") == F.col("hash"), "matching_observed_hashes").otherwise("stale")
+    return old.join(seen, "path", "left").select("path", status.alias("status"))
+
+
+@query(V, QV, f"SELECT id, round({COS}, 6) AS score FROM vectors, q")
+def join_vector_cross(spark, sf):
+    return vector.scored(p.vectors(spark, sf), _q(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+# aggregations
+
+
+@query(S, E, "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS relationships, (SELECT count(DISTINCT path) FROM symbols) AS files, (SELECT count(*) FROM documents) AS documents")
+def agg_counts(spark, sf):
+    s = p.symbols(spark, sf).agg(F.count("*").alias("symbols"), F.count_distinct("path").alias("files"))
+    e = p.edges(spark, sf).agg(F.count("*").alias("relationships"))
+    return s.crossJoin(e).crossJoin(p.chunks(spark, sf).agg(F.count("*").alias("documents")))
+
+
+@query(S, "SELECT kind, language, count(*) AS n FROM symbols GROUP BY kind, language")
+def agg_symbol_stats(spark, sf):
+    return p.symbols(spark, sf).groupBy("kind", "language").agg(F.count("*").alias("n"))
+
+
+@query(S, "SELECT max(id) + 1 AS next_id FROM symbols")
+def agg_max_id(spark, sf):
+    return p.symbols(spark, sf).agg((F.max("id") + 1).alias("next_id"))
+
+
+@query(V, QV, f"SELECT segment AS id, round(max({COS}), 6) AS score FROM vectors, q GROUP BY segment")
+def agg_segment_max(spark, sf):
+    v = p.vectors(spark, sf)
+    s = vector.scored(v, _q(spark, sf)).join(v.select("id", "segment"), "id").select(F.col("segment").alias("id"), "score")
+    return agg.segment_max(s).withColumn("score", F.round("score", 6))
+
+
+TERMS = ["the", "license", "public", "version"]
+BM25 = """w AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: len(x) > 0) AS t FROM chunks),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w),
+tf AS (SELECT chunk_id, len(t) AS dl, unnest(['the', 'license', 'public', 'version']) AS q, t FROM w),
+c AS (SELECT chunk_id, dl, q, len(list_filter(t, lambda x: x = q)) AS tf FROM tf),
+df AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM c GROUP BY q),
+scores AS (SELECT chunk_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM c JOIN df USING (q), st WHERE tf > 0 GROUP BY chunk_id)"""
+
+
+@query(C, BM25, "SELECT id, round(score, 6) AS score FROM scores")
+def agg_bm25(spark, sf):
+    return agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(C, "SELECT chunk_id, len(list_intersect(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), ['the', 'license', 'public', 'version'])) AS coverage FROM chunks")
+def agg_term_coverage(spark, sf):
+    return ranking.coverage(p.chunks(spark, sf), "content", TERMS).select("chunk_id", F.col("coverage").cast("long").alias("coverage"))
+
+
+MIXED = f"{C}, {BM25}, {V}, {QV}, lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= 64), sem AS (SELECT id, row_number() OVER (ORDER BY {COS} DESC, id) AS rank FROM vectors, q QUALIFY rank <= 32), deg AS (SELECT id, n AS degree FROM (SELECT x AS id, count(DISTINCT y) AS n FROM (SELECT src AS x, dst AS y FROM edges WHERE kind <> 'DispatchCandidate' UNION ALL SELECT dst, src FROM edges WHERE kind <> 'DispatchCandidate') GROUP BY x)), gr AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS rank FROM deg QUALIFY rank <= 64), allr AS (SELECT id, 'lexical' AS source, rank FROM lex UNION ALL SELECT id, 'semantic', rank FROM sem UNION ALL SELECT id, 'graph', rank FROM gr)"
+
+
+def _channels(spark, sf):
+    lex = agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id")
+    sem = vector.scored(p.vectors(spark, sf), _q(spark, sf))
+    deg = agg.degree(p.edges(spark, sf)).withColumnRenamed("degree", "score")
+    return ranking.ranked(lex, "lexical", 64).union(ranking.ranked(sem, "semantic", 32)).union(ranking.ranked(deg, "graph", 64))
+
+
+@query(E, MIXED, "SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM allr GROUP BY id")
+def agg_rrf(spark, sf):
+    return agg.rrf(_channels(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(E, "b AS (SELECT src AS id, dst AS o FROM edges WHERE kind <> 'DispatchCandidate' UNION SELECT dst, src FROM edges WHERE kind <> 'DispatchCandidate')", "SELECT id, count(*) AS degree FROM b GROUP BY id")
+def agg_degree(spark, sf):
+    return agg.degree(p.edges(spark, sf))
+
+
+@query(S, E, "SELECT a.language AS from_repo, b.language AS to_repo, count(*) AS n FROM edges e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst WHERE a.language <> b.language GROUP BY 1, 2")
+def agg_cross_repo(spark, sf):
+    s = p.symbols(spark, sf)
+    a, b = s.select(F.col("id").alias("src"), F.col("language").alias("from_repo")), s.select(F.col("id").alias("dst"), F.col("language").alias("to_repo"))
+    return p.edges(spark, sf).join(a, "src").join(b, "dst").where("from_repo <> to_repo").groupBy("from_repo", "to_repo").agg(F.count("*").alias("n"))
+
+
+@query(S, E, "c AS (SELECT dst, count(*) AS total, count(*) FILTER (e.kind = 'Calls') AS direct, count(*) FILTER (a.language <> b.language) AS cross_n FROM edges e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst GROUP BY dst)", "SELECT dst AS id, CASE WHEN 4 * direct + 8 * cross_n + total >= 40 OR cross_n >= 3 THEN 'high' WHEN 4 * direct + 8 * cross_n + total >= 12 OR cross_n > 0 THEN 'medium' ELSE 'low' END AS risk FROM c")
+def agg_risk(spark, sf):
+    s = p.symbols(spark, sf)
+    a, b = s.select(F.col("id").alias("src"), F.col("language").alias("x")), s.select(F.col("id").alias("dst"), F.col("language").alias("y"))
+    c = p.edges(spark, sf).join(a, "src").join(b, "dst").groupBy("dst")
+    c = c.agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "Calls").alias("direct"), F.count_if(F.col("x") != F.col("y")).alias("cross_n"))
+    score = 4 * F.col("direct") + 8 * F.col("cross_n") + F.col("total")
+    return c.select(F.col("dst").alias("id"), F.when((score >= 40) | (F.col("cross_n") >= 3), "high").when((score >= 12) | (F.col("cross_n") > 0), "medium").otherwise("low").alias("risk"))
+
+
+@query(S, E, "SELECT s.id, s.name, coalesce(o.n, 0) AS outgoing, CASE WHEN coalesce(o.n, 0) = 0 THEN 'medium' ELSE 'high' END AS confidence FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.id WHERE s.id NOT IN (SELECT dst FROM edges WHERE kind <> 'Defines')")
+def agg_dead_code(spark, sf):
+    return agg.dead_code(p.edges(spark, sf), p.symbols(spark, sf))
+
+
+@query(C, "SELECT collection, count(DISTINCT source_path) AS files, count(*) AS chunks FROM chunks GROUP BY collection")
+def agg_collection_stats(spark, sf):
+    return p.chunks(spark, sf).groupBy("collection").agg(F.count_distinct("source_path").alias("files"), F.count("*").alias("chunks"))
+
+
+@query(S, V, "SELECT count(*) AS total, count(*) FILTER (visibility = 'Public') AS eligible, count(*) FILTER (visibility = 'Public' AND v.id IS NOT NULL) AS embedded FROM symbols s LEFT JOIN (SELECT id FROM vectors) v ON v.id = s.id")
+def agg_semantic_coverage(spark, sf):
+    v = p.vectors(spark, sf).select(F.col("id").alias("vid"))
+    s = p.symbols(spark, sf)
+    public = F.col("visibility") == "Public"
+    return s.join(v, s["id"] == v["vid"], "left").agg(F.count("*").alias("total"), F.count_if(public).alias("eligible"), F.count_if(public & F.col("vid").isNotNull()).alias("embedded"))
+
+
+@query(E, "SELECT src AS id, kind, count(DISTINCT dst) AS n, min(dst) AS first FROM edges GROUP BY src, kind")
+def agg_group_deps(spark, sf):
+    return p.edges(spark, sf).groupBy(F.col("src").alias("id"), "kind").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("first"))
+
+
+@query(S, E, "o AS (SELECT src AS id, count(*) FILTER (kind = 'Calls') AS calls, count(*) FILTER (kind = 'Uses') AS uses, count(*) FILTER (kind = 'Implements') AS implements FROM edges GROUP BY src)", "i AS (SELECT dst AS id, count(*) FILTER (kind = 'Calls') AS callers, count(*) FILTER (kind = 'Uses') AS used_by, count(*) FILTER (kind = 'Implements') AS implemented_by FROM edges GROUP BY dst)", "SELECT s.id, s.name, coalesce(calls, 0) AS calls, coalesce(uses, 0) AS uses, coalesce(implements, 0) AS implements, coalesce(callers, 0) AS callers, coalesce(used_by, 0) AS used_by, coalesce(implemented_by, 0) AS implemented_by FROM symbols s LEFT JOIN o USING (id) LEFT JOIN i USING (id)")
+def agg_context_card(spark, sf):
+    e = p.edges(spark, sf)
+    count = lambda by, names: e.groupBy(F.col(by).alias("id")).agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in names])
+    out = count("src", (("calls", "Calls"), ("uses", "Uses"), ("implements", "Implements")))
+    into = count("dst", (("callers", "Calls"), ("used_by", "Uses"), ("implemented_by", "Implements")))
+    return p.symbols(spark, sf).select("id", "name").join(out, "id", "left").join(into, "id", "left").na.fill(0)
+
+
+@query(C, "SELECT sha256(content) AS hash, min(chunk_id) AS first, count(*) AS n FROM chunks GROUP BY content")
+def agg_distinct_inputs(spark, sf):
+    return p.chunks(spark, sf).groupBy(F.sha2("content", 256).alias("hash")).agg(F.min("chunk_id").alias("first"), F.count("*").alias("n"))
+
+
+CENTRES = "parts AS (SELECT segment AS cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM vectors), means AS (SELECT cluster, i, avg(x) AS x FROM parts GROUP BY cluster, i), centres AS (SELECT cluster, list(x ORDER BY i) AS c FROM means GROUP BY cluster)"
+
+
+@query(V, CENTRES, "SELECT cluster, round(list_dot_product(c, list_transform(range(1, 65), lambda x: x::DOUBLE)) / sqrt(list_dot_product(c, c)), 6) AS digest FROM centres")
+def agg_centroid(spark, sf):
+    c = vector.centroids(p.vectors(spark, sf), "segment")
+    steps = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
+    return c.select("cluster", F.round(vector.dot(F.col("c"), steps), 6).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def agg_dup_ids(spark, sf):
+    return p.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# windows
+
+
+@query(V, QV, f"SELECT id, CAST(row_number() OVER (ORDER BY {COS} DESC, id) AS INT) AS rank FROM vectors, q QUALIFY rank <= 50")
+def win_rank(spark, sf):
+    return ranking.ranked(vector.scored(p.vectors(spark, sf), _q(spark, sf)), "semantic", 50).select("id", "rank")
+
+
+@query(S, "c AS (SELECT id, name, language, count(*) OVER (PARTITION BY name, language) AS n FROM symbols)", "SELECT id, name, language FROM c WHERE n = 1")
+def win_unique_survivor(spark, sf):
+    return joins.exactly_one(p.symbols(spark, sf).select("id", "name", "language"), "name", "language")
+
+
+@query(S, "SELECT id, CAST(row_number() OVER (PARTITION BY path, name ORDER BY line, id) AS INT) AS ordinal FROM symbols")
+def win_dup_ordinal(spark, sf):
+    from pyspark.sql import Window
+
+    return p.symbols(spark, sf).select("id", F.row_number().over(Window.partitionBy("path", "name").orderBy("line", "id")).alias("ordinal"))
+
+
+@query(C, "n AS (SELECT chunk_id, content, length(content) AS len, greatest(0, CAST(ceil((length(content) - 1500) / 1400.0) AS INT)) AS last FROM chunks)", "w AS (SELECT chunk_id, content, unnest(range(0, last + 1)) AS n FROM n)", "SELECT chunk_id, CAST(n AS INT) AS n, CAST(n * 1400 AS INT) AS start, sha256(substring(content, CAST(n * 1400 + 1 AS BIGINT), 1500)) AS hash FROM w")
+def win_sliding_chunks(spark, sf):
+    return ranking.sliding_chunks(p.chunks(spark, sf), "chunk_id", "content", 1500, 100).select("chunk_id", "n", "start", F.sha2("content", 256).alias("hash"))
+
+
+@query("r AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS n FROM lineitem)", "g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM r)", "SELECT k, min(n) AS first, max(n) AS last, count(*) AS n FROM g GROUP BY k, g")
+def win_gaps_islands(spark, sf):
+    rows = p.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("at"))
+    return ranking.islands(rows, "k", "at")
+
+
+@query("SELECT user_id AS path, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def win_latest_per_key(spark, sf):
+    return ranking.latest_per_key(p.events(spark, sf).select("path", "event_id", "event_type", "ts"), "path", "ts", "event_id").select("path", "event_id", "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
+def win_first_dup(spark, sf):
+    rows = p.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return agg.first_duplicate(rows, ("l_orderkey", "l_linenumber"), "l_partkey")
+
+
+@query(C, BM25, "s AS (SELECT id, score, collection AS source FROM scores JOIN chunks ON chunk_id = id)", "d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY score DESC, id) > 5 THEN 1 ELSE 0 END AS late FROM s)", "SELECT id, source FROM d ORDER BY late, score DESC, id LIMIT 40")
+def win_diversify(spark, sf):
+    c = p.chunks(spark, sf)
+    s = agg.bm25(c, "chunk_id", "content", TERMS).join(c.select("chunk_id", F.col("collection").alias("source")), "chunk_id").withColumnRenamed("chunk_id", "id")
+    return ranking.diversify(s, 40, 5).select("id", "source")
+
+
+# top-k
+
+
+@query(C, BM25, "SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
+def topk_bm25(spark, sf):
+    s = agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id")
+    return vector.top(s, 20).withColumn("score", F.round("score", 6))
+
+
+@query(V, QV, f"SELECT id, round({COS}, 6) AS score FROM vectors, q ORDER BY {COS} DESC, id LIMIT 10")
+def topk_vector(spark, sf):
+    return vector.top(vector.scored(p.vectors(spark, sf), _q(spark, sf)), 10).withColumn("score", F.round("score", 6))
+
+
+@query(V, QV, f"s AS (SELECT id, {COS} AS score FROM vectors, q)", "k AS (SELECT min(score) AS kth FROM (SELECT score FROM s ORDER BY score DESC, id LIMIT 10))", "SELECT id, round(score, 6) AS score FROM s, k WHERE score >= CASE WHEN kth > 0 THEN 0.9 * kth ELSE kth END")
+def topk_relative_cutoff(spark, sf):
+    return vector.relative_cutoff(vector.scored(p.vectors(spark, sf), _q(spark, sf)), 10).withColumn("score", F.round("score", 6))
+
+
+@query(E, "b AS (SELECT src AS id, dst AS o FROM edges WHERE kind <> 'DispatchCandidate' UNION SELECT dst, src FROM edges WHERE kind <> 'DispatchCandidate')", "SELECT id, count(*) AS degree FROM b GROUP BY id ORDER BY degree DESC, id LIMIT 25")
+def topk_hubs(spark, sf):
+    return agg.degree(p.edges(spark, sf)).orderBy(F.desc("degree"), "id").limit(25)
+
+
+@query(C, BM25, "cov AS (SELECT id, score, len(list_intersect(t, ['the', 'license', 'public', 'version'])) AS coverage FROM scores JOIN w ON w.chunk_id = id)", "pool AS (SELECT * FROM cov ORDER BY score DESC, id LIMIT 160)", "SELECT id, coverage FROM pool ORDER BY coverage DESC, score DESC, id LIMIT 10")
+def topk_rerank(spark, sf):
+    c = p.chunks(spark, sf)
+    pool = vector.top(agg.bm25(c, "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id"), 160)
+    cov = ranking.coverage(c, "content", TERMS).select(F.col("chunk_id").alias("id"), F.col("coverage").cast("long").alias("coverage"))
+    return pool.join(cov, "id").orderBy(F.desc("coverage"), F.desc("score"), "id").limit(10).select("id", "coverage")
+
+
+@query(E, "f AS (SELECT * FROM edges WHERE kind = 'Calls')", "r AS (SELECT *, row_number() OVER (ORDER BY src, dst, line) AS position FROM f)", "SELECT src, dst, line, position::INT AS position, (SELECT count(*) FROM f) AS total FROM r WHERE position BETWEEN 11 AND 30")
+def topk_edge_page(spark, sf):
+    return lookup.page(p.edges(spark, sf).where("kind = 'Calls'"), 20, 10, ("src", "dst", "line")).select("src", "dst", "line", "position", "total")
+
+
+# sets
+
+
+@query(E, "SELECT DISTINCT dst AS id FROM edges WHERE src < 20 AND kind IN ('Calls', 'Uses') UNION SELECT DISTINCT src FROM edges WHERE dst < 20 AND kind IN ('Calls', 'Uses')")
+def set_union_kinds(spark, sf):
+    e = p.edges(spark, sf).where("kind in ('Calls', 'Uses')")
+    return e.where("src < 20").select(F.col("dst").alias("id")).union(e.where("dst < 20").select("src")).distinct()
+
+
+@query(OLD, LIVE, "SELECT path FROM live EXCEPT SELECT path FROM old")
+def set_except_new(spark, sf):
+    old, live = _snapshots(spark, sf)
+    return live.select("path").exceptAll(old.select("path")).distinct()
+
+
+@query(OLD, LIVE, "SELECT path FROM old EXCEPT SELECT path FROM live")
+def set_except_deleted(spark, sf):
+    old, live = _snapshots(spark, sf)
+    return old.select("path").subtract(live.select("path"))
+
+
+@query(S, V, "SELECT id FROM symbols EXCEPT SELECT id FROM vectors")
+def set_except_missing(spark, sf):
+    return p.symbols(spark, sf).select("id").join(p.vectors(spark, sf).select("id"), "id", "left_anti")
+
+
+@query(C, "SELECT chunk_id FROM chunks WHERE contains(lower(content), 'license') AND NOT contains(lower(content), 'mit')")
+def set_mustnot(spark, sf):
+    text = F.lower("content")
+    return p.chunks(spark, sf).where(text.contains("license") & ~text.contains("mit")).select("chunk_id")
+
+
+# scalar functions
+
+
+@query(S, "SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')) AS words FROM symbols")
+def fn_identifier_words(spark, sf):
+    return p.symbols(spark, sf).select("id", fx.identifier_words(F.col("path")).alias("words"))
+
+
+@query(M, "SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: length(t) > 1))), ' ') AS tokens FROM messages")
+def fn_tokens(spark, sf):
+    return p.messages(spark, sf).select("id", F.array_join(fx.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(S, "SELECT id, CASE WHEN length(name) BETWEEN 6 AND 64 THEN array_to_string(list_sort(list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3)))), '|') ELSE '' END AS grams FROM symbols")
+def fn_trigrams(spark, sf):
+    return p.symbols(spark, sf).select("id", F.array_join(fx.trigrams(F.col("name")), "|").alias("grams"))
+
+
+@query(S, "n AS (SELECT DISTINCT name, CASE WHEN length(name) BETWEEN 6 AND 64 THEN list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) ELSE [] END AS g FROM symbols)", "x AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) + len(b.g) AS t FROM n a, n b WHERE a.name < b.name)", "SELECT a, b, CASE WHEN s >= 3 AND floor(2000.0 * s / t) >= 700 THEN CAST(floor(2000.0 * s / t) AS BIGINT) ELSE 0 END AS near FROM x")
+def fn_near_match(spark, sf):
+    n = p.symbols(spark, sf).select("name").distinct().withColumn("g", fx.trigrams(F.col("name")))
+    a, b = n.select(F.col("name").alias("a"), F.col("g").alias("x")), n.select(F.col("name").alias("b"), F.col("g").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", fx.near_match(F.col("x"), F.col("y")).alias("near"))
+
+
+@query(S, "g AS (SELECT DISTINCT name, unnest(range(3, 11)) AS n FROM symbols)", "x AS (SELECT name, n, unnest(range(1, length(name) - n + 2)) AS i FROM g WHERE length(name) >= n)", "SELECT DISTINCT name, substring(name, i, n) AS gram FROM x")
+def fn_ngram(spark, sf):
+    return p.symbols(spark, sf).select("name").distinct().select("name", F.explode(fx.ngrams(F.col("name"))).alias("gram"))
+
+
+@query(S, "SELECT DISTINCT name, CAST(levenshtein(name, 'red widgit') AS INT) AS distance FROM symbols WHERE levenshtein(name, 'red widgit') <= 2")
+def fn_fuzzy(spark, sf):
+    d = F.levenshtein("name", F.lit("red widgit"))
+    return p.symbols(spark, sf).select("name", d.alias("distance")).where("distance <= 2").distinct()
+
+
+@query(V, QV, f"SELECT id, round({COS}, 6) AS cosine FROM vectors, q")
+def fn_cosine(spark, sf):
+    return vector.scored(p.vectors(spark, sf), _q(spark, sf)).select("id", F.round("score", 6).alias("cosine"))
+
+
+@query(V, "SELECT id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) AS total FROM vectors")
+def fn_l2_normalize(spark, sf):
+    n = p.vectors(spark, sf).select("id", vector.normalized(F.col("v")).alias("u"))
+    return n.select("id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(S, "SELECT id, round(0.3 * weight / 2000 + 0.7 * line / 50.0, 6) AS score FROM symbols")
+def fn_score_combine(spark, sf):
+    return p.symbols(spark, sf).select("id", F.round(0.3 * F.col("weight") / 2000 + 0.7 * F.col("line") / 50.0, 6).alias("score"))
+
+
+@query(M, "SELECT id, substring(text, 1, 80) AS preview, length(text) > 80 AS truncated FROM messages")
+def fn_preview(spark, sf):
+    head, more = fx.preview(F.col("text"), 80)
+    return p.messages(spark, sf).select("id", head.alias("preview"), more.alias("truncated"))
+
+
+@query(C, "x AS (SELECT chunk_id, content, strpos(content, 'License') AS spot FROM chunks WHERE contains(content, 'License'))", "SELECT chunk_id, CASE WHEN greatest(1, spot - 30) > 1 THEN '...' ELSE '' END || substring(content, greatest(1, spot - 30), 60) || CASE WHEN greatest(1, spot - 30) + 60 <= length(content) THEN '...' ELSE '' END AS window FROM x")
+def fn_kwic(spark, sf):
+    return p.chunks(spark, sf).where(F.col("content").contains("License")).select("chunk_id", fx.kwic(F.col("content"), "License", 60).alias("window"))
+
+
+@query(S, "SELECT id, regexp_full_match(replace(name, ' ', '_'), '[A-Za-z_][A-Za-z0-9_]*') AS joined, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') AS plain FROM symbols")
+def fn_is_identifier(spark, sf):
+    return p.symbols(spark, sf).select("id", fx.is_identifier(F.replace(F.col("name"), F.lit(" "), F.lit("_"))).alias("joined"), fx.is_identifier(F.col("name")).alias("plain"))
+
+
+@query(M, "SELECT id, regexp_replace(regexp_replace(lower(trim(substring(text, 1, 60))), '\\s', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g') AS slug FROM messages")
+def fn_slug(spark, sf):
+    return p.messages(spark, sf).select("id", fx.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("SELECT doc_id, sha256(CAST(octet_length(encode(source)) AS VARCHAR) || ':' || source || CAST(octet_length(encode(text)) AS VARCHAR) || ':' || text) AS digest FROM documents")
+def fn_sha256(spark, sf):
+    return p.table(spark, sf, "documents").select("doc_id", fx.digest(F.col("source"), F.col("text")).alias("digest"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'http:/') THEN substring(url, 7) ELSE url END AS path FROM pages")
+def fn_portable_path(spark, sf):
+    return p.table(spark, sf, "pages").select("page_id", fx.portable_path(F.col("url"), "http:/").alias("path"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
+def fn_md_links(spark, sf):
+    return p.table(spark, sf, "pages").select("page_id", F.explode(fx.links(F.col("html"))).alias("target"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def fn_epoch(spark, sf):
+    return p.events(spark, sf).select("event_id", F.unix_timestamp("ts").alias("seconds"))
+
+
+@query(E, "SELECT DISTINCT kind, CASE kind WHEN 'Calls' THEN 'CalledBy' WHEN 'Uses' THEN 'UsedBy' WHEN 'Implements' THEN 'ImplementedBy' WHEN 'Extends' THEN 'ExtendedBy' WHEN 'References' THEN 'ReferencedBy' WHEN 'Defines' THEN 'DefinedIn' ELSE 'DispatchCandidateOf' END AS inverse FROM edges")
+def fn_inverse(spark, sf):
+    names = {"Calls": "CalledBy", "Uses": "UsedBy", "Implements": "ImplementedBy", "Extends": "ExtendedBy", "References": "ReferencedBy", "Defines": "DefinedIn", "DispatchCandidate": "DispatchCandidateOf"}
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return p.edges(spark, sf).select("kind").distinct().withColumn("inverse", pairs[F.col("kind")])
+
+
+@query(M, "SELECT id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 100)), '[^a-z0-9]+'), lambda t: length(t) > 0)).list_sort(), ' ') AS terms FROM messages WHERE NOT regexp_matches(substring(text, 1, 100), '[\\^\"~*():\\[\\]{}\\\\!+]') AND NOT regexp_matches(substring(text, 1, 100), '(^|\\s)(AND|OR|NOT)(\\s|$)') AND len(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 100)), '[^a-z0-9]+'), lambda t: length(t) > 0))) >= 2")
+def fn_query_terms(spark, sf):
+    terms = fx.query_terms(F.substring("text", 1, 100))
+    return p.messages(spark, sf).select("id", F.array_join(F.array_sort(terms), " ").alias("terms")).where("terms is not null")
+
+
+# graph
+
+
+@query(E, "SELECT dst AS id, kind, line FROM edges WHERE src = 5 AND kind IN ('Calls', 'Uses')")
+def graph_callees(spark, sf):
+    return graph.neighbours(p.edges(spark, sf), 5, ("Calls", "Uses"))
+
+
+@query(E, "SELECT src AS id, kind, line FROM edges WHERE dst = 5 AND kind IN ('Calls', 'Uses')")
+def graph_callers(spark, sf):
+    return graph.neighbours(p.edges(spark, sf), 5, ("Calls", "Uses"), reverse=True)
+
+
+@query(E, "SELECT dst AS id, 'out' AS direction FROM edges WHERE src = 9 AND kind = 'Implements' UNION ALL SELECT src, 'in' FROM edges WHERE dst = 9 AND kind = 'Implements'")
+def graph_impls(spark, sf):
+    e = p.edges(spark, sf)
+    return graph.neighbours(e, 9, ("Implements",)).select("id", F.lit("out").alias("direction")).union(graph.neighbours(e, 9, ("Implements",), True).select("id", F.lit("in")))
+
+
+@query(E, "SELECT dst AS id, kind FROM edges WHERE src = 11 AND kind IN ('References', 'DispatchCandidate') UNION ALL SELECT src, kind FROM edges WHERE dst = 11 AND kind = 'References'")
+def graph_references(spark, sf):
+    e = p.edges(spark, sf)
+    return graph.neighbours(e, 11, ("References", "DispatchCandidate")).select("id", "kind").union(graph.neighbours(e, 11, ("References",), True).select("id", "kind"))
+
+
+IMPACT = "h AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'Defines')"
+
+
+@query(E, IMPACT, "r(id, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT h.src, d + 1 FROM r JOIN h ON h.dst = r.id WHERE d < 3)", "SELECT id, CAST(min(d) AS INT) AS depth FROM r WHERE id <> 1 GROUP BY id")
+def graph_impact(spark, sf):
+    return graph.impact(p.edges(spark, sf), 1, 3)
+
+
+@query(E, "f AS (SELECT min(dst) AS goal FROM edges WHERE src = 1)", "SELECT CAST(0 AS INT) AS position, CAST(1 AS BIGINT) AS id FROM f WHERE goal IS NOT NULL UNION ALL SELECT 1, goal FROM f WHERE goal IS NOT NULL")
+def graph_path(spark, sf):
+    e = p.edges(spark, sf)
+    goal = e.where("src = 1").agg(F.min("dst")).first()[0]
+    return graph.path(e, 1, -1 if goal is None else goal)
+
+
+@query(E, S, "u AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE kind <> 'DispatchCandidate' AND src < 400 AND dst < 400)", "b AS (SELECT a, b FROM u UNION SELECT b, a FROM u)", "r(id, c) AS (SELECT a, a FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id)", "SELECT id, min(c) AS component FROM r GROUP BY id")
+def graph_components(spark, sf):
+    return graph.components(p.edges(spark, sf).where("src < 400 and dst < 400"))
+
+
+@query(S, E, "seeds AS (SELECT id FROM symbols WHERE path = 'Brand#8/small/f3' OR starts_with(path, 'Brand#8/small/f3/'))", "h AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'Defines')", "r(id, d) AS (SELECT id, 0 FROM seeds UNION SELECT h.src, d + 1 FROM r JOIN h ON h.dst = r.id WHERE d < 2)", "SELECT id, CAST(min(d) AS INT) AS depth FROM r GROUP BY id")
+def graph_kimpact(spark, sf):
+    seeds = p.symbols(spark, sf).where(fx.in_prefix(F.col("path"), "Brand#8/small/f3")).select("id")
+    back = p.edges(spark, sf).where("kind <> 'Defines'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.reach(back, seeds, 2)
+
+
+@query(E, "SELECT src, dst, line FROM edges WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)")
+def graph_validate(spark, sf):
+    known = p.symbols(spark, sf).where("id % 9 <> 0").select(F.col("id").alias("src"))
+    return p.edges(spark, sf).join(known, "src", "left_anti").select("src", "dst", "line")
+
+
+# retrieval
+
+
+@query(V, CENTRES, "s AS (SELECT id, cluster, row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(v, c) DESC, cluster) AS k FROM vectors, centres)", "SELECT id, cluster FROM s WHERE k = 1")
+def ann_assign(spark, sf):
+    v = p.vectors(spark, sf)
+    return vector.assign(v, vector.centroids(v, "segment")).select("id", "cluster")
+
+
+@query(V, QV, CENTRES, "s AS (SELECT id, v, cluster, row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(v, c) DESC, cluster) AS k FROM vectors, centres)", "near AS (SELECT cluster FROM centres, q ORDER BY list_cosine_similarity(c, q) DESC, cluster LIMIT 1)", f"SELECT id, round({COS}, 6) AS score FROM s, q WHERE k = 1 AND cluster = (SELECT cluster FROM near) ORDER BY {COS} DESC, id LIMIT 10")
+def ann_ivf_search(spark, sf):
+    v, q = p.vectors(spark, sf), _q(spark, sf)
+    centres = vector.centroids(v, "segment")
+    return vector.ivf_search(vector.assign(v, centres), centres, q, 10).withColumn("score", F.round("score", 6))
+
+
+@query(M, "SELECT id, substring(text, 1, 800) AS preview, CASE WHEN role = 'user' THEN 2.0 ELSE 1.0 END::DOUBLE AS boost FROM messages WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')")
+def search_messages(spark, sf):
+    text = F.lower("text")
+    found = p.messages(spark, sf).where(text.contains("the") & text.contains("of"))
+    return found.select("id", F.substring("text", 1, 800).alias("preview"), F.when(F.col("role") == "user", 2.0).otherwise(1.0).alias("boost"))
+
+
+@query(S, "SELECT id, name, CASE WHEN name = 'red widget' THEN 2 WHEN contains(name, 'widget') THEN 1 ELSE 0 END AS tier FROM symbols WHERE contains(name, 'widget') ORDER BY tier DESC, path, line, id LIMIT 50")
+def search_symbols(spark, sf):
+    tier = F.when(F.col("name") == "red widget", 2).otherwise(1)
+    found = p.symbols(spark, sf).where(F.col("name").contains("widget")).withColumn("tier", tier)
+    return found.orderBy(F.desc("tier"), "path", "line", "id").limit(50).select("id", "name", "tier")
+
+
+@query(V, QV, S, f"t AS (SELECT id, {COS} AS score FROM vectors, q ORDER BY score DESC, id LIMIT 20)", "SELECT t.id, name, round(score, 6) AS score FROM t JOIN symbols s ON s.id = t.id")
+def search_semantic(spark, sf):
+    hits = vector.top(vector.scored(p.vectors(spark, sf), _q(spark, sf)), 20)
+    return hits.join(p.symbols(spark, sf).select("id", "name"), "id").select("id", "name", F.round("score", 6).alias("score"))
+
+
+@query(E, MIXED, "SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score, count(*) AS sources FROM allr GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 30")
+def search_ticket(spark, sf):
+    ranks = _channels(spark, sf)
+    fused = agg.rrf(ranks).join(ranks.groupBy("id").agg(F.count_distinct("source").alias("sources")), "id")
+    return fused.orderBy(F.desc("score"), "id").limit(30).withColumn("score", F.round("score", 6))
+
+
+@query(S, E, "SELECT s.id, s.name, s.kind, (SELECT count(*) FROM edges e WHERE e.src = s.id) AS outgoing, (SELECT count(*) FROM edges e WHERE e.dst = s.id) AS incoming FROM symbols s WHERE s.id = 12")
+def describe_symbol(spark, sf):
+    e = p.edges(spark, sf)
+    out, into = e.where("src = 12").agg(F.count("*").alias("outgoing")), e.where("dst = 12").agg(F.count("*").alias("incoming"))
+    return p.symbols(spark, sf).where("id = 12").select("id", "name", "kind").crossJoin(out).crossJoin(into)
+
+
+# streaming, as batches
+
+
+@query(
+    "g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS s FROM events)",
+    "n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)",
+    "SELECT user_id AS path, CAST(epoch_us(min(ts)) AS BIGINT) AS first, CAST(epoch_us(max(ts)) AS BIGINT) AS last, count(*) AS n FROM n GROUP BY user_id, k",
+)
+def stream_debounce(spark, sf):
+    return changes.debounced(p.events(spark, sf), "6 hours").select("path", F.unix_micros(F.col("first").cast("timestamp")).alias("first"), F.unix_micros(F.col("last").cast("timestamp")).alias("last"), "n")
+
+
+@query(E, S, "gone AS (SELECT id FROM symbols WHERE path = 'Brand#2/promo/f1')", "SELECT src, dst, kind, line FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")
+def sink_delete_symbol(spark, sf):
+    gone = p.symbols(spark, sf).where("path = 'Brand#2/promo/f1'").select("id")
+    e = p.edges(spark, sf)
+    return e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "kind", "line")
+
+
+@query(V, "SELECT id % 100 AS id, min(segment) AS segment FROM vectors WHERE (id % 100) % 3 = 0 GROUP BY id % 100")
+def sink_vector_compact(spark, sf):
+    from .sources.readers import compact_vectors
+
+    rows = p.vectors(spark, sf).select("segment", (F.col("id") % 100).alias("id"), F.col("segment").alias("v"))
+    return compact_vectors(rows, spark.range(0, 100, 3)).select("id", F.col("v").alias("segment"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: lexical, semantic and graph channels fused by reciprocal rank."""
+    return search_ticket(spark, sf_dir)
