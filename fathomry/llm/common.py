@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,18 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@cache
+def _malloc_trim():
+    """glibc's malloc_trim, or nothing where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def trim() -> None:
+    """Gives freed memory of this worker back to the system, so that workers of one executor share what there is."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices whose `text` column holds about `limit` bytes (a longer text stands alone)."""
     for batch in batches:
@@ -56,6 +70,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+            trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

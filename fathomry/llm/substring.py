@@ -35,13 +35,13 @@ from . import common
 
 WIDTH = 13
 #: Windows that a task holds before it sends them, and windows in a bucket of one batch, on average.
-HELD, BUCKET = 3 << 20, 1 << 20
+HELD, BUCKET = 3 << 19, 1 << 19
 
 SENT = "bucket int, n long, hashes binary, checks binary, doc_ids binary, rows binary, doc_of binary, at binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("hashes", "checks", "doc_ids", "rows", "doc_of", "at"))])
-#: kind 0: marked windows (doc_id, row, at: first words). kind 1: a bucket's new fingerprints.
-KEPT = "kind int, bucket int, n long, hashes binary, checks binary, doc_id long, row int, at binary"
-_KEPT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.binary())])
+#: kind 0: marked windows of the documents of one group, packed as they are sent. kind 1: a bucket's new fingerprints.
+KEPT = "kind int, bucket int, n long, hashes binary, checks binary, doc_group long, doc_ids binary, rows binary, doc_of binary, at binary"
+_KEPT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("doc_group", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "rows", "doc_of", "at"))])
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -129,30 +129,41 @@ class _Windows:
         yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW).to_batches(64)
 
 
-def _empty() -> dict:
-    return {c: [] for c in _KEPT_ARROW.names}
+def _emit_marked(out: dict, groups: int, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+    """A row for each group of documents that has marked windows."""
+    group = (common.mix64(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((at, rows, ids, group))
+    group, ids, rows, at = group[order], ids[order], rows[order], at[order]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])[: len(ids)]
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        lead = a + np.flatnonzero(new[a:b])
+        values = (0, int(group[a]), int(b - a), None, None, int(group[a]), shrink_sorted(ids[lead]), shrink(rows[lead]), shrink((np.cumsum(new[a:b]) - 1).astype(np.uint32)), shrink(at[a:b]))
+        for c, v in zip(out, values, strict=True):
+            out[c].append(v)
+
+
+def _unpack_marked(group: pa.Table) -> pa.Table:
+    """A row for each document of a group: its marked windows from all buckets."""
+    common.trim()
+    ids, rows, at = [], [], []
+    for i, r, d, a in zip(*(group[c].to_pylist() for c in ("doc_ids", "rows", "doc_of", "at")), strict=True):
+        doc_of = grow(d, "<u4")
+        ids.append(grow_sorted(i, "<i8")[doc_of])
+        rows.append(grow(r, "<i4")[doc_of])
+        at.append(grow(a, "<u4"))
+    ids, rows, at = (np.concatenate(x) for x in (ids, rows, at))
+    order = np.lexsort((at, rows, ids))
+    ids, rows, blob = ids[order], rows[order], at[order].tobytes()
+    edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]), [True]]))
+    values = [blob[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.table({"doc_id": ids[edges[:-1]], "row": rows[edges[:-1]], "at": pa.array(values, pa.binary())})
 
 
-def _emit_marked(out: dict, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
-    """A row for each document with marked windows."""
-    order = np.lexsort((at, rows, ids))
-    ids, rows, at = ids[order], rows[order], at[order]
-    edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]), [True]])) if len(ids) else np.zeros(1, np.int64)
-    blob = at.astype("<u4").tobytes()
-    lead, n = edges[:-1], len(edges) - 1
-    out["kind"] += [0] * n
-    out["bucket"] += [0] * n
-    out["n"] += np.diff(edges).tolist()
-    out["hashes"] += [None] * n
-    out["checks"] += [None] * n
-    out["doc_id"] += ids[lead].tolist()
-    out["row"] += rows[lead].tolist()
-    out["at"] += [blob[4 * a : 4 * b] for a, b in zip(lead.tolist(), edges[1:].tolist(), strict=True)]
-
-
-def _merge(key: tuple, sent: pa.Table, runs: pa.Table) -> pa.Table:
+def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
     """Merge-joins what a batch sent to one bucket with itself and with the bucket's part of every run."""
-    out = _empty()
+    common.trim()
+    out = {c: [] for c in _KEPT_ARROW.names}
     hashes, checks, ids, rows, at = [], [], [], [], []
     for n, h, c, i, r, d, a in zip(*(sent[x].to_pylist() for x in sent.column_names[1:]), strict=True):
         doc_ids, row, doc_of, a = grow_sorted(i, "<i8"), grow(r, "<i4"), grow(d, "<u4"), grow(a, "<u4")
@@ -163,7 +174,7 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table) -> pa.Table:
             rows.append(row[doc_of])
             at.append(a)
         elif n:
-            _emit_marked(out, doc_ids[doc_of], row[doc_of], a)
+            _emit_marked(out, groups, doc_ids[doc_of], row[doc_of], a)
     if hashes:
         hashes, checks, ids, rows, at = (np.concatenate(x) for x in (hashes, checks, ids, rows, at))
         order = np.lexsort((checks, hashes))
@@ -185,13 +196,13 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table) -> pa.Table:
                 live = live[~same]
                 spot[live] += 1
         marked = np.repeat(known, size) | (ids > np.repeat(np.minimum.reduceat(ids, lead), size))
-        _emit_marked(out, ids[marked], rows[marked], at[marked])
+        _emit_marked(out, groups, ids[marked], rows[marked], at[marked])
         out["kind"].append(1)
         out["bucket"].append(key[0].as_py())
         out["n"].append(int((~known).sum()))
         out["hashes"].append(shrink_sorted(own[~known]))
         out["checks"].append(shrink(own_check[~known]))
-        for c in ("doc_id", "row", "at"):
+        for c in ("doc_group", "doc_ids", "rows", "doc_of", "at"):
             out[c].append(None)
     return pa.table(out, schema=_KEPT_ARROW)
 
@@ -203,7 +214,7 @@ def _compact(group: pa.Table) -> pa.Table:
     order = np.lexsort((checks, hashes))
     hashes, checks = hashes[order], checks[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])[: len(hashes)]
-    return pa.table({"kind": [1], "bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_id": [None], "row": [None], "at": [None]}, schema=_KEPT_ARROW)
+    return pa.table({"kind": [1], "bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_group": [None], "doc_ids": [None], "rows": [None], "doc_of": [None], "at": [None]}, schema=_KEPT_ARROW)
 
 
 class FingerprintIndex:
@@ -240,7 +251,7 @@ class FingerprintIndex:
             known = run if known is None else known.union(run)
         if known is None:
             known = self.spark.createDataFrame([], "bucket int, hashes binary, checks binary")
-        merged = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_merge, KEPT)
+        merged = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda key, a, b: _merge(key, a, b, 1 << bits), KEPT)
         table = self._save(merged)
         self.runs.append(table)
         self.batches.append(table)
@@ -262,12 +273,12 @@ class FingerprintIndex:
         self.runs = [merged]
 
     def marked(self) -> DataFrame:
-        """(doc_id, row, at) of all batches: the first words of marked windows."""
+        """(doc_id, row, at) of all batches, once for each document: the first words of its marked windows."""
         out = None
         for table in self.batches:
-            part = self.spark.table(table).where("kind = 0").select("doc_id", "row", "at")
+            part = self.spark.table(table).where("kind = 0").select("doc_group", "doc_ids", "rows", "doc_of", "at")
             out = part if out is None else out.union(part)
-        return out
+        return out.groupBy("doc_group").applyInArrow(_unpack_marked, "doc_id long, row int, at binary")
 
     def drop(self) -> None:
         for table in {*self.runs, *self.batches}:
@@ -296,14 +307,14 @@ def mark(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int
     return out
 
 
-def _strip(text: bytes | None, at: list[bytes] | None, width: int) -> tuple[int, int, bytes]:
+def _strip(text: bytes | None, at: bytes | None, width: int) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by one space)."""
     raw = np.frombuffer(text or b"", np.uint8)
     starts, stops, _ = common.word_spans(raw, np.array([0, len(raw)]))
     words = [text[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
     if not at:
         return len(words), 0, b" ".join(words)
-    first = np.frombuffer(b"".join(at), "<u4").astype(np.int64)
+    first = np.frombuffer(at, "<u4").astype(np.int64)
     keep = ~common.covered(first, len(words), width)
     return len(words), int((~keep).sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
@@ -311,7 +322,7 @@ def _strip(text: bytes | None, at: list[bytes] | None, width: int) -> tuple[int,
 def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4) -> DataFrame:
     """All rows of `docs` with `n_words`, `n_removed` and `kept` (the kept words joined by one space) added."""
     docs = docs.drop("n_words", "n_removed", "kept")
-    marks = mark(spark, docs, width, batches).groupBy("doc_id", "row").agg(F.collect_list("at").alias("at_"))
+    marks = mark(spark, docs, width, batches).withColumnRenamed("at", "at_")
     keyed = docs.withColumn("row_", F.hash("text"))
     marks = marks.withColumnRenamed("doc_id", "id_").hint("shuffle_hash")
     joined = keyed.join(marks, (keyed["doc_id"] == marks["id_"]) & (keyed["row_"] == marks["row"]), "left").select(*docs.columns, "at_")
