@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 
 from . import common, pretokenize
 
+#: Bytes of text encoded at a time, and ids decoded at a time; workers of both hold no more than this and its tables.
+ENCODE_BYTES, DECODE_IDS = 1 << 20, 1 << 18
+
 
 def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the neighbouring pair of lowest rank is merged first, the leftmost of equals."""
@@ -113,7 +116,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, ENCODE_BYTES):
             raw, ends = common.text_bytes(batch.column(names.index("text")))
             ids, offsets, starts, count = ranks_of(path).encode(raw, ends)
             first = np.searchsorted(starts, ends)
@@ -124,6 +127,18 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, ids array<int>, piece_start array<int>, piece_ids array<int>")
 
 
+def id_slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = DECODE_IDS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose lists in column `at` hold about `limit` ids (a longer list stands alone)."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        row, before = 0, 0
+        while row < batch.num_rows:
+            to = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(row, to - row)
+            row, before = to, int(ends[to - 1])
+            common.trim()
+
+
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Replaces `ids` by `decoded` binary: the very bytes that were encoded (null ids: empty)."""
     names = [c for c in encoded.columns if c not in ("ids", "decoded")]
@@ -131,7 +146,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     schema = encoded.select(*names).schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in id_slices(batches, len(names)):
             column = batch.column(len(names))
             size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             out, until = ranks_of(path).decode(column.flatten().to_numpy(zero_copy_only=False))
