@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def test_bpe_equals_the_library(spark, texts):
     assert decoded == {i: (t or "").encode() for i, t in enumerate(texts)}
 
 
+def test_decoding_slices_keep_every_row():
+    ids = pa.array([[1, 2], None, [], [3] * 9, [4], [5, 6]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), ids], names=["doc_id", "ids"])
+    for limit in (1, 3, 100):
+        parts = list(bpe.id_slices([batch, batch.slice(0, 0), batch.slice(2)], 1, limit))
+        assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() + batch.to_pylist()[2:]
+        assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= limit for p in parts)
+
+
 def test_pieces_equal_the_pattern():
     import regex
     from public_tokenizers import PATTERN
