@@ -1,14 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-One pass over the texts counts: tasks send, for each bucket of word fingerprints, their words with the documents and
-frequencies they stand in, and the counts of their training bigrams. Each bucket then knows the exact training count
-of its words. It returns the base score's part of each document, and its segment of the filter.
+One pass over the texts counts: tasks hold a chunk of documents at a time and send each bucket of fingerprints the
+distinct words and bigrams of the chunk that belong to it, with their training counts. Each bucket adds them up, builds
+its segment of the filter, and answers every chunk: the exact training count of each of its words, and the levels that
+the segment gives back for its words and bigrams. A chunk's documents travel as ranks of words; with the answers of all
+buckets they are scored. Nothing is broadcast, so the model may grow with the corpus.
 
 The filter holds quantised counts, level 1 + floor(log2 c) of an n-gram seen c times: the n-gram is inserted once for
-each level up to its own, so a count is read back by probing level after level until one is missing. A segment has a
-fixed number of bits; a bucket leaves out the lowest level of bigrams, then of words, only as far as its n-grams would
-fill more than FILL of it (entropy pruning by count, by one rule at every size). The whole filter, FILTER bytes, is
-broadcast; the texts are then scored with
+each level up to its own, so a count is read back by probing level after level until one is missing. A segment is as
+large as its n-grams need to set at most FILL of its bits, whatever their number; no n-gram is left out. Texts are
+scored with
 
     P(w | v) = (min(c(v w), c(v)) + MU P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
 
@@ -33,17 +34,20 @@ from .substring import grow, grow_sorted, shrink, shrink_sorted
 
 #: Tokens that a task holds before it sends them, and tokens of a bucket on average.
 HELD, BUCKET = 3 << 20, 4 << 20
-#: Bytes of the whole filter; probes of each level; the share of a segment's bits that may be set at most.
+#: Bytes of the whole filter at least; probes of each level; the share of a segment's bits that may be set at most.
 FILTER, PROBES, FILL = 32 << 20, 4, 0.5
 MU = 4.0
 #: The fingerprint of the end token, and of nothing (before the first word).
 END = np.uint64(0x5851F42D4C957F2D)
 
-SENT = "bucket int, chunk long, docs long, ids binary, nulls binary, texts binary, n_tokens binary, words binary, posts binary, doc_of binary, tf binary, trains binary, bigrams binary, counts binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "texts", "n_tokens", "words", "posts", "doc_of", "tf", "trains", "bigrams", "counts"))])
-#: kind 0: a bucket's part of a chunk's scores. 1: the documents of a chunk. 2: a bucket's segment and totals.
-GIVEN = "kind int, bucket int, chunk long, ids binary, nulls binary, texts binary, n_tokens binary, parts binary, known binary, segment binary, low_words int, low_bigrams int, total long, distinct_words long"
-_GIVEN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "texts", "n_tokens", "parts", "known", "segment")), ("low_words", pa.int32()), ("low_bigrams", pa.int32()), ("total", pa.int64()), ("distinct_words", pa.int64())])
+#: head: the documents of a chunk, with the bucket that its number falls into.
+HEAD = "ids binary, nulls binary, trains binary, n_tokens binary, vocabulary binary, tf binary, ranks binary"
+_HEAD_ARROW = [(c.split()[0], pa.binary()) for c in HEAD.split(", ")]
+SENT = f"bucket int, chunk long, {HEAD}, words binary, word_counts binary, bigrams binary, bigram_counts binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *_HEAD_ARROW, *((c, pa.binary()) for c in ("words", "word_counts", "bigrams", "bigram_counts"))])
+#: kind 0: a bucket's answer to a chunk, and the chunk's head in one of them. 1: a bucket's totals.
+GIVEN = f"kind int, bucket int, chunk long, {HEAD}, counts binary, word_levels binary, bigram_levels binary, total long, distinct_words long"
+_GIVEN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *_HEAD_ARROW, *((c, pa.binary()) for c in ("counts", "word_levels", "bigram_levels")), ("total", pa.int64()), ("distinct_words", pa.int64())])
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +65,19 @@ def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    lead = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[lead], np.diff(np.append(lead, len(values)))
+def _counted(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints of 48 bits in order, and how many of each are flagged."""
+    both = np.sort(hashes << np.uint64(1) | flags.astype(np.uint64))
+    keys = both >> np.uint64(1)
+    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[lead], np.add.reduceat((both & np.uint64(1)).astype(np.int64), lead) if len(lead) else lead
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[lead], np.add.reduceat(counts, lead) if len(lead) else counts[:0]
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, the sums of their counts, and the place of each list's keys among them."""
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+    return distinct, total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def _small(values: np.ndarray) -> np.ndarray:
@@ -85,42 +90,40 @@ class _Counts:
         self.clear()
 
     def clear(self) -> None:
-        self.tokens, self.bounds, self.ids, self.texts, self.trains, self.held = [], [], [], [], [], 0
+        self.tokens, self.bounds, self.ids, self.trains, self.held = [], [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         tokens, bounds = tokens_of(batch.column(1))
         self.tokens.append(tokens)
         self.bounds.append(np.diff(bounds))
         self.ids.append(batch.column(0))
-        self.texts.append(batch.column(3).to_numpy(zero_copy_only=False))
         self.trains.append(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
         self.held += len(tokens)
 
     def send(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket; bucket 0's also has the documents of the chunk."""
+        """A row for each bucket; one also has the documents of the chunk."""
         tokens, size, trains = (np.concatenate(x) for x in (self.tokens, self.bounds, self.trains))
         ids = pa.chunked_array(self.ids).combine_chunks()
-        doc = np.repeat(np.arange(len(size), dtype=np.int64), size)
-        # words by fingerprint, then document: a stable sort keeps the documents in order
-        order = np.argsort(tokens, kind="stable")
-        words, docs = tokens[order], doc[order]
-        lead = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (docs[1:] != docs[:-1])]))
-        tf = np.diff(np.append(lead, len(words)))
-        words, docs = words[lead], docs[lead]
-        shift = np.uint64(64 - self.bits)
-        cut = lambda sorted_hashes, by: np.searchsorted(sorted_hashes >> by, np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(sorted_hashes)])
+        self.clear()
+        trained = np.repeat(trains, size)
+        words, place = np.unique(tokens, return_inverse=True)
+        counts = np.bincount(place[trained], minlength=len(words))
         inside = np.ones(len(tokens), bool)
         inside[np.cumsum(size) - size] = False
-        bigrams, counts = _count_sorted(bigram_hashes(tokens)[inside & trains[doc]])
+        bigrams, counts2 = _counted(bigram_hashes(tokens)[inside], trained[inside])
+        # frequent words have low ranks, which are packed tighter
+        tf = np.bincount(place, minlength=len(words))
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-tf, kind="stable")] = np.arange(len(words))
+        head = [shrink(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), np.packbits(trains).tobytes(), shrink(size.astype("<i8"))]
+        head += [shrink_sorted(words), shrink(_small(tf)), shrink(_small(rank[place]))]
+        shift = np.uint64(64 - self.bits)
+        cut = lambda sorted_hashes, by: np.searchsorted(sorted_hashes >> by, np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(sorted_hashes)])
         at, at2 = cut(words, shift), cut(bigrams, shift - np.uint64(16))
-        head = [shrink(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), shrink(np.concatenate(self.texts).astype("<i8")), shrink(size.astype("<i8"))]
-        self.clear()
-        marks = np.packbits(trains).tobytes()
+        home = int(common.mix64(np.array([chunk + 1], np.uint64))[0]) & ((1 << self.bits) - 1)
         for b in range(1 << self.bits):
-            w, d = words[at[b] : at[b + 1]], docs[at[b] : at[b + 1]]
-            own, posts = _count_sorted(w)
-            g, n = bigrams[at2[b] : at2[b + 1]], counts[at2[b] : at2[b + 1]]
-            row = [b, chunk, len(size), *(head if b == 0 else [None] * 4), shrink_sorted(own), shrink(_small(posts)), shrink(_small(d)), shrink(_small(tf[at[b] : at[b + 1]])), marks, shrink_sorted(g), shrink(_small(n))]
+            w, g = slice(at[b], at[b + 1]), slice(at2[b], at2[b + 1])
+            row = [b, chunk, *(head if b == home else [None] * len(head)), shrink_sorted(words[w]), shrink(_small(counts[w])), shrink_sorted(bigrams[g]), shrink(_small(counts2[g]))]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
@@ -157,6 +160,11 @@ def build_segment(words: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarra
     return np.packbits(bits, bitorder="little").tobytes(), lows[0], lows[1]
 
 
+def size_for(entries: int, least: int) -> int:
+    """Bytes of a segment of which so many entries set no more than FILL of the bits."""
+    return max(least, int(np.ceil(entries * PROBES / (-np.log(1 - FILL) * 8))) + 1)
+
+
 class Filter:
     """The whole filter; a fingerprint's high bits choose its segment."""
 
@@ -183,8 +191,8 @@ class Filter:
         return out
 
 
-def _count(key: tuple, sent: pa.Table, bits: int, size: int) -> pa.Table:
-    """What a bucket knows: exact counts of its words, the parts of the scores, and its segment of the filter."""
+def _count(key: tuple, sent: pa.Table, least: int) -> pa.Table:
+    """What a bucket knows, told to each chunk: exact counts of its words, and the levels in its segment of the filter."""
     out = {c: [] for c in _GIVEN_ARROW.names}
 
     def put(**row: object) -> None:
@@ -192,50 +200,47 @@ def _count(key: tuple, sent: pa.Table, bits: int, size: int) -> pa.Table:
             out[c].append(row.get(c))
 
     bucket = key[0].as_py()
-    chunks, words, counts, bigrams, n_bigrams = [], [], [], [], []
-    order = np.argsort(sent["chunk"].to_numpy())
-    for row in sent.take(pa.array(order)).to_pylist():
-        n = row["docs"]
-        trains = np.unpackbits(np.frombuffer(row["trains"], np.uint8), count=n).astype(bool)
-        own = grow_sorted(row["words"], "<u8")
-        posts, doc_of, tf = (grow(row[c], "<u4").astype(np.int64) for c in ("posts", "doc_of", "tf"))
-        if row["ids"] is not None:
-            put(kind=1, bucket=bucket, chunk=row["chunk"], ids=row["ids"], nulls=row["nulls"], texts=row["texts"], n_tokens=row["n_tokens"])
-        chunks.append((row["chunk"], n, own, posts, doc_of, tf))
-        words.append(own)
-        lead = np.cumsum(posts) - posts
-        counts.append(np.add.reduceat(np.where(trains[doc_of], tf, 0), lead) if len(own) else np.zeros(0, np.int64))
-        bigrams.append(grow_sorted(row["bigrams"], "<u8"))
-        n_bigrams.append(grow(row["counts"], "<u4").astype(np.int64))
-    vocabulary, c = _sum_by(np.concatenate(words), np.concatenate(counts))
-    vocabulary, c = vocabulary[c > 0], c[c > 0]
-    for chunk, n, own, posts, doc_of, tf in chunks:
-        at = np.minimum(np.searchsorted(vocabulary, own), max(len(vocabulary) - 1, 0))
-        known = vocabulary[at] == own if len(vocabulary) else np.zeros(len(own), bool)
-        count = np.where(known, c[at] if len(c) else 0, 0)
-        value = np.repeat(np.log10(count + 1.0), posts) * tf
-        parts = np.bincount(doc_of, value, n)
-        seen = np.bincount(doc_of, np.repeat(known, posts) * tf.astype(float), n)
-        put(kind=0, bucket=bucket, chunk=chunk, parts=parts.astype("<f8").tobytes(), known=shrink(seen.astype("<i8")))
-    held, often = _sum_by(np.concatenate(bigrams), np.concatenate(n_bigrams))
-    segment, low_words, low_bigrams = build_segment((vocabulary, level_of(c)), (held, level_of(often)), size)
-    put(kind=2, bucket=bucket, segment=segment, low_words=low_words, low_bigrams=low_bigrams, total=int(c.sum()), distinct_words=len(vocabulary))
+    rows = sent.to_pylist()
+    words, c, at = _summed([grow_sorted(r["words"], "<u8") for r in rows], [grow(r["word_counts"], "<u4") for r in rows])
+    bigrams, often, at2 = _summed([grow_sorted(r["bigrams"], "<u8") for r in rows], [grow(r["bigram_counts"], "<u4") for r in rows])
+    seen, seen2 = c > 0, often > 0
+    known, pairs = (words[seen], level_of(c[seen])), (bigrams[seen2], level_of(often[seen2]))
+    segment, *lows = build_segment(known, pairs, size_for(int(known[1].sum() + pairs[1].sum()), least))
+    model = Filter(np.frombuffer(segment, np.uint8).reshape(1, -1), *(np.array([x]) for x in lows), 0)
+    levels, levels2 = model.levels(words, 64).astype(np.uint8), model.levels(bigrams, 48).astype(np.uint8)
+    for row, w, g in zip(rows, at, at2, strict=True):
+        head = {name: row[name] for name, _ in _HEAD_ARROW}
+        put(kind=0, bucket=bucket, chunk=row["chunk"], **head, counts=shrink(c[w].astype("<i8")), word_levels=shrink(levels[w]), bigram_levels=shrink(levels2[g]))
+    put(kind=1, bucket=bucket, total=int(c.sum()), distinct_words=int(seen.sum()))
+    common.trim()
     return pa.table(out, schema=_GIVEN_ARROW)
 
 
-def _gather(group: pa.Table) -> pa.Table:
-    """Adds up the parts of a chunk's documents."""
+def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
+    """The scores of a chunk's documents, from the answers of all buckets."""
     rows = group.sort_by("bucket").to_pylist()
-    head = next(r for r in rows if r["kind"] == 1)
-    n_tokens = grow(head["n_tokens"], "<i8")
-    n = len(n_tokens)
-    nulls = np.unpackbits(np.frombuffer(head["nulls"], np.uint8), count=n).astype(bool)
-    parts, known = np.zeros(n), np.zeros(n, np.int64)
-    for r in rows:
-        if r["kind"] == 0:
-            parts += np.frombuffer(r["parts"], "<f8")
-            known += grow(r["known"], "<i8")
-    return pa.table({"doc_id": pa.array(grow(head["ids"], "<i8"), mask=nulls), "text_hash": grow(head["texts"], "<i8"), "n_known": known, "part": parts})
+    head = next(r for r in rows if r["ids"] is not None)
+    size = grow(head["n_tokens"], "<i8")
+    n = len(size)
+    nulls, trains = (np.unpackbits(np.frombuffer(head[x], np.uint8), count=n).astype(bool) for x in ("nulls", "trains"))
+    # buckets in order are fingerprints in order
+    exact, levels, levels2 = (np.concatenate([grow(r[name], kind) for r in rows]) for name, kind in (("counts", "<i8"), ("word_levels", "u1"), ("bigram_levels", "u1")))
+    place = np.argsort(-grow(head["tf"], "<u4").astype(np.int64), kind="stable")[grow(head["ranks"], "<u4")]
+    pairs = bigram_hashes(grow_sorted(head["vocabulary"], "<u8")[place])
+    first = np.cumsum(size) - size
+    inside = np.ones(len(place), bool)
+    inside[first] = False
+    together, context = np.zeros(len(place)), np.zeros(len(place))
+    together[inside] = count_of(levels2)[np.unique(pairs[inside], return_inverse=True)[1]]
+    c = count_of(levels)[place]
+    context[1:] = c[:-1]
+    context[first] = 0
+    p = (np.minimum(together, context) + MU * (c + 1) / (total + distinct_words + 1)) / (context + MU)
+    sums = lambda x: np.add.reduceat(x, first)
+    out = {"doc_id": pa.array(grow(head["ids"], "<i8"), mask=nulls), "held_out": ~trains, "n_tokens": size, "n_known": sums((exact > 0).astype(np.int64)[place])}
+    out |= {"part": sums(np.log10(exact + 1.0)[place]), "score": sums(np.log10(p))}
+    common.trim()
+    return pa.table(out)
 
 
 def held_out():
@@ -245,10 +250,10 @@ def held_out():
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    docs = docs.select("doc_id", "text", held_out().alias("held_out"), F.xxhash64("text").alias("text_hash"))
+    docs = docs.select("doc_id", "text", held_out().alias("held_out"))
     tokens = (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = max(0, int(tokens // BUCKET).bit_length())
-    size = FILTER >> bits
+    least = FILTER >> bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, chunk = _Counts(bits), TaskContext.get().partitionId() << 24
@@ -261,39 +266,9 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield from counts.send(chunk)
 
     sent = docs.mapInArrow(send, SENT)
-    given = common.staged(spark, sent.groupBy("bucket").applyInArrow(lambda key, table: _count(key, table, bits, size), GIVEN), "counts")
-
-    # FILTER bytes and one row of numbers for each bucket
-    segments = given.where("kind = 2").select("bucket", "segment", "low_words", "low_bigrams", "total", "distinct_words").toArrow().to_pylist()
-    filled = np.zeros((1 << bits, size), np.uint8)
-    lows = np.ones((2, 1 << bits), np.int64)
-    for r in segments:
-        filled[r["bucket"]] = np.frombuffer(r["segment"], np.uint8)
-        lows[:, r["bucket"]] = r["low_words"], r["low_bigrams"]
-    total, vocabulary = sum(r["total"] for r in segments), sum(r["distinct_words"] for r in segments)
-    shared = spark.sparkContext.broadcast(Filter(filled, *lows, bits))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in common.text_slices(batches):
-            tokens, bounds = tokens_of(batch.column(1))
-            words, back = np.unique(tokens, return_inverse=True)
-            c = count_of(model.levels(words, 64))[back]
-            unigram = (c + 1) / (total + vocabulary + 1)
-            pairs = bigram_hashes(tokens)
-            together = count_of(model.levels(pairs, 48))
-            context = np.concatenate([[0.0], c[:-1]])
-            first = bounds[:-1]
-            together[first], context[first] = 0, 0
-            p = (np.minimum(together, context) + MU * unigram) / (context + MU)
-            sums = np.add.reduceat(np.log10(p), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(bounds)), pa.array(sums), batch.column(3)], names=["doc_id", "held_out", "n_tokens", "score", "text_hash"])
-
-    scored = docs.mapInArrow(probe, "doc_id long, held_out boolean, n_tokens long, score double, text_hash long")
-    based = given.where("kind < 2").select("kind", "bucket", "chunk", "ids", "nulls", "texts", "n_tokens", "parts", "known")
-    based = based.groupBy("chunk").applyInArrow(_gather, "doc_id long, text_hash long, n_known long, part double")
-    # rows that repeat an id and its text have one score
-    based = based.groupBy("doc_id", "text_hash").agg(F.first("n_known").alias("n_known"), F.min("part").alias("part")).withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
-    joined = scored.join(based, scored["doc_id"].eqNullSafe(based["id_"]) & (scored["text_hash"] == based["hash_"]))
+    given = common.staged(spark, sent.groupBy("bucket").applyInArrow(lambda key, table: _count(key, table, least), GIVEN), "counts")
+    total, vocabulary = (int(x or 0) for x in given.where("kind = 1").agg(F.sum("total"), F.sum("distinct_words")).first())
+    answers = given.where("kind = 0").drop("kind", "total", "distinct_words")
+    scored = answers.groupBy("chunk").applyInArrow(lambda table: _gather(table, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double")
     base = F.col("part") - F.col("n_tokens") * F.log10(F.lit(float(total + vocabulary + 1)))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
