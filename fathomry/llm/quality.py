@@ -4,8 +4,8 @@ Every text is measured: words, word characters, symbols, repeated lines, and wor
 decide only what no corpus would keep (BASE rule). The rest is decided against the text's own kind: a mergeable
 quantile sketch of each measure is kept for each language and source, sketches of a language merge into one for
 sources with few rows, and these into one for all; a measure is out of bounds if it lies further from its group's
-median than SPREAD times the distance of the quartile (or of a floor, where a group hardly varies). Thresholds are
-joined to the rows by language and source.
+median than so many times the distance of a quantile in the tail (or of a floor, where a group doesn't vary at all).
+Thresholds are joined to the rows by language and source.
 
 Texts: null counts as no words, and fails the base rule. Null languages and sources are a group like any other.
 Repeated rows are judged each; an empty table gives an empty result.
@@ -28,9 +28,12 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 10, 20
 #: Rows that a group must have to be judged by its own sketch.
 LEAST_ROWS = 200
-SPREAD = 6.0
-#: Measures with the least distance between median and quartile that counts, and whether low values are out of bounds too.
-MEASURES = {"symbol_rate": (0.15, False), "dup_line_rate": (0.08, False), "repeat_rate": (0.03, False), "word_length": (0.5, True)}
+#: Items a sketch keeps; ranks are off by about 0.3 %, so that a quantile of 0.99 isn't the largest value.
+SKETCH = 1000
+#: Measures with the quantile of the tail, how many times its distance from the median is within bounds, the least
+#: distance that counts, and whether low values are out of bounds too. Where junk itself makes up part of a tail
+#: (symbols, long words) the quantile lies before it.
+MEASURES = {"symbol_rate": (0.8, 4.0, 0.02, False), "dup_line_rate": (0.99, 2.0, 0.02, False), "repeat_rate": (0.99, 2.0, 0.01, False), "word_length": (0.9, 4.0, 0.05, True)}
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -101,17 +104,17 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def thresholds(rates: DataFrame) -> DataFrame:
     """(lang, source, and low and high bounds of each measure) for every language and source."""
-    sketches = rates.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES))
+    sketches = rates.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m, SKETCH).alias(m) for m in MEASURES))
     merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
     by_lang = sketches.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), *merged)
     overall = sketches.agg(*merged)
     out = sketches.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(overall).alias("o"))  # one row
     columns = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
-    for m, (floor, both) in MEASURES.items():
+    for m, (tail, times, floor, both) in MEASURES.items():
         sketch = F.when(F.col("g.rows") >= LEAST_ROWS, F.col(f"g.{m}")).when(F.col("lang_rows") >= LEAST_ROWS, F.col(f"l.{m}")).otherwise(F.col(f"o.{m}"))
         at = lambda q, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(q))
-        columns.append((at(0.5) + SPREAD * F.greatest(at(0.75) - at(0.5), F.lit(floor))).alias(f"high_{m}"))
-        columns.append((at(0.5) - SPREAD * F.greatest(at(0.5) - at(0.25), F.lit(floor)) if both else F.lit(float("-inf"))).alias(f"low_{m}"))
+        columns.append((at(0.5) + times * F.greatest(at(tail) - at(0.5), F.lit(floor))).alias(f"high_{m}"))
+        columns.append((at(0.5) - times * F.greatest(at(0.5) - at(1 - tail), F.lit(floor)) if both else F.lit(float("-inf"))).alias(f"low_{m}"))
     return out.select(*columns)
 
 
