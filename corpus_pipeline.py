@@ -29,9 +29,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; rows without a doc_id go."""
-    first = simhash.near_groups(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies one row stays: that with the smallest doc_id, rows without a doc_id coming last."""
+    rows = common.staged(spark, docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    groups = simhash.near_groups(spark, rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "row_")
+    first = rows.select("row_", order.alias("order")).join(groups, "row_").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select("order.row_"), "row_", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
