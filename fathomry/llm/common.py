@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it unset and gets one of its own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="staging-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,6 +42,13 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Empties the folders of staged frames that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            df.sparkSession.range(0).write.mode("overwrite").parquet(folder)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     gc.collect()
@@ -116,31 +126,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each word: its bytes taken eight at a time, each eight scrambled into the state."""
-    padded = np.zeros(len(raw) + 8, np.uint8)
-    padded[: len(raw)] = raw
-    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
-    size = stops - starts
-    state = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 + 2 * seed))
-    live, at = np.arange(len(starts)), starts
-    left = size
-    while len(live):
-        got = eight[at]
-        short = left < 8
-        if short.any():
-            got = got.copy()
-            got[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-        state[live] = mix64(state[live] * np.uint64(0xC2B2AE3D27D4EB4F) ^ got)
-        more = left > 8
-        live, at, left = live[more], at[more] + 8, left[more] - 8
-    return state
+class Digests:
+    """Two independent 64-bit numbers for each word: the halves of its BLAKE2b digest under a secret key.
+
+    Whoever writes a text doesn't know the key, so no two words can be made to agree. Distinct words are digested once
+    and kept; beyond `keep` of them the table starts anew, which costs time only.
+    """
+
+    def __init__(self, key: bytes, keep: int = 1 << 18):
+        self.key, self.keep = key, keep
+        self.number: dict[bytes, int] = {}
+        self.table = np.empty((1 << 14, 2), np.uint64)
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """[n, 2] of the words from `starts` to `stops` in bytes."""
+        data = raw.tobytes()
+        words = [data[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
+        if len(self.number) > self.keep:
+            self.number = {}
+        got = list(map(self.number.get, words))
+        if None in got:
+            fresh = list(dict.fromkeys(w for w, n in zip(words, got, strict=True) if n is None))
+            at = len(self.number)
+            while at + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            digests = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in fresh])
+            self.table[at : at + len(fresh)] = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            got = list(map(self.number.__getitem__, words))
+        return self.table[np.array(got, np.int64)]
+
+
+@lru_cache(maxsize=2)
+def digests_of(key: bytes) -> Digests:
+    """One table for each key in a worker process, kept between tasks."""
+    return Digests(key)
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,26 +186,43 @@ def covered(first: np.ndarray, n_words: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+#: A node with more edges than this, and than a 50,000th of all edges, is a hub: there are at most 50,000 hubs.
+HUB, HUBS = 1000, 50_000
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, bound: int) -> DataFrame:
+    """Edges (a, b) with `m`, what `low` (a, m, n) says of a; edges of hubs meet it without a shuffle, so that none gathers in one task."""
+    hubs = F.broadcast(low.where(F.col("n") > bound).select("a", "m"))  # at most HUBS rows, or all edges / HUB
+    tagged = edges.join(hubs, "a", "left")
+    rest = tagged.where("m is null").select("a", "b").join(low.where(F.col("n") <= bound).select("a", "m"), "a")
+    return tagged.where("m is not null").select("a", "b", "m").union(rest.select("a", "b", "m"))
+
+
 def components(spark: SparkSession, links: DataFrame, label: str) -> DataFrame:
-    """Connected components of `links` (a long, b long): (id, root), root the smallest id reachable.
+    """Connected components of `links` (a, b of one type that has an order): (id, root), root the smallest id reachable.
 
-    Alternates large-star and small-star contractions on DataFrames. A node's neighbours are reduced by an
-    aggregate and rejoined, never gathered, so a hub of any degree is fine; each round is staged in the shared
-    folder. The number of rounds grows with the logarithm of the longest path.
+    Alternates large-star and small-star contractions on DataFrames. A node's neighbours are reduced by an aggregate and
+    rejoined, never gathered. Each round is staged in the shared folder, the one before is emptied. The number of
+    rounds grows with the logarithm of the longest path. Nodes without a link don't appear.
     """
     edges = staged(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    bound = max(HUB, 2 * edges.count() // HUBS)
     while True:
         # large star: every neighbour above u is hung onto the smallest of u's neighbourhood
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        grown = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        grown = staged(spark, _with_lowest(both.where("b > a"), low, bound).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
         # small star: u and its lower neighbours are hung onto the smallest of them
-        grown = staged(spark, grown.distinct(), label)
-        low = grown.groupBy("a").agg(F.min("b").alias("m"))
-        shrunk = grown.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = grown.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        shrunk = _with_lowest(grown, low, bound).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = staged(spark, shrunk.where("a <> b").distinct(), label)
+        discard(edges, grown)
         # done when every node has one parent and no parent has a parent of its own
         heads = after.groupBy("a").agg(F.count("*").alias("n"))
         if heads.where("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
             return after.select(F.col("a").alias("id"), F.col("b").alias("root"))
         edges = after
+
+
+#: Stands for a null id where ids are ordered, so that nulls come last.
+NO_ID = (1 << 63) - 1

@@ -1,20 +1,29 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most four bits share at least four of
-them, the guaranteed minimum. The inverted index therefore has one posting list for each choice of four positions
-and the bytes there; a pair that meets in a list has its shared bytes tallied, must reach the minimum, and is
-verified by its differing bits. Lists are kept for distinct fingerprints only, so exact copies cost nothing.
+them, the guaranteed minimum. The inverted index posts a fingerprint under its rarest positional bytes only, in one
+order of rarity for all: two that share four of eight must share one among the five rarest of each (WIDTH 1), two among
+the six rarest, or three among the seven rarest. In a posting list the shared positional bytes of each pair are
+tallied; pairs that reach the minimum are verified by their differing bits. Lists are kept for distinct fingerprints
+only, so exact copies cost nothing.
+
+A list's key has as many positional bytes as keep lists short: one up to some 10^5 distinct fingerprints, then two,
+three and four. All of these find the same pairs; only the work differs.
 
 From each list come the links of a spanning forest, not all pairs: a search that starts from one fingerprint takes
 up everything near it, and what has been taken up is not compared again. Buckets of lists above BLOCK entries are cut
 into blocks whose pairs are separate tasks.
 
 Texts: A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`, shingles four words joined by a space (fewer words: all
-of them; none, or a null text: fingerprint zero). Ties of bits (set in exactly half the shingles) give 0.
+of them; none, or a null text: fingerprint zero). Ties of bits (set in exactly half the shingles) give 0. Repeated rows
+are one fingerprint and stay rows of their own. A null doc_id is never the smallest: a group has the smallest doc_id
+that isn't null, or null if all are (2^63 - 1 counts as null). Columns other than doc_id and text are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,11 +38,26 @@ from . import common
 SHINGLE, SEED = 4, 42
 MAX_BITS, BYTES = 4, 8
 SHARED = BYTES - MAX_BITS  # bytes that a linked pair is sure to share
-#: Fingerprints in a bucket of posting lists, on average, and in a block of a bucket at most.
-BUCKET, BLOCK = 1 << 16, 1 << 19
+#: Fingerprints in a bucket of posting lists, on average, in a block of a bucket at most, and in a list on average at most.
+BUCKET, BLOCK, LIST = 1 << 16, 1 << 19, 256
+
+
+def choices(width: int) -> list[tuple[int, ...]]:
+    """The positions that a list's key may take its bytes from."""
+    return list(combinations(range(BYTES), width))
+
 
-POSITIONS = list(combinations(range(BYTES), SHARED))
-MASKS = np.array([sum(0xFF << 8 * p for p in c) for c in POSITIONS], np.uint64)
+def mask_of(choice: tuple[int, ...]) -> np.uint64:
+    return np.uint64(sum(0xFF << 8 * p for p in choice))
+
+
+def width_for(n: int) -> int:
+    """Positional bytes in a key so that lists of `n` fingerprints have LIST entries on average at most, if bytes were even."""
+    for width in range(1, SHARED):
+        posted, lists = math.comb(SHARED + width, width), math.comb(BYTES, width) << 8 * width
+        if n * posted <= LIST * lists:
+            return width
+    return SHARED
 
 
 def fingerprints(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -91,9 +115,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter and verification of pairs: enough shared positional bytes, and few differing bits."""
+    """Of pairs: the shared positional bytes are tallied, and where they reach the minimum the differing bits are counted."""
     differ = np.ascontiguousarray(a ^ b)
-    shared = (differ.view(np.uint8).reshape(*differ.shape, BYTES) == 0).sum(-1)
+    shared = (differ.view(np.uint8).reshape(*differ.shape, BYTES) == 0).sum(-1, dtype=np.uint8)
     out = shared >= SHARED
     out[out] = np.bitwise_count(differ[out]) <= MAX_BITS
     return out
@@ -149,45 +173,87 @@ def bucket_links(prints: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
+def rarity(prints: DataFrame) -> np.ndarray:
+    """[8, 256]: the place of each positional byte in one order from the rarest to the most frequent; 2048 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BYTES << 8, np.int64)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, BYTES) + 256 * np.arange(BYTES)
+            total += np.bincount(at.reshape(-1), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+    counts = prints.select("fingerprint").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BYTES << 8, np.int64)
+    n[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    order = np.empty(len(n), np.int64)
+    order[np.lexsort((np.arange(len(n)), n))] = np.arange(len(n))
+    return order.reshape(BYTES, 256)
+
+
+def posted_under(prints: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """For each fingerprint the set of its positions, as bits, that are among its SHARED + width rarest."""
+    places = order[np.arange(BYTES), prints.view(np.uint8).reshape(-1, BYTES)]
+    kept = np.argsort(places, axis=1)[:, : SHARED + width]
+    return np.bitwise_or.reduce(np.left_shift(1, kept), axis=1)
+
+
 def links_of(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within MAX_BITS of each other. `prints`: staged, distinct."""
-    buckets = max(1, prints.count() // BUCKET)
+    """Links that connect all distinct fingerprints within MAX_BITS of each other: a and b, structs of (low, print).
+
+    prints: (fingerprint long, low long), staged, distinct. A node's order is that of its `low`, the smallest doc_id.
+    """
+    spark, n = prints.sparkSession, prints.count()
+    buckets, width = max(1, n // BUCKET), width_for(n)
+    order = rarity(prints)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for c, mask in enumerate(MASKS):
-                where = (common.mix64((all_prints & mask) + np.uint64(c)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                found, first = np.unique(where[order], return_index=True)
-                parts = [all_prints[x].tobytes() for x in np.split(order, first[1:])] if len(order) else []
+            every, lows = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+            under = posted_under(every, order, width)
+            for c, choice in enumerate(choices(width)):
+                bits = sum(1 << p for p in choice)
+                chosen = np.flatnonzero(under & bits == bits)
+                where = (common.mix64((every[chosen] & mask_of(choice)) + np.uint64(c)) % np.uint64(buckets)).astype(np.int64)
+                by_bucket = np.argsort(where, kind="stable")
+                found, first = np.unique(where[by_bucket], return_index=True)
+                parts = [np.stack([every[x], lows[x]]).tobytes() for x in np.split(chosen[by_bucket], first[1:])] if len(chosen) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), c), pa.int32()), pa.array(found), pa.array([len(p) // 8 for p in parts], pa.int64()), pa.array(parts, pa.binary())],
+                    [pa.array(np.full(len(found), c), pa.int32()), pa.array(found), pa.array([len(p) // 16 for p in parts], pa.int64()), pa.array(parts, pa.binary())],
                     names=["choice", "bucket", "n", "prints"],
                 )
 
-    posted = prints.select("fingerprint").mapInArrow(post, "choice int, bucket long, n long, prints binary")
-    posted = common.staged(prints.sparkSession, posted, "postings")
+    posted = prints.select("fingerprint", "low").mapInArrow(post, "choice int, bucket long, n long, prints binary")
+    posted = common.staged(spark, posted, "postings")
     sizes = posted.groupBy("choice", "bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     units = posted.join(sizes, ["choice", "bucket"]).withColumn("own", F.pmod(F.xxhash64("prints"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("choice", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "prints")
 
     def link(key: tuple, group: pa.Table) -> pa.Table:
-        together = np.frombuffer(b"".join(group["prints"].to_pylist()), np.uint64)
-        a, b = bucket_links(together, MASKS[key[0].as_py()])
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        parts = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in group["prints"].to_pylist()]
+        every, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        low = np.concatenate([p[1] for p in parts])[first].view(np.int64)
+        ends = bucket_links(every, mask_of(choices(width)[key[0].as_py()]))
+        columns = {}
+        for name, end in zip("ab", ends, strict=True):
+            columns |= {f"{name}_low": pa.array(low[np.searchsorted(every, end)]), name: pa.array(end.view(np.int64))}
+        return pa.table(columns)
 
-    return units.groupBy("choice", "bucket", "lo", "hi").applyInArrow(link, "a long, b long")
+    got = units.groupBy("choice", "bucket", "lo", "hi").applyInArrow(link, "a_low long, a long, b_low long, b long")
+    links = common.staged(spark, got, "links")
+    common.discard(posted)
+    return links.select(*[F.struct(F.col(f"{c}_low").alias("low"), F.col(c).alias("print")).alias(c) for c in "ab"])
 
 
 def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint string, component_id) of every row; component_id is the smallest doc_id that links reach."""
     each = common.staged(spark, fingerprinted(docs), "fingerprints")
-    prints = common.staged(spark, each.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "prints")
-    roots = common.components(spark, links_of(prints), "simhash")
-    grouped = prints.join(roots, prints["fingerprint"] == roots["id"], "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = grouped.select("fingerprint", "root").join(lowest, "root").select("fingerprint", "component_id")
+    prints = common.staged(spark, each.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), F.lit(common.NO_ID)).alias("low")), "prints")
+    links = links_of(prints)
+    roots = common.components(spark, links, "simhash").select(F.col("id.print").alias("print"), F.col("root.low").alias("root"))
+    common.discard(links)
+    # nodes are ordered by their smallest doc_id, so the root's is the component's: one row a fingerprint, no key gathers more
+    of_print = prints.join(roots, prints["fingerprint"] == roots["print"], "left").select("fingerprint", F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component_id"))
     out = each.join(of_print, "fingerprint")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,26 +1,33 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index is a list of immutable runs. A run holds the fingerprints of the windows (WIDTH consecutive words) that one
-batch of documents added, cut into buckets by their high bits and sorted within each; it is a table bucketed by that
-number, so that merging a new batch with old runs moves only the new batch. For every batch
+The index is a folder of immutable runs. A run holds the fingerprints of the windows (WIDTH consecutive words) that one
+batch of documents added, cut into buckets by their high bits and sorted within each. All runs are partitions of one
+table bucketed by that number, so that merging a new batch with old runs moves only the new batch. For every batch
 
 1. tasks fingerprint their windows, settle repeats among their own documents, and send one document's windows for each
    fingerprint, sorted (a passage in a third of all documents becomes one entry a task);
-2. buckets merge-join what was sent with each other and with all runs; a match must also agree in a second,
-   independent fingerprint (the check); what an earlier document or run has is marked, what is new becomes the next run;
-3. when there are more than `max_runs` runs, they are merged into one.
+2. buckets merge-join what was sent with each other and with all runs. A match is verified: the windows must also agree
+   in a check. Fingerprint and check come from independent halves of keyed digests of the window's words, 96 bits
+   together, and the key is secret, so that texts can't be written to collide. What an earlier document or run has is
+   marked, what is new becomes the next run;
+3. when there are more than `max_runs` runs, they are merged into one and the old ones are emptied.
 
-Batches are ascending ranges of doc_id, so runs always belong to smaller ids. Windows are judged on the input, never
-on what is left.
+The folder tells which runs count (a manifest, written after a run is complete), so an index can be opened again in
+another session and go on with the next batch. `dedup` takes ascending ranges of doc_id as batches, so runs always
+belong to smaller ids. Windows are judged on the input, never on what is left.
+
+Size: a bucket holds about BUCKET windows of a batch; there are at most 2**MOST_BITS buckets, in at most MOST_FILES
+files a run, and beyond that size there are more batches.
 
 Texts: null counts as no words; texts of fewer than WIDTH words have no window and stay whole. Windows of rows that
-share a doc_id don't count against each other; a row with a null doc_id is neither marked nor indexed. An empty table
-gives an empty result.
+share a doc_id don't count against each other (repeated rows all keep their words); a row with a null doc_id is neither
+marked nor indexed. An empty table gives an empty result. Extra columns are kept, whatever their names, but for those of
+the columns that are added, which are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 
@@ -30,18 +37,21 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
 WIDTH = 13
 #: Windows that a task holds before it sends them, and windows in a bucket of one batch, on average.
 HELD, BUCKET = 3 << 19, 1 << 19
+#: Bounds of the number of buckets, and of the files of a run; windows that a task holds at most, so that rows stay filled.
+MOST_BITS, MOST_FILES, MOST_HELD = 18, 1 << 15, 1 << 22
 
 SENT = "bucket int, n long, hashes binary, checks binary, doc_ids binary, rows binary, doc_of binary, at binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("hashes", "checks", "doc_ids", "rows", "doc_of", "at"))])
 #: kind 0: marked windows of the documents of one group, packed as they are sent. kind 1: a bucket's new fingerprints.
-KEPT = "kind int, bucket int, n long, hashes binary, checks binary, doc_group long, doc_ids binary, rows binary, doc_of binary, at binary"
-_KEPT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("doc_group", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "rows", "doc_of", "at"))])
+KEPT = "bucket int, n long, hashes binary, checks binary, doc_group long, doc_ids binary, rows binary, doc_of binary, at binary, kind int"
+_KEPT_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("doc_group", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "rows", "doc_of", "at")), ("kind", pa.int32())])
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -67,8 +77,8 @@ def grow_sorted(blob: bytes, kind: str) -> np.ndarray:
 class _Windows:
     """Windows of a task, held until there are enough to be sent."""
 
-    def __init__(self, width: int, bits: int):
-        self.width, self.bits = width, bits
+    def __init__(self, width: int, bits: int, key: bytes):
+        self.width, self.bits, self.digests = width, bits, common.digests_of(key)
         self.clear()
 
     def clear(self) -> None:
@@ -77,16 +87,12 @@ class _Windows:
     def add(self, batch: pa.RecordBatch) -> None:
         raw, ends = common.text_bytes(batch.column(1))
         starts, stops, bounds = common.word_spans(raw, ends)
-        words = common.word_hashes(raw, starts, stops)
-        first, hashes = common.window_hashes(words, bounds, self.width)
-        # the check mixes words otherwise: rotated, and summed with another multiplier
-        turned = words << np.uint64(23) | words >> np.uint64(41)
-        other = np.zeros(len(first), np.uint64)
-        for j in range(self.width):
-            other = other * np.uint64(0xD1342543DE82EF95) + turned[first + j]
+        words = self.digests.of(raw, starts, stops)
+        first, hashes = common.window_hashes(np.ascontiguousarray(words[:, 0]), bounds, self.width)
+        _, checks = common.window_hashes(np.ascontiguousarray(words[:, 1]), bounds, self.width)
         doc = np.searchsorted(bounds, first, "right") - 1
         self.hashes.append(hashes)
-        self.checks.append((common.mix64(other) >> np.uint64(48)).astype(np.uint16))
+        self.checks.append((checks >> np.uint64(32)).astype("<u4"))
         self.doc.append((doc + self.docs).astype(np.int32))
         self.at.append((first - bounds[doc]).astype(np.uint32))
         self.ids.append(batch.column(0).to_numpy(zero_copy_only=False))
@@ -97,7 +103,7 @@ class _Windows:
     def send(self, salt: int) -> Iterator[pa.RecordBatch]:
         """One row for each bucket that has windows, and one with the windows marked here."""
         hashes, checks, doc, at = (np.concatenate(x) for x in (self.hashes, self.checks, self.doc, self.at))
-        ids, rows = np.concatenate(self.ids).astype(np.int64), np.concatenate(self.rows).astype(np.int32)
+        ids, rows = np.concatenate(self.ids).astype(np.int64), np.concatenate(self.rows).astype("<i8")
         self.clear()
         if not len(hashes):
             return
@@ -138,7 +144,7 @@ def _emit_marked(out: dict, groups: int, ids: np.ndarray, rows: np.ndarray, at:
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         lead = a + np.flatnonzero(new[a:b])
-        values = (0, int(group[a]), int(b - a), None, None, int(group[a]), shrink_sorted(ids[lead]), shrink(rows[lead]), shrink((np.cumsum(new[a:b]) - 1).astype(np.uint32)), shrink(at[a:b]))
+        values = (int(group[a]), int(b - a), None, None, int(group[a]), shrink_sorted(ids[lead]), shrink(rows[lead]), shrink((np.cumsum(new[a:b]) - 1).astype(np.uint32)), shrink(at[a:b]), 0)
         for c, v in zip(out, values, strict=True):
             out[c].append(v)
 
@@ -150,7 +156,7 @@ def _unpack_marked(group: pa.Table) -> pa.Table:
     for i, r, d, a in zip(*(group[c].to_pylist() for c in ("doc_ids", "rows", "doc_of", "at")), strict=True):
         doc_of = grow(d, "<u4")
         ids.append(grow_sorted(i, "<i8")[doc_of])
-        rows.append(grow(r, "<i4")[doc_of])
+        rows.append(grow(r, "<i8")[doc_of])
         at.append(grow(a, "<u4"))
     ids, rows, at = (np.concatenate(x) for x in (ids, rows, at))
     order = np.lexsort((at, rows, ids))
@@ -166,10 +172,10 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
     out = {c: [] for c in _KEPT_ARROW.names}
     hashes, checks, ids, rows, at = [], [], [], [], []
     for n, h, c, i, r, d, a in zip(*(sent[x].to_pylist() for x in sent.column_names[1:]), strict=True):
-        doc_ids, row, doc_of, a = grow_sorted(i, "<i8"), grow(r, "<i4"), grow(d, "<u4"), grow(a, "<u4")
+        doc_ids, row, doc_of, a = grow_sorted(i, "<i8"), grow(r, "<i8"), grow(d, "<u4"), grow(a, "<u4")
         if len(got := grow_sorted(h, "<u8")):
             hashes.append(got)
-            checks.append(grow(c, "<u2"))
+            checks.append(grow(c, "<u4"))
             ids.append(doc_ids[doc_of])
             rows.append(row[doc_of])
             at.append(a)
@@ -184,7 +190,7 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
         own, own_check = hashes[lead], checks[lead]
         known = np.zeros(len(own), bool)
         for h, c in zip(runs["hashes"].to_pylist(), runs["checks"].to_pylist(), strict=True):
-            old, old_check = grow_sorted(h, "<u8"), grow(c, "<u2")
+            old, old_check = grow_sorted(h, "<u8"), grow(c, "<u4")
             # both are sorted; a fingerprint stands twice only with another check
             spot = np.searchsorted(old, own)
             live = np.arange(len(own))
@@ -210,132 +216,188 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
 def _compact(group: pa.Table) -> pa.Table:
     """The parts of all runs in one bucket as one sorted part."""
     hashes = np.concatenate([grow_sorted(h, "<u8") for h in group["hashes"].to_pylist()])
-    checks = np.concatenate([grow(c, "<u2") for c in group["checks"].to_pylist()])
+    checks = np.concatenate([grow(c, "<u4") for c in group["checks"].to_pylist()])
     order = np.lexsort((checks, hashes))
     hashes, checks = hashes[order], checks[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])[: len(hashes)]
-    return pa.table({"kind": [1], "bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_group": [None], "doc_ids": [None], "rows": [None], "doc_of": [None], "at": [None]}, schema=_KEPT_ARROW)
+    common.trim()
+    return pa.table({"bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_group": [None], "doc_ids": [None], "rows": [None], "doc_of": [None], "at": [None], "kind": [1]}, schema=_KEPT_ARROW)
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in the warehouse; `bits`: the number of buckets is 2**bits."""
-
-    def __init__(self, spark: SparkSession, bits: int, width: int = WIDTH, max_runs: int = 4):
-        self.spark, self.bits, self.width, self.max_runs = spark, bits, width, max_runs
-        self.name, self.made, self.runs, self.batches = f"substring_{uuid.uuid4().hex}", 0, [], []
-
-    def _save(self, df: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        df.write.partitionBy("kind").bucketBy(1 << self.bits, "bucket").saveAsTable(table)
-        return table
-
-    def add(self, docs: DataFrame) -> None:
-        """Merges a batch (doc_id, text, row) into the index, whose documents must all have larger ids than before, and marks its known windows."""
-        width, bits = self.width, self.bits
+    """An index in the folder `path`, made with `create` and opened again with `open`."""
+
+    def __init__(self, spark: SparkSession, path: str, bits: int, width: int, key: bytes, max_runs: int, files: int):
+        self.spark, self.path, self.bits, self.width, self.key, self.max_runs = spark, path, bits, width, key, max_runs
+        self.table = f"substring_{uuid.uuid4().hex}"
+        place = f"{path}/runs".replace("'", "\\'")
+        spark.sql(f"create table {self.table} ({KEPT}, run int) using parquet partitioned by (kind, run) clustered by (bucket) into {files} buckets location '{place}'")
+        self.version, self.runs, self.batches = 0, [], []
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, bits: int, width: int = WIDTH, max_runs: int = 4) -> FingerprintIndex:
+        """A new index of 2**bits buckets."""
+        if not 0 <= bits <= MOST_BITS:
+            raise ValueError(f"bits are 0 to {MOST_BITS}")
+        # no fewer files than a shuffle has partitions, so that a batch is shuffled to them and never they to it
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, MOST_FILES))
+        values = [(bits, width, bytearray(secrets.token_bytes(32)), max_runs, files)]
+        spark.createDataFrame(values, "bits int, width int, key binary, max_runs int, files int").coalesce(1).write.parquet(f"{path}/settings")
+        cls._manifest(spark, path, 0, [], [])
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index in a folder, with the runs of its latest manifest."""
+        r = spark.read.parquet(f"{path}/settings").first()
+        index = cls(spark, path, r["bits"], r["width"], bytes(r["key"]), r["max_runs"], r["files"])
+        told = spark.read.parquet(f"{path}/manifest-*").orderBy(F.desc("version")).first()
+        index.version, index.runs, index.batches = told["version"], list(told["runs"]), list(told["batches"])
+        if index.batches:
+            spark.sql(f"alter table {index.table} recover partitions")
+        return index
+
+    def _tell(self) -> None:
+        """Writes which runs count from now on."""
+        self.version += 1
+        self._manifest(self.spark, self.path, self.version, self.runs, self.batches)
+
+    @staticmethod
+    def _manifest(spark: SparkSession, path: str, version: int, runs: list[int], batches: list[int]) -> None:
+        row = spark.createDataFrame([(version, runs, batches)], "version int, runs array<int>, batches array<int>")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{version}")
+
+    def _empty(self, kind: int, run: int) -> None:
+        nothing = ", ".join(f"cast(null as {c.split()[1]})" for c in KEPT.split(", ")[:-1])
+        self.spark.sql(f"insert overwrite table {self.table} partition (kind = {kind}, run = {run}) select {nothing} where false")
+
+    def _save(self, df: DataFrame) -> int:
+        run = secrets.randbits(31)  # never that of a run that broke off and left files
+        df.withColumn("run", F.lit(run)).write.insertInto(self.table)
+        return run
+
+    def _part(self, kind: int, runs: list[int]) -> DataFrame:
+        return self.spark.table(self.table).where((F.col("kind") == kind) & F.col("run").isin(runs))
+
+    def add(self, docs: DataFrame, compact: bool = True) -> None:
+        """Merges a batch (doc_id, text, row long), whose documents count as later than all before, and marks its known windows."""
+        width, bits, key = self.width, self.bits, self.key
+        limit = min(max(HELD, 64 << bits), MOST_HELD)
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows, salt = _Windows(width, bits), TaskContext.get().partitionId()
+            windows, salt = _Windows(width, bits, key), TaskContext.get().partitionId()
             for batch in common.text_slices(batches):
                 windows.add(batch)
-                if windows.held >= HELD:
+                if windows.held >= limit:
                     yield from windows.send(salt)
                     salt += 1
             if windows.docs:
                 yield from windows.send(salt)
 
         sent = docs.select("doc_id", "text", "row").mapInArrow(send, SENT)
-        known = None
-        for table in self.runs:
-            run = self.spark.table(table).where("kind = 1").select("bucket", "hashes", "checks")
-            known = run if known is None else known.union(run)
-        if known is None:
-            known = self.spark.createDataFrame([], "bucket int, hashes binary, checks binary")
+        known = self._part(1, self.runs).select("bucket", "hashes", "checks")
         merged = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda key, a, b: _merge(key, a, b, 1 << bits), KEPT)
-        table = self._save(merged)
-        self.runs.append(table)
-        self.batches.append(table)
-        if len(self.runs) > self.max_runs:
+        run = self._save(merged)
+        self.runs.append(run)
+        self.batches.append(run)
+        self._tell()
+        if compact and len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
         """Merges all runs into one."""
-        every = None
-        for table in self.runs:
-            run = self.spark.table(table).where("kind = 1").drop("kind")
-            every = run if every is None else every.union(run)
-        merged = self._save(every.groupBy("bucket").applyInArrow(_compact, KEPT))
-        for table in self.runs:
-            if table not in self.batches:
-                self.spark.sql(f"drop table {table}")
-            else:  # marks stay, the run goes
-                self.spark.sql(f"alter table {table} drop partition (kind = 1) purge")
-        self.runs = [merged]
-
-    def marked(self) -> DataFrame:
-        """(doc_id, row, at) of all batches, once for each document: the first words of its marked windows."""
-        out = None
-        for table in self.batches:
-            part = self.spark.table(table).where("kind = 0").select("doc_group", "doc_ids", "rows", "doc_of", "at")
-            out = part if out is None else out.union(part)
-        return out.groupBy("doc_group").applyInArrow(_unpack_marked, "doc_id long, row int, at binary")
+        old = self.runs
+        self.runs = [self._save(self._part(1, old).select(*_KEPT_ARROW.names).groupBy("bucket").applyInArrow(_compact, KEPT))]
+        self._tell()
+        for run in old:  # the marks of its batch stay
+            self._empty(1, run)
+
+    def marked(self, batches: list[int] | None = None) -> DataFrame:
+        """(doc_id, row, at) of batches (all, if none are named), once for each document: the first words of its marked windows."""
+        part = self._part(0, self.batches if batches is None else batches).select("doc_group", "doc_ids", "rows", "doc_of", "at")
+        return part.groupBy("doc_group").applyInArrow(_unpack_marked, "doc_id long, row long, at binary")
+
+    def close(self) -> None:
+        """Forgets the table's name; the folder stays."""
+        self.spark.sql(f"drop table if exists {self.table}")
 
     def drop(self) -> None:
-        for table in {*self.runs, *self.batches}:
-            self.spark.sql(f"drop table if exists {table} purge")
+        """Closes the index and empties its folder."""
+        self.close()
+        self.spark.range(0).write.mode("overwrite").parquet(self.path)
 
 
-def mark(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4) -> DataFrame:
-    """(doc_id, row, at binary): for each document the first words of its windows that a smaller doc_id has too, staged."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text", F.hash("text").alias("row"))
-    cuts = [i / batches for i in range(1, batches)]
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row) of the rows with a doc_id; row tells the texts of rows that share a doc_id apart."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+
+
+def mark(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4, max_runs: int = 2) -> DataFrame:
+    """(doc_id, row, at binary): for each document the first words of its windows that a smaller doc_id has too, staged.
+
+    batches: how many ranges of doc_id at least.
+    """
+    docs = keyed(docs)
     # six bytes a word is near enough to size the buckets
-    size, edges = docs.select(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", cuts or [0.5])).first()
-    bits = max(0, int((size or 0) / 6 / batches / BUCKET).bit_length())
-    index = FingerprintIndex(spark, bits, width)
-    edges = sorted(set(edges or [])) if batches > 1 else []
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        part = docs
-        if low is not None:
-            part = part.where(F.col("doc_id") > low)
-        if high is not None:
-            part = part.where(F.col("doc_id") <= high)
-        index.add(part)
-        common.release_shuffles(spark)
-    out = common.staged(spark, index.marked(), "marked")
-    index.drop()
-    return out
-
-
-def _strip(text: bytes | None, at: bytes | None, width: int) -> tuple[int, int, bytes]:
-    """(words, words removed, kept words joined by one space)."""
+    words = (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    batches = max(batches, int(words / (BUCKET << (MOST_BITS + 2))))
+    bits = min(MOST_BITS, int(words / batches / BUCKET).bit_length())
+    cuts = [i / batches for i in range(1, batches)]
+    edges = sorted(set(docs.select(F.percentile_approx("doc_id", cuts)).first()[0] or [])) if cuts else []
+    index = FingerprintIndex.create(spark, f"{common.shared_dir(spark)}/index-{uuid.uuid4().hex}", bits, width, max_runs)
+    try:
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            part = docs
+            if low is not None:
+                part = part.where(F.col("doc_id") > low)
+            if high is not None:
+                part = part.where(F.col("doc_id") <= high)
+            index.add(part, compact=high is not None)  # nothing comes after the last
+            common.release_shuffles(spark)
+        return common.staged(spark, index.marked(), "marked")
+    finally:
+        index.drop()
+
+
+def _strip(text: bytes | None, at: bytes | None, width: int, layout: bool) -> tuple[int, int, bytes]:
+    """(words, words removed, what is kept: words joined by one space, or with `layout` the text without the words removed and the blanks after them)."""
     raw = np.frombuffer(text or b"", np.uint8)
     starts, stops, _ = common.word_spans(raw, np.array([0, len(raw)]))
-    words = [text[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
-    if not at:
-        return len(words), 0, b" ".join(words)
-    first = np.frombuffer(at, "<u4").astype(np.int64)
-    keep = ~common.covered(first, len(words), width)
-    return len(words), int((~keep).sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
-
-
-def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4) -> DataFrame:
-    """All rows of `docs` with `n_words`, `n_removed` and `kept` (the kept words joined by one space) added."""
+    n = len(starts)
+    keep = ~common.covered(np.frombuffer(at, "<u4").astype(np.int64), n, width) if at else np.ones(n, bool)
+    removed = int(n - keep.sum())
+    if not layout:
+        return n, removed, b" ".join([text[i:j] for i, j in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True)])
+    if not removed:
+        return n, 0, text or b""
+    until = np.append(starts[1:], len(raw))
+    edge = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0, append=0))
+    kept = b"".join([text[starts[a] : until[b - 1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+    return n, removed, text[: starts[0]] + (kept if keep[-1] else kept.rstrip(b" \t\n\x0b\x0c\r"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4, layout: bool = False) -> DataFrame:
+    """All rows of `docs` with `n_words`, `n_removed` and `kept` added.
+
+    kept: the kept words joined by one space; with `layout` the text itself without the words removed and the blanks
+    after them (a text that loses nothing is kept as it stands).
+    """
     docs = docs.drop("n_words", "n_removed", "kept")
-    marks = mark(spark, docs, width, batches).withColumnRenamed("at", "at_")
-    keyed = docs.withColumn("row_", F.hash("text"))
-    marks = marks.withColumnRenamed("doc_id", "id_").hint("shuffle_hash")
-    joined = keyed.join(marks, (keyed["doc_id"] == marks["id_"]) & (keyed["row_"] == marks["row"]), "left").select(*docs.columns, "at_")
-    names = docs.columns
-    schema = docs.schema.simpleString()[7:-1]
-    text_at = names.index("text")
+    marks = mark(spark, docs, width, batches).select(F.col("doc_id").alias("id"), F.col("row").alias("hash"), "at").hint("shuffle_hash")
+    # the caller's columns travel as one, so that their names meet no others
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    joined = rows.join(marks, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").select("row", "at")
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.large_binary() if pa.types.is_large_string(batch.column(text_at).type) else pa.binary()).to_pylist()
-            got = [_strip(t, a, width) for t, a in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
+            column = batch.column(0).field(text_at)
+            texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+            got = [_strip(t, a, width, layout) for t, a in zip(texts, batch.column(1).to_pylist(), strict=True)]
             n, removed, kept = zip(*got, strict=True) if got else ((), (), ())
             more = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["row", "n_words", "n_removed", "kept"])
+            common.trim()
 
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept string")
+    schema = StructType([StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept")

@@ -128,8 +128,11 @@ def test_plans_are_near_the_bound(seed):
     assert packing.plan({}, 2048).sequences == 0
 
 
-def test_simhash(spark, texts, monkeypatch):
+@pytest.mark.parametrize("list_size, width", [(256, 1), (0.005, 2), (2e-5, 3), (0, 4)])
+def test_simhash(spark, texts, monkeypatch, list_size, width):
     monkeypatch.setattr(simhash, "BLOCK", 20)
+    monkeypatch.setattr(simhash, "LIST", list_size)
+    assert simhash.width_for(120) == width
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(400)]
     near = [" ".join(rnd.choice(["q", w]) if rnd.random() < 0.01 else w for w in base) for _ in range(60)]
@@ -151,6 +154,30 @@ def test_simhash(spark, texts, monkeypatch):
     assert got == {i: (format(p, "016x"), low[i]) for i, p in enumerate(prints)}
 
 
+def test_simhash_counts_shared_bytes():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    flips = np.zeros(4000, np.uint64)
+    for _ in range(4):
+        flips |= np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)
+    far = a ^ (np.uint64(0x0101010101) << rng.integers(0, 24, 4000).astype(np.uint64))  # five bits, in five or six bytes
+    assert simhash.near(a, a ^ flips).all() and not simhash.near(a, far).any()
+    # linked pairs meet under some key of every width, whatever the order of rarity
+    order = rng.permutation(2048).reshape(8, 256)
+    for width in (1, 2, 3, 4):
+        both = simhash.posted_under(a, order, width) & simhash.posted_under(a ^ flips, order, width)
+        equal = np.zeros(4000, np.int64)
+        for p in range(8):
+            equal |= ((a ^ a ^ flips) >> np.uint64(8 * p) & np.uint64(255) == 0).astype(np.int64) << p
+        assert (np.bitwise_count(both & equal) >= width).all()
+
+
+def test_simhash_without_ids(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (None, "x y z q"), (None, None), (9, "")]
+    got = sorted([(r["doc_id"], r["component_id"]) for r in simhash.near_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    assert got == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (None, None), (None, 9), (9, 9)], key=str)
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     rng = np.random.default_rng(2)

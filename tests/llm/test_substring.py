@@ -46,10 +46,72 @@ def rows():
 
 @pytest.mark.parametrize("batches", [1, 3, 6])
 def test_equals_brute_force(spark, rows, batches):
-    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, n_words string").repartition(5)
-    got = substring.dedup(spark, docs, 5, batches).select("doc_id", "n_words", "n_removed", "kept").collect()
+    names = ["n_words", "row", "id", "at", "hash", "row_", "id_", "text_hash", "bucket", "a b.c"]
+    docs = spark.createDataFrame([(i, t, *["k"] * len(names)) for i, t in rows], ["doc_id", "text", *names]).repartition(5)
+    cut = substring.dedup(spark, docs, 5, batches)
+    assert cut.columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "n_removed", "kept"]
+    assert cut.where("row <> 'k' or id_ <> 'k' or `a b.c` <> 'k'").count() == 0
+    got = cut.select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, 5)
 
 
+def test_many_buckets_and_small_sends(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET", 1)
+    monkeypatch.setattr(substring, "HELD", 50)
+    monkeypatch.setattr(substring, "MOST_HELD", 50)
+    monkeypatch.setattr(substring, "MOST_BITS", 9)
+    monkeypatch.setattr(substring, "MOST_FILES", 16)  # many buckets in one file
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.dedup(spark, docs, 5).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, 5)
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    # both words have one fingerprint under an unkeyed mix of eight bytes at a time
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "uWm9ZKHTpBzKaUwG " + same), (2, "abcdefgh<SizA4b; " + same)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.dedup(spark, docs).collect()] == [0, 0]
+
+
+def test_an_index_opened_again_goes_on(spark, rows, tmp_path):
+    rows = list({r[0]: r for r in rows if r[0] is not None}.values())
+    first, second = [r for r in rows if r[0] < 60], [r for r in rows if r[0] >= 60]
+    first.sort()
+    path = f"file://{tmp_path}/index"
+    index = substring.FingerprintIndex.create(spark, path, 3, 5, max_runs=1)
+    index.add(substring.keyed(spark.createDataFrame(first[:30], "doc_id long, text string")))
+    index.add(substring.keyed(spark.createDataFrame(first[30:], "doc_id long, text string")))  # compacted
+    index.close()
+    index = substring.FingerprintIndex.open(spark.newSession(), path)
+    assert len(index.runs) == 1
+    index.spark = spark
+    index.close()
+    index = substring.FingerprintIndex.open(spark, path)
+    index.add(substring.keyed(spark.createDataFrame(second, "doc_id long, text string")))
+    marked = {r["doc_id"]: len(r["at"]) // 4 for r in index.marked().collect()}
+    index.drop()
+    windows = lambda t: [tuple(w[i : i + 5]) for w in [WORD.findall(t or "")] for i in range(len(w) - 4)]
+    low = {}
+    for i, t in rows:
+        for w in windows(t):
+            low[w] = min(low.get(w, i), i)
+    assert marked == {i: n for i, t in rows if (n := sum(low[w] < i for w in windows(t)))}
+
+
+def test_a_very_long_text_and_one_long_word(spark, monkeypatch):
+    monkeypatch.setattr(substring.common, "CHUNK_BYTES", 1 << 12)
+    long = " ".join(f"v{i % 5000}" for i in range(40000))
+    rows = [(1, "v1 v2 v3"), (2, long), (3, "x" * 300_000), (4, "a b " + long[:4000]), (5, "x" * 300_000 + " y")]
+    got = substring.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, 5)
+
+
+def test_layout_is_kept(spark):
+    a = "one two three four five"
+    rows = [(1, a), (2, f"# Head\n\n  x y\n{a}\n\n\tz  w"), (3, f" x\n\n{a} \n"), (4, " a\n b "), (5, a)]
+    got = {r["doc_id"]: r["kept"] for r in substring.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, layout=True).collect()}
+    assert got == {1: a, 2: "# Head\n\n  x y\nz  w", 3: " x", 4: " a\n b ", 5: ""}
+
+
 def test_empty_table(spark):
     assert substring.dedup(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
