@@ -7,7 +7,7 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -67,12 +67,12 @@ def trim() -> None:
     _malloc_trim()(0)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices whose `text` column holds about `limit` bytes (a longer text stands alone)."""
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, text: Callable[[pa.RecordBatch], pa.Array] | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices whose texts (column `text`, or what `text` takes from a batch) hold about `limit` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index("text"))
+        column = text(batch) if text else batch.column(batch.schema.get_field_index("text"))
         width = "<i8" if pa.types.is_large_string(column.type) else "<i4"
         ends = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + batch.num_rows + 1]
         at = 0
@@ -83,6 +83,17 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
             trim()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of `docs` as one, `row`: the caller's names then meet no others, and `row.*` gives them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def field_of(docs: DataFrame, name: str) -> Callable[[pa.RecordBatch], pa.Array]:
+    """Takes a column of `docs` from a batch whose first column is the `row` of `packed`."""
+    at = docs.columns.index(name)
+    return lambda batch: batch.column(0).field(at)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and the n + 1 offsets of its rows (null: empty)."""
     if column.null_count:

@@ -1,26 +1,36 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 One pass over the texts counts: tasks hold a chunk of documents at a time and send each bucket of fingerprints the
-distinct words and bigrams of the chunk that belong to it, with their training counts. Each bucket adds them up, builds
-its segment of the filter, and answers every chunk: the exact training count of each of its words, and the levels that
-the segment gives back for its words and bigrams. A chunk's documents travel as ranks of words; with the answers of all
-buckets they are scored. Nothing is broadcast, so the model may grow with the corpus.
+distinct words, bigrams and trigrams of the chunk that belong to it, with their training counts. Each bucket adds them
+up, builds its segment of the filter, and answers every chunk: the exact training count of each of its words, and the
+levels that the segment gives back for its n-grams. A chunk's documents travel as ranks of words; with the answers of
+all buckets they are scored. Nothing is broadcast, as the model grows with the corpus. A word in a third of all texts
+is one entry of a chunk.
 
-The filter holds quantised counts, level 1 + floor(log2 c) of an n-gram seen c times: the n-gram is inserted once for
-each level up to its own, so a count is read back by probing level after level until one is missing. A segment is as
-large as its n-grams need to set at most FILL of its bits, whatever their number; no n-gram is left out. Texts are
-scored with
+The filter holds quantised counts: an n-gram seen c times has the level of the largest of LOWEST that is not above c.
+It is inserted once for each level up to its own, so a count is read back by probing level after level until one is
+missing. A segment is as large as its n-grams need to set at most FILL of its bits, whatever their number; no n-gram is
+left out. With low(x) and high(x) the least and the greatest count of the level read back for x,
 
-    P(w | v) = (min(c(v w), c(v)) + MU P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w)     = (low(w) + 1) / (N + V + 1)
+    P(w|v)   = (low(v w) + MU[0] P(w)) / (high(v) (1 + f) + V f + MU[0])
+    P(w|u v) = (low(u v w) + MU[1] P(w|v)) / (high(u v) (1 + f) + V f + MU[1])
 
-where c are the counts that the probes give back. The base score uses the exact counts.
+where f is the rate at which a probe finds what isn't there. Contexts that were never seen leave P as it is. As the
+counts of what follows a context add up to at most its own, and V f stands for what false probes add, the
+probabilities of all words after a context add up to at most 1 (in the mean over the filter's hashes). The base score
+uses the exact counts.
+
+Words are told apart by 64 bits of a digest under a secret key, bigrams and trigrams by 48 bits made of them.
 
 Texts: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, then one end token; null texts are the end alone. Rows that share a
-doc_id are scored each, and each counts. A row with a null doc_id trains.
+doc_id are scored each, and each counts. A row with a null doc_id trains. Columns other than doc_id and text are not
+read. Without any training row all counts are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,37 +42,56 @@ from pyspark.sql import functions as F
 from . import common
 from .substring import grow, grow_sorted, shrink, shrink_sorted
 
-#: Tokens that a task holds before it sends them, and tokens of a bucket on average.
-HELD, BUCKET = 3 << 20, 4 << 20
-#: Bytes of the whole filter at least; probes of each level; the share of a segment's bits that may be set at most.
-FILTER, PROBES, FILL = 32 << 20, 4, 0.5
-MU = 4.0
-#: The fingerprint of the end token, and of nothing (before the first word).
+#: Tokens that a task holds before it sends them, and tokens of a bucket on average; both grow up to MOST times with large
+#: corpora, as a chunk and a bucket have one row for each other.
+HELD, BUCKET, MOST = 2 << 20, 2 << 20, 4
+#: Probes of each level; the share of a segment's bits that may be set at most; how often a probe finds what isn't there.
+PROBES, FILL = 20, 0.5
+FALSE = FILL**PROBES
+#: What the lower orders weigh in P(w|v) and P(w|u v), in counts.
+MU = (4.0, 1.0)
+#: The fingerprint of the end token.
 END = np.uint64(0x5851F42D4C957F2D)
 
+
+def _lowest() -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 60:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out, np.int64)
+
+
+#: The least count of each level from 1 on: each but the first few is half as much again as the one before.
+LOWEST = _lowest()
+
+GRAMS = ("words", "bigrams", "trigrams")
 #: head: the documents of a chunk, with the bucket that its number falls into.
-HEAD = "ids binary, nulls binary, trains binary, n_tokens binary, vocabulary binary, tf binary, ranks binary"
-_HEAD_ARROW = [(c.split()[0], pa.binary()) for c in HEAD.split(", ")]
-SENT = f"bucket int, chunk long, {HEAD}, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *_HEAD_ARROW, *((c, pa.binary()) for c in ("words", "word_counts", "bigrams", "bigram_counts"))])
+HEAD = ("ids", "nulls", "trains", "n_tokens", "vocabulary", "tf", "ranks")
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in HEAD), *((f"{g}{x}", pa.binary()) for g in GRAMS for x in ("", "_counts"))])
+SENT = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _SENT_ARROW.names[2:])
 #: kind 0: a bucket's answer to a chunk, and the chunk's head in one of them. 1: a bucket's totals.
-GIVEN = f"kind int, bucket int, chunk long, {HEAD}, counts binary, word_levels binary, bigram_levels binary, total long, distinct_words long"
-_GIVEN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *_HEAD_ARROW, *((c, pa.binary()) for c in ("counts", "word_levels", "bigram_levels")), ("total", pa.int64()), ("distinct_words", pa.int64())])
+_GIVEN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in (*HEAD, "counts", *(f"{g}_levels" for g in GRAMS))), ("total", pa.int64()), ("distinct_words", pa.int64())])
+GIVEN = "kind int, bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _GIVEN_ARROW.names[3:-2]) + ", total long, distinct_words long"
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(column: pa.Array, digests: common.Digests) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the tokens of all rows, ends included, and the n + 1 offsets of the rows."""
     raw, ends = common.text_bytes(column)
     raw = raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
     starts, stops, bounds = common.word_spans(raw, ends)
-    return np.insert(common.word_hashes(raw, starts, stops), bounds[1:], END), bounds + np.arange(len(bounds))
+    return np.insert(digests.of(raw, starts, stops)[:, 0], bounds[1:], END), bounds + np.arange(len(bounds))
 
 
-def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
-    """Fingerprints of each token with the one before it, 48 bits; the first of a row must be left out."""
-    out = np.zeros(len(tokens), np.uint64)
-    out[1:] = common.mix64(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]) >> np.uint64(16)
-    return out
+def ngram_hashes(tokens: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For bigrams, then trigrams, of rows of `size` tokens: (index of the last token of each, fingerprints of 48 bits)."""
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+    whole = tokens
+    for n in (1, 2):
+        longer = np.zeros(len(tokens), np.uint64)
+        longer[1:] = common.mix64(whole[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
+        whole = longer
+        inside = np.flatnonzero(at >= n)
+        yield inside, whole[inside] >> np.uint64(16)
 
 
 def _counted(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +114,15 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 
 class _Counts:
-    def __init__(self, bits: int):
-        self.bits = bits
+    def __init__(self, bits: int, key: bytes):
+        self.bits, self.digests = bits, common.digests_of(key)
         self.clear()
 
     def clear(self) -> None:
         self.tokens, self.bounds, self.ids, self.trains, self.held = [], [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        tokens, bounds = tokens_of(batch.column(1))
+        tokens, bounds = tokens_of(batch.column(1), self.digests)
         self.tokens.append(tokens)
         self.bounds.append(np.diff(bounds))
         self.ids.append(batch.column(0))
@@ -107,91 +136,79 @@ class _Counts:
         self.clear()
         trained = np.repeat(trains, size)
         words, place = np.unique(tokens, return_inverse=True)
-        counts = np.bincount(place[trained], minlength=len(words))
-        inside = np.ones(len(tokens), bool)
-        inside[np.cumsum(size) - size] = False
-        bigrams, counts2 = _counted(bigram_hashes(tokens)[inside], trained[inside])
+        grams = [(words, np.bincount(place[trained], minlength=len(words)), 64)]
+        grams += [(*_counted(hashes, trained[last]), 48) for last, hashes in ngram_hashes(tokens, size)]
         # frequent words have low ranks, which are packed tighter
         tf = np.bincount(place, minlength=len(words))
         rank = np.empty(len(words), np.int64)
         rank[np.argsort(-tf, kind="stable")] = np.arange(len(words))
         head = [shrink(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), np.packbits(trains).tobytes(), shrink(size.astype("<i8"))]
         head += [shrink_sorted(words), shrink(_small(tf)), shrink(_small(rank[place]))]
-        shift = np.uint64(64 - self.bits)
-        cut = lambda sorted_hashes, by: np.searchsorted(sorted_hashes >> by, np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(sorted_hashes)])
-        at, at2 = cut(words, shift), cut(bigrams, shift - np.uint64(16))
+        edges = [np.searchsorted(h >> np.uint64(width - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(h)]) for h, _, width in grams]
         home = int(common.mix64(np.array([chunk + 1], np.uint64))[0]) & ((1 << self.bits) - 1)
         for b in range(1 << self.bits):
-            w, g = slice(at[b], at[b + 1]), slice(at2[b], at2[b + 1])
-            row = [b, chunk, *(head if b == home else [None] * len(head)), shrink_sorted(words[w]), shrink(_small(counts[w])), shrink_sorted(bigrams[g]), shrink(_small(counts2[g]))]
+            row = [b, chunk, *(head if b == home else [None] * len(head))]
+            for (hashes, counts, _), edge in zip(grams, edges, strict=True):
+                part = slice(edge[b], edge[b + 1])
+                row += [shrink_sorted(hashes[part]), shrink(_small(counts[part]))]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+        common.trim()
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
-
+    """The level of each count; 0 is that of 0."""
+    return np.searchsorted(LOWEST, counts, "right")
 
-def count_of(levels: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: the middle of its range on the log scale; level 0 is 0."""
-    return np.where(levels > 1, 1.5 * 2.0 ** (levels - 1), levels.astype(float))
 
+def low_of(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level."""
+    return np.concatenate([[0.0], LOWEST.astype(float)])[levels]
 
-def _bits_of(hashes: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """The bit of each of the probes of n-grams at one level, within a segment of `bits` bits."""
-    a = common.mix64(hashes ^ np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
-    b = common.mix64(a) | np.uint64(1)
-    for k in range(PROBES):
-        yield ((a + np.uint64(k) * b) >> np.uint64(20)) % np.uint64(bits)
 
-
-def build_segment(words: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarray, np.ndarray], size: int) -> tuple[bytes, int, int]:
-    """(segment of `size` bytes, lowest level of words, of bigrams) for (fingerprints, levels) of each."""
-    room = -np.log(1 - FILL) * 8 * size / PROBES  # entries that set FILL of the bits
-    entries = lambda levels, low: int(np.maximum(levels - low + 1, 0).sum())
-    lows = [1, 1]
-    while entries(words[1], lows[0]) + entries(bigrams[1], lows[1]) > room:
-        # bigrams first, until only those above the words' level + 8 are left
-        lows[1 if lows[1] <= lows[0] + 8 and entries(bigrams[1], lows[1]) else 0] += 1
-    bits = np.zeros(8 * size, bool)
-    for (hashes, levels), low in zip((words, bigrams), lows, strict=True):
-        for level in range(low, int(levels.max(initial=0)) + 1):
-            for at in _bits_of(hashes[levels >= level], level, 8 * size):
-                bits[at] = True
-    return np.packbits(bits, bitorder="little").tobytes(), lows[0], lows[1]
-
-
-def size_for(entries: int, least: int) -> int:
-    """Bytes of a segment of which so many entries set no more than FILL of the bits."""
-    return max(least, int(np.ceil(entries * PROBES / (-np.log(1 - FILL) * 8))) + 1)
+def high_of(levels: np.ndarray) -> np.ndarray:
+    """The greatest count of each level."""
+    return np.concatenate([[0.0], LOWEST[1:] - 1.0, [LOWEST[-1] * 2.0]])[levels]
 
 
 class Filter:
-    """The whole filter; a fingerprint's high bits choose its segment."""
-
-    def __init__(self, segments: np.ndarray, low_words: np.ndarray, low_bigrams: np.ndarray, bits: int):
-        self.segments, self.bits = segments, bits
-        self.low = {64: low_words, 48: low_bigrams}
-
-    def levels(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """The level of each fingerprint of `width` bits, 0 if it isn't held, by repeated probes."""
-        bucket = (hashes >> np.uint64(width - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        base = bucket * self.segments.shape[1]
-        flat, size = self.segments.reshape(-1), 8 * self.segments.shape[1]
-        low = self.low[width][bucket]
-        out = np.zeros(len(hashes), np.int64)
-        for start in np.unique(low):  # one value, or two near a change of level
-            live, level = np.flatnonzero(low == start), int(start)
-            while len(live):
-                hit = np.ones(len(live), bool)
-                for at in _bits_of(hashes[live], level, size):
-                    hit &= (flat[base[live] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live = live[hit]
-                out[live] = level
-                level += 1
+    """A segment of the filter: `entries` n-gram levels in a bit set (of less than 2**32 bits) of which they set FILL at most."""
+
+    def __init__(self, entries: int):
+        self.bits = max(1 << 13, int(np.ceil(entries * PROBES / -np.log(1 - FILL))) + 1)
+        self.bytes = np.zeros(-(-self.bits // 8), np.uint8)
+
+    def _probes(self, hashes: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """The bit of each of the probes of n-grams at one level."""
+        a = common.mix64(hashes ^ np.uint64(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        b = common.mix64(a) | np.uint64(1)
+        for _ in range(PROBES):
+            yield ((a >> np.uint64(32)) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
+            a = a + b
+
+    def insert(self, *grams: tuple[np.ndarray, np.ndarray]) -> None:
+        """All levels of (fingerprints, levels) of several kinds at once."""
+        bits = np.zeros(self.bits, bool)
+        for hashes, levels in grams:
+            for level in range(1, int(levels.max(initial=0)) + 1):
+                for at in self._probes(hashes[levels >= level], level):
+                    bits[at] = True
+        self.bytes |= np.packbits(bits, bitorder="little")
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each fingerprint, 0 if it isn't held, by repeated probes."""
+        out = np.zeros(len(hashes), np.uint8)
+        live, level = np.arange(len(hashes)), 1
+        while len(live):
+            hit = np.ones(len(live), bool)
+            for at in self._probes(hashes[live], level):
+                hit &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            live = live[hit]
+            out[live] = level
+            level += 1
         return out
 
 
-def _count(key: tuple, sent: pa.Table, least: int) -> pa.Table:
+def _count(key: tuple, sent: pa.Table) -> pa.Table:
     """What a bucket knows, told to each chunk: exact counts of its words, and the levels in its segment of the filter."""
     out = {c: [] for c in _GIVEN_ARROW.names}
 
@@ -199,23 +216,35 @@ def _count(key: tuple, sent: pa.Table, least: int) -> pa.Table:
         for c in out:
             out[c].append(row.get(c))
 
-    bucket = key[0].as_py()
-    rows = sent.to_pylist()
-    words, c, at = _summed([grow_sorted(r["words"], "<u8") for r in rows], [grow(r["word_counts"], "<u4") for r in rows])
-    bigrams, often, at2 = _summed([grow_sorted(r["bigrams"], "<u8") for r in rows], [grow(r["bigram_counts"], "<u4") for r in rows])
-    seen, seen2 = c > 0, often > 0
-    known, pairs = (words[seen], level_of(c[seen])), (bigrams[seen2], level_of(often[seen2]))
-    segment, *lows = build_segment(known, pairs, size_for(int(known[1].sum() + pairs[1].sum()), least))
-    model = Filter(np.frombuffer(segment, np.uint8).reshape(1, -1), *(np.array([x]) for x in lows), 0)
-    levels, levels2 = model.levels(words, 64).astype(np.uint8), model.levels(bigrams, 48).astype(np.uint8)
-    for row, w, g in zip(rows, at, at2, strict=True):
-        head = {name: row[name] for name, _ in _HEAD_ARROW}
-        put(kind=0, bucket=bucket, chunk=row["chunk"], **head, counts=shrink(c[w].astype("<i8")), word_levels=shrink(levels[w]), bigram_levels=shrink(levels2[g]))
-    put(kind=1, bucket=bucket, total=int(c.sum()), distinct_words=int(seen.sum()))
+    bucket, rows = key[0].as_py(), sent.to_pylist()
+    found = [_summed([grow_sorted(r[g], "<u8") for r in rows], [grow(r[f"{g}_counts"], "<u4") for r in rows]) for g in GRAMS]
+    # fingerprints of different orders are told apart by a bit that none of them has
+    tagged = [(keys if n == 0 else keys | np.uint64(n << 62), level_of(counts)) for n, (keys, counts, _) in enumerate(found)]
+    model = Filter(int(sum(levels.sum() for _, levels in tagged)))
+    model.insert(*((keys[levels > 0], levels[levels > 0]) for keys, levels in tagged))
+    known = [model.levels(keys) for keys, _ in tagged]
+    counts = found[0][1]
+    for i, row in enumerate(rows):
+        answer = {f"{g}_levels": shrink(levels[places[i]]) for g, levels, (_, _, places) in zip(GRAMS, known, found, strict=True)}
+        put(kind=0, bucket=bucket, chunk=row["chunk"], **{c: row[c] for c in HEAD}, counts=shrink(counts[found[0][2][i]].astype("<i8")), **answer)
+    put(kind=1, bucket=bucket, total=int(counts.sum()), distinct_words=int((counts > 0).sum()))
     common.trim()
     return pa.table(out, schema=_GIVEN_ARROW)
 
 
+def probabilities(first: np.ndarray, words: np.ndarray, bigrams: np.ndarray, trigrams: np.ndarray, total: int, distinct_words: int) -> np.ndarray:
+    """P of each token of rows laid end to end, from the levels of the word, bigram and trigram that end with it; first: where rows begin."""
+    false = distinct_words * FALSE
+    p = (low_of(words) + 1) / (total + distinct_words + 1)
+    for mu, whole, context in zip(MU, (bigrams, trigrams), (words, bigrams), strict=True):
+        before = np.zeros(len(words))
+        before[1:] = high_of(context)[:-1]
+        before[first] = 0
+        longer = (np.minimum(low_of(whole), before) + mu * p) / (before * (1 + FALSE) + false + mu)
+        p = np.where(before > 0, longer, p)
+    return p
+
+
 def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
     """The scores of a chunk's documents, from the answers of all buckets."""
     rows = group.sort_by("bucket").to_pylist()
@@ -224,18 +253,17 @@ def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
     n = len(size)
     nulls, trains = (np.unpackbits(np.frombuffer(head[x], np.uint8), count=n).astype(bool) for x in ("nulls", "trains"))
     # buckets in order are fingerprints in order
-    exact, levels, levels2 = (np.concatenate([grow(r[name], kind) for r in rows]) for name, kind in (("counts", "<i8"), ("word_levels", "u1"), ("bigram_levels", "u1")))
+    exact = np.concatenate([grow(r["counts"], "<i8") for r in rows])
+    levels = [np.concatenate([grow(r[f"{g}_levels"], "u1") for r in rows]) for g in GRAMS]
     place = np.argsort(-grow(head["tf"], "<u4").astype(np.int64), kind="stable")[grow(head["ranks"], "<u4")]
-    pairs = bigram_hashes(grow_sorted(head["vocabulary"], "<u8")[place])
+    tokens = grow_sorted(head["vocabulary"], "<u8")[place]
+    told = [levels[0][place]]
+    for (last, hashes), known in zip(ngram_hashes(tokens, size), levels[1:], strict=True):
+        of = np.zeros(len(tokens), np.uint8)
+        of[last] = known[np.unique(hashes, return_inverse=True)[1]]
+        told.append(of)
     first = np.cumsum(size) - size
-    inside = np.ones(len(place), bool)
-    inside[first] = False
-    together, context = np.zeros(len(place)), np.zeros(len(place))
-    together[inside] = count_of(levels2)[np.unique(pairs[inside], return_inverse=True)[1]]
-    c = count_of(levels)[place]
-    context[1:] = c[:-1]
-    context[first] = 0
-    p = (np.minimum(together, context) + MU * (c + 1) / (total + distinct_words + 1)) / (context + MU)
+    p = probabilities(first, *told, total, distinct_words)
     sums = lambda x: np.add.reduceat(x, first)
     out = {"doc_id": pa.array(grow(head["ids"], "<i8"), mask=nulls), "held_out": ~trains, "n_tokens": size, "n_known": sums((exact > 0).astype(np.int64)[place])}
     out |= {"part": sums(np.log10(exact + 1.0)[place]), "score": sums(np.log10(p))}
@@ -252,21 +280,22 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     docs = docs.select("doc_id", "text", held_out().alias("held_out"))
     tokens = (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    bits = max(0, int(tokens // BUCKET).bit_length())
-    least = FILTER >> bits
+    grown = min(MOST, max(1.0, (tokens / (1 << 32)) ** 0.5))
+    bits = max(0, int(tokens // (grown * BUCKET)).bit_length())
+    limit, key = int(grown * HELD), secrets.token_bytes(32)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, chunk = _Counts(bits), TaskContext.get().partitionId() << 24
+        counts, chunk = _Counts(bits, key), TaskContext.get().partitionId() << 24
         for batch in common.text_slices(batches):
             counts.add(batch)
-            if counts.held >= HELD:
+            if counts.held >= limit:
                 yield from counts.send(chunk)
                 chunk += 1
         if counts.held:
             yield from counts.send(chunk)
 
     sent = docs.mapInArrow(send, SENT)
-    given = common.staged(spark, sent.groupBy("bucket").applyInArrow(lambda key, table: _count(key, table, least), GIVEN), "counts")
+    given = common.staged(spark, sent.groupBy("bucket").applyInArrow(_count, GIVEN), "counts")
     total, vocabulary = (int(x or 0) for x in given.where("kind = 1").agg(F.sum("total"), F.sum("distinct_words")).first())
     answers = given.where("kind = 0").drop("kind", "total", "distinct_words")
     scored = answers.groupBy("chunk").applyInArrow(lambda table: _gather(table, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double")

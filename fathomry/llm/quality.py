@@ -7,18 +7,26 @@ sources with few rows, and these into one for all; a measure is out of bounds if
 median than so many times the distance of a quantile in the tail (or of a floor, where a group doesn't vary at all).
 Thresholds are joined to the rows by language and source.
 
+A sketch counts rows in bins that grow by a fixed factor, so a quantile is off by ERROR of its value at most. Merging
+adds counts: the result is the same in whatever order rows and tasks come, and for every run. A sketch has some
+thousand bins at most, however many rows it counts.
+
 Texts: null counts as no words, and fails the base rule. Null languages and sources are a group like any other.
-Repeated rows are judged each; an empty table gives an empty result.
+Repeated rows are judged each; a null doc_id is a row like any other; an empty table gives an empty result. Extra
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
@@ -28,8 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 10, 20
 #: Rows that a group must have to be judged by its own sketch.
 LEAST_ROWS = 200
-#: Items a sketch keeps; ranks are off by about 0.3 %, so that a quantile of 0.99 isn't the largest value.
-SKETCH = 1000
+#: How far off a quantile may be, as a share of its value.
+ERROR = 0.005
 #: Measures with the quantile of the tail, how many times its distance from the median is within bounds, the least
 #: distance that counts, and whether low values are out of bounds too. Where junk itself makes up part of a tail
 #: (symbols, long words) the quantile lies before it.
@@ -45,14 +53,13 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(raw: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+def measure(raw: np.ndarray, ends: np.ndarray, digests: common.Digests) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words of texts laid end to end."""
     starts, stops, bounds = common.word_spans(raw, ends)
     n_words = np.diff(bounds)
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[ends])
     word_byte = ~common._IS_BLANK[raw]
-    hashes = common.word_hashes(raw, starts, stops)
-    first, windows = common.window_hashes(hashes, bounds, WINDOW)
+    first, windows = common.window_hashes(np.ascontiguousarray(digests.of(raw, starts, stops)[:, 0]), bounds, WINDOW)
     # windows of a row that stand there twice: sorted by row and hash
     row = np.searchsorted(bounds, first, "right") - 1
     order = np.lexsort((windows, row))
@@ -77,57 +84,104 @@ def measure(raw: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, row, and the counts of `measure`) of every row."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+
+
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(row, lang, source, and COUNTS) of every row; `row` is all of it, or with its doc_id alone if it isn't asked for whole."""
+    rows = docs if whole else docs.select("doc_id", "lang", "source", "text")
+    fields = dict(zip(("text", "lang", "source", "doc_id"), (common.field_of(rows, c) for c in ("text", "lang", "source", "doc_id")), strict=True))
+    key = secrets.token_bytes(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches):
-            got = measure(*common.text_bytes(batch.column(4)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(got[n], pa.int64()) for n in names)], names=["doc_id", "lang", "source", "row", *names])
+        digests = common.digests_of(key)
+        for batch in common.text_slices(batches, text=fields["text"]):
+            got = measure(*common.text_bytes(fields["text"](batch)), digests)
+            row = batch.column(0) if whole else pa.StructArray.from_arrays([fields["doc_id"](batch)], ["doc_id"])
+            yield pa.RecordBatch.from_arrays([row, fields["lang"](batch), fields["source"](batch), *(pa.array(got[n], pa.int64()) for n in COUNTS)], names=["row", "lang", "source", *COUNTS])
 
-    columns = docs.select("doc_id", "lang", "source", F.hash("text").alias("row"), "text")
-    return columns.mapInArrow(run, "doc_id long, lang string, source string, row int, " + ", ".join(f"{n} long" for n in names))
+    row = docs.schema if whole else StructType([docs.schema["doc_id"]])
+    schema = StructType([StructField("row", row), StructField("lang", StringType()), StructField("source", StringType()), *(StructField(n, LongType()) for n in COUNTS)])
+    return common.packed(rows).mapInArrow(run, schema)
 
 
-def _rates(df: DataFrame) -> DataFrame:
+def rated(counts: DataFrame) -> DataFrame:
+    """Adds the MEASURES and `base_failed`."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return df.withColumns(
+    return counts.withColumns(
         {
             "symbol_rate": F.col("n_symbols") / words,
             "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
             "repeat_rate": F.col("n_repeat_words") / words,
             "word_length": F.col("word_chars") / words,
+            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
         }
     )
 
 
+GROWTH = (1 + ERROR) / (1 - ERROR)
+
+
+def bin_of(value: Column) -> Column:
+    """The bin of a value, which isn't negative; zero has one of its own."""
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(GROWTH))).otherwise(F.lit(-(1 << 31)))
+
+
+def value_of(bin: Column) -> Column:
+    return F.when(bin == -(1 << 31), F.lit(0.0)).otherwise(2 * F.pow(F.lit(GROWTH), bin) / (GROWTH + 1))
+
+
+def _quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows, and for each measure its median, upper and lower quantile) of sketches (keys, measure, bin, n)."""
+    merged = sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "measure")
+    ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "rows": F.sum("n").over(group)})
+    at = lambda m, q: value_of(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("rows")), F.col("bin"))))
+    columns = [F.max("rows").alias("rows")]
+    for m, (tail, *_) in MEASURES.items():
+        columns.append(F.struct(at(m, 0.5).alias("middle"), at(m, tail).alias("high"), at(m, 1 - tail).alias("low")).alias(m))
+    return ranked.groupBy(*keys).agg(*columns)
+
+
 def thresholds(rates: DataFrame) -> DataFrame:
     """(lang, source, and low and high bounds of each measure) for every language and source."""
-    sketches = rates.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m, SKETCH).alias(m) for m in MEASURES))
-    merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
-    by_lang = sketches.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), *merged)
-    overall = sketches.agg(*merged)
-    out = sketches.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(overall).alias("o"))  # one row
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in MEASURES])).alias("x")
+    sketches = rates.select("lang", "source", each).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
+    g, by_lang, overall = (_quantiles(sketches, keys) for keys in (["lang", "source"], ["lang"], []))
+    out = g.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).crossJoin(F.broadcast(overall).alias("o"))  # one row
     columns = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
-    for m, (tail, times, floor, both) in MEASURES.items():
-        sketch = F.when(F.col("g.rows") >= LEAST_ROWS, F.col(f"g.{m}")).when(F.col("lang_rows") >= LEAST_ROWS, F.col(f"l.{m}")).otherwise(F.col(f"o.{m}"))
-        at = lambda q, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(q))
-        columns.append((at(0.5) + times * F.greatest(at(tail) - at(0.5), F.lit(floor))).alias(f"high_{m}"))
-        columns.append((at(0.5) - times * F.greatest(at(0.5) - at(1 - tail), F.lit(floor)) if both else F.lit(float("-inf"))).alias(f"low_{m}"))
+    for m, (_, times, floor, both) in MEASURES.items():
+        q = F.when(F.col("g.rows") >= LEAST_ROWS, F.col(f"g.{m}")).when(F.col("l.rows") >= LEAST_ROWS, F.col(f"l.{m}")).otherwise(F.col(f"o.{m}"))
+        middle = q["middle"]
+        columns.append((middle + times * F.greatest(q["high"] - middle, F.lit(floor))).alias(f"high_{m}"))
+        columns.append((middle - times * F.greatest(middle - q["low"], F.lit(floor)) if both else F.lit(float("-inf"))).alias(f"low_{m}"))
     return out.select(*columns)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The measures of every row with `base_failed` and `kept`; (doc_id, row) name the row, row the hash of its text."""
-    spark = docs.sparkSession
-    rates = _rates(common.staged(spark, measured(docs), "measures"))
-    # learned from what passes the base rule
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    rates = rates.withColumn("base_failed", base_failed)
-    bounds = thresholds(rates.where("not base_failed")).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+def _verdicts(rates: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Adds `kept`: not failed by the base rule, and all measures within the bounds of the row's language and source."""
+    bounds = bounds.withColumnsRenamed({"lang": "lang_", "source": "source_"})
     inside = F.lit(True)
     for m in MEASURES:
         inside &= F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     joined = rates.join(bounds, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(*bounds.columns)
+
+
+def _learned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rates of every row, and the bounds, learned from what passes the base rule; both staged."""
+    spark = docs.sparkSession
+    rates = rated(common.staged(spark, measured(docs), "measures"))
+    return rates, common.staged(spark, thresholds(rates.where("not base_failed")), "bounds")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, COUNTS, MEASURES, base_failed, kept) of every row."""
+    out = _verdicts(*_learned(docs))
+    return out.select("row.doc_id", *[c for c in out.columns if c != "row"])
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, with their columns. Texts are measured a second time, so that none is shuffled."""
+    _, bounds = _learned(docs)
+    return _verdicts(rated(measured(docs, whole=True)), bounds).where("kept").select("row.*")

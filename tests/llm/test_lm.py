@@ -6,10 +6,9 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
-from fathomry.llm import common, lm
+from fathomry.llm import lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -26,11 +25,10 @@ def brute(rows):
 def test_base_score(spark, monkeypatch, held, bucket):
     monkeypatch.setattr(lm, "HELD", held)
     monkeypatch.setattr(lm, "BUCKET", bucket)
-    monkeypatch.setattr(lm, "FILTER", 1 << 16)
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice(["A", "b", "É", "the", "The", "x" * 30, str(rnd.randint(0, 99))]) for _ in range(rnd.randint(0, 60)))) for i in range(150)]
     rows += [(500, None), (501, ""), (502, " \n\t"), (3, "the b"), (3, "the b"), (None, "the é b"), (503, "z" * 10000)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").repartition(3)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, score string, bucket string").repartition(3)
     want = brute(rows)
     got = lm.score(spark, docs).collect()
     assert len(got) == len(rows)
@@ -44,18 +42,5 @@ def test_base_score(spark, monkeypatch, held, bucket):
     assert seen == Counter(rows)
 
 
-def test_filter_returns_levels():
-    rnd = np.random.default_rng(0)
-    words, pairs = rnd.integers(0, 2**63, 4000).astype(np.uint64), (rnd.integers(0, 2**47, 9000)).astype(np.uint64)
-    levels, levels2 = rnd.integers(1, 9, 4000), rnd.integers(1, 9, 9000)
-    segment, low, low2 = lm.build_segment((words, levels), (pairs, levels2), 1 << 16)
-    model = lm.Filter(np.frombuffer(segment, np.uint8).reshape(1, -1), np.array([low]), np.array([low2]), 0)
-    assert (model.levels(words, 64) >= levels).all()  # never less than was put in
-    assert (model.levels(words, 64) == levels).mean() > 0.9
-    assert (model.levels(common.mix64(words), 64) == 0).mean() > 0.9
-    tight, low, low2 = lm.build_segment((words, levels), (pairs, levels2), 1 << 12)
-    assert low2 > 1
-
-
 def test_empty_table(spark):
     assert lm.score(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
