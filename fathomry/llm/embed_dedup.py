@@ -5,19 +5,23 @@ drawn from the normal distribution; near vectors fall into one bucket of some ta
 their distance. The length of the tuple follows the number of vectors, so that far vectors share few buckets, and the
 number of tables follows from the length and the recall that is asked for at the threshold itself.
 
-In a bucket all pairs are checked with the exact cosine in double precision, in blocks: buckets above BLOCK rows are
-dealt into blocks, and each pair of blocks is a task of its own. No pairs are emitted: a task gives the number of links
-of each vector, a pair counting in the first table in which it meets, and the edges of a spanning forest.
+Only class and bucket numbers are shuffled to find out which buckets hold two classes or more; vectors go to these
+alone. In a bucket all pairs are checked with the exact cosine in double precision, in blocks: buckets above BLOCK rows
+are dealt into blocks, and each pair of blocks is a task of its own; small buckets share a task. No pairs are emitted: a
+task gives the number of links of each vector, a pair counting in the first table in which it meets (the earlier keys
+are computed again for pairs that link), and the edges of a spanning forest.
 
 Equal vectors are one class with its number of rows. Vectors that are null, empty or zero, or that hold a null or a
 non-finite component, link with nothing; vectors of another dimension than the rest only meet their like. A null
-vec_id is a row of its own. An empty table gives an empty result.
+vec_id is a row of its own and never the smallest of a component unless all are null (2^63 - 1 counts as null); rows that
+share a vec_id are vectors each. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ COSINE = 0.95
 #: Width of a quantisation step, the recall asked for at COSINE, and how many far vectors may share a bucket.
 STEP, RECALL, FAR = 2.0, 0.97, 64
 BLOCK = 2048
+#: Rows of small buckets that share a unit of work, on average.
+UNIT = 20_000
 
 
 def collide(distance: float, step: float = STEP) -> float:
@@ -45,12 +51,18 @@ def shape_of(n: int, cosine: float = COSINE) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - near)))
 
 
-def table_keys(unit: np.ndarray, width: int, tables: int) -> np.ndarray:
-    """The bucket of each vector in each table, as 64-bit numbers [n, tables]."""
-    rng = np.random.default_rng(np.random.SeedSequence([unit.shape[1], width, tables]))
-    a, b = rng.standard_normal((unit.shape[1], width * tables)), rng.uniform(0, STEP, width * tables)
-    cells = np.floor((unit @ a + b) / STEP).astype(np.int64).view(np.uint64).reshape(len(unit), tables, width)
-    out = np.full((len(unit), tables), unit.shape[1], np.uint64)
+@lru_cache(maxsize=4)
+def _projections(dimension: int, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(np.random.SeedSequence([dimension, width, tables]))
+    return rng.standard_normal((dimension, width * tables)), rng.uniform(0, STEP, width * tables)
+
+
+def table_keys(unit: np.ndarray, width: int, tables: int, first: int | None = None) -> np.ndarray:
+    """The bucket of each vector in each of the `first` tables (all), as 64-bit numbers [n, first]."""
+    a, b = _projections(unit.shape[1], width, tables)
+    first = tables if first is None else first
+    cells = np.floor((unit @ a[:, : first * width] + b[: first * width]) / STEP).astype(np.int64).view(np.uint64).reshape(len(unit), first, width)
+    out = np.full((len(unit), first), unit.shape[1], np.uint64)
     for j in range(width):
         out = common.mix64(out * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j])
     return out.view(np.int64)
@@ -76,56 +88,71 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, key binary")
 
 
-def _pairs(group: pa.Table, table: int, split: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(class ids, links of each, forest edges) of one unit: a block with itself, or one block with another."""
-    ids, weight, own = group["class_id"].to_numpy(), group["rows"].to_numpy(), group["own"].to_numpy()
+def _linked(unit: np.ndarray, bucket: np.ndarray, own: np.ndarray, split: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by bucket) of one bucket that link, found block by block; with `split` only pairs of two blocks."""
+    if split:
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+        for i in range(0, len(left), 256):
+            a, b = np.nonzero(unit[left[i : i + 256]] @ unit[right].T >= cosine)
+            yield left[i + a], right[b]
+        return
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    size = np.diff(edge)
+    small = np.repeat(size <= 8, size)
+    for d in range(1, min(8, len(bucket))):  # small buckets: all at once
+        a = np.flatnonzero((bucket[:-d] == bucket[d:]) & small[:-d])
+        for i in range(0, len(a), 1 << 14):
+            x = a[i : i + (1 << 14)]
+            hit = np.einsum("ij,ij->i", unit[x], unit[x + d]) >= cosine
+            yield x[hit], x[hit] + d
+    for k in np.flatnonzero(size > 8).tolist():
+        begin, end = int(edge[k]), int(edge[k + 1])
+        for i in range(begin, end, 256):
+            a, b = np.nonzero(unit[i : min(i + 256, end)] @ unit[i:end].T >= cosine)
+            later = a < b
+            yield i + a[later], i + b[later]
+
+
+def _merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`parent` (each row's representative, the smallest of its set) after the sets of all pairs were united."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            break
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent
+
+
+def _checked(group: pa.Table, table: int, split: bool, shape: tuple[int, int], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row, the representative of each row) of one unit."""
+    weight, own, bucket = group["rows"].to_numpy(), group["own"].to_numpy(), group["bucket"].to_numpy()
     unit = _normalised(group["key"].to_pylist())
-    keys = np.stack(group["keys"].to_pylist()).astype(np.int64) if len(ids) else np.zeros((0, 1), np.int64)
-    left = np.flatnonzero(own == own.min()) if split else np.arange(len(ids))
-    right = np.flatnonzero(own != own.min()) if split else left
-    counts = np.zeros(len(ids), np.int64)
-    parent = np.arange(len(ids))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i in range(0, len(left), 256):
-        rows = left[i : i + 256]
-        hit = unit[rows] @ unit[right].T >= cosine
-        if not split:
-            hit &= rows[:, None] < right[None, :]
-        a, b = np.nonzero(hit)
-        a, b = rows[a], right[b]
-        for j in range(0, len(a), 1 << 16):
-            x, y = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-            if table:  # met in an earlier table: counted there
-                fresh = ~(keys[x, :table] == keys[y, :table]).any(1)
-                x, y = x[fresh], y[fresh]
-            counts += np.bincount(x, weight[y], len(ids)).astype(np.int64) + np.bincount(y, weight[x], len(ids)).astype(np.int64)
-            if not len(x):
-                continue
-            # only what joins two trees becomes an edge
-            for p in np.unique(x):
-                r = top(int(p))
-                for q in y[x == p].tolist():
-                    s = top(q)
-                    if r != s:
-                        parent[s] = r
-                        edges.append((int(ids[p]), int(ids[q])))
-    return ids, counts, edges
+    counts, parent = np.zeros(len(own), np.int64), np.arange(len(own))
+    for a, b in _linked(unit, bucket, own, split, cosine):
+        if table and len(a):  # met in an earlier table: counted there, and linked there
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keys = table_keys(unit[used], *shape, table)
+            fresh = ~(keys[place[: len(a)]] == keys[place[len(a) :]]).any(1)
+            a, b = a[fresh], b[fresh]
+        counts += np.bincount(a, weight[b], len(own)).astype(np.int64) + np.bincount(b, weight[a], len(own)).astype(np.int64)
+        parent = _merged(parent, a, b)
+    return counts, parent
 
 
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors` (vec_id, embedding)."""
     each = common.staged(spark, _classes(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")), "vectors")
-    classes = each.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("rows"))
-    # a number of its own for each class, as a row's id may be null
+    classes = each.where("key is not null").groupBy("key").agg(F.coalesce(F.min("vec_id"), F.lit(common.NO_ID)).alias("low"), F.count("*").alias("rows"))
+    # a number of its own for each class, as rows may share an id
     classes = common.staged(spark, classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    width, tables = shape_of(classes.count(), cosine)
+    shape = width, tables = shape_of(classes.count(), cosine)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,35 +161,50 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 keys = table_keys(_normalised([raw[i] for i in at]), width, tables)
-                part = [batch.column(c).take(pa.array(at)) for c in range(3)]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables).cast(pa.list_(pa.int64()))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(at), t), pa.int32()), pa.array(keys[:, t]), lists], names=["key", "class_id", "rows", "table", "bucket", "keys"])
+                ids = np.repeat(batch.column(1).to_numpy(zero_copy_only=False)[at], tables)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(keys.reshape(-1))], names=["class_id", "table", "bucket"])
 
-    dealt = classes.select("key", "class_id", "rows").mapInArrow(spread, "key binary, class_id long, rows long, table int, bucket long, keys array<long>")
-    # only buckets of two classes or more go on; the numbers are counted without the vectors
+    dealt = common.staged(spark, classes.select("key", "class_id").mapInArrow(spread, "class_id long, table int, bucket long"), "buckets")
+    # only buckets of two classes or more go on
     sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = dealt.join(sizes, ["table", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    units = max(1, dealt.count() // UNIT // tables)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # a bucket above BLOCK is a unit of its own for each pair of its blocks, smaller ones share a unit
+    member = dealt.join(sizes, ["table", "bucket"]).withColumn("own", F.pmod(F.xxhash64("class_id"), blocks).cast("int"))
+    member = member.withColumns({"other": F.explode(F.sequence(F.lit(0), blocks - 1)), "unit": F.when(blocks > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(units)))})
+    member = member.select("class_id", "table", "bucket", "unit", (blocks > 1).alias("large"), "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    placed = member.join(classes, "class_id")
 
     def link(key: tuple, group: pa.Table) -> pa.Table:
-        table, _, lo, hi = (k.as_py() for k in key)
+        table, _, _, lo, hi = (k.as_py() for k in key)
+        group = group.sort_by("bucket")
         split = lo != hi
         if split and len(group["own"].unique()) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        ids, counts, edges = _pairs(group, table, split, cosine)
-        found = counts > 0
-        a, b = (list(x) for x in zip(*edges, strict=True)) if edges else ([], [])
-        return pa.table({"a": pa.array([*ids[found].tolist(), *a], pa.int64()), "b": pa.array([None] * int(found.sum()) + b, pa.int64()), "n": pa.array([*counts[found].tolist(), *([None] * len(a))], pa.int64())})
-
-    got = common.staged(spark, dealt.groupBy("table", "bucket", "lo", "hi").applyInArrow(link, "a long, b long, n long"), "links")
-    counts = got.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    roots = common.components(spark, got.where("b is not null").select("a", "b"), "vectors")
-    known = classes.join(counts, classes["class_id"] == counts["a"], "left").join(roots, classes["class_id"] == roots["id"], "left")
-    known = known.withColumn("root", F.coalesce("root", "class_id"))
-    lowest = known.groupBy("root").agg(F.min("low").alias("component"))
-    known = known.join(lowest, "root").select(F.col("key"), "component", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"))
-    out = each.join(known, "key", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+            group = group.slice(0, 0)
+        out = {c: [] for c in ("low", "id", "to_low", "to_id", "n")}
+        sizes = np.array([len(k) for k in group["key"].to_pylist()], np.int64)
+        for size in np.unique(sizes):  # vectors of one dimension
+            part = group.take(pa.array(np.flatnonzero(sizes == size)))
+            if split and len(part["own"].unique()) < 2:
+                continue
+            counts, parent = _checked(part, table, split, shape, cosine)
+            low, ids = part["low"].to_numpy(), part["class_id"].to_numpy()
+            found, child = np.flatnonzero(counts), np.flatnonzero(parent != np.arange(len(parent)))
+            none = [None] * len(found)
+            for c, counted, joined in (("low", low[found], low[child]), ("id", ids[found], ids[child]), ("to_low", none, low[parent[child]]), ("to_id", none, ids[parent[child]]), ("n", counts[found], [None] * len(child))):
+                out[c] += [*counted, *joined]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    got = placed.groupBy("table", "unit", "large", "lo", "hi").applyInArrow(link, "low long, id long, to_low long, to_id long, n long")
+    got = common.staged(spark, got, "links")
+    common.discard(dealt)
+    counts = got.where("to_id is null").groupBy(F.col("id").alias("class_id")).agg(F.sum("n").alias("links"))
+    node = lambda low, id: F.struct(F.col(low).alias("low"), F.col(id).alias("id"))
+    roots = common.components(spark, got.where("to_id is not null").select(node("low", "id").alias("a"), node("to_low", "to_id").alias("b")), "vectors")
+    # nodes are ordered by their smallest vec_id, so the root's is the component's
+    roots = roots.select(F.col("id.id").alias("class_id"), F.col("root.low").alias("root"))
+    known = classes.join(counts, "class_id", "left").join(roots, "class_id", "left")
+    known = known.select(F.col("key"), F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"), F.lit(True).alias("known"))
+    component = F.when(F.col("known"), F.col("component")).otherwise(F.col("vec_id"))
+    out = each.join(known, "key", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

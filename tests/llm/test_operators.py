@@ -202,6 +202,29 @@ def test_embeddings(spark, monkeypatch):
     assert got[240]["component_id"] == 0 and got[240]["n_links"] >= 2
 
 
+def test_embeddings_recall_near_the_threshold(spark):
+    # pairs planted at cosine 0.951 to 0.965 among far vectors, and null and repeated ids
+    rng = np.random.default_rng(7)
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((3000, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.965, (3000, 1))
+    near = cos * a + np.sqrt(1 - cos**2) * b
+    ids = [*range(6000), None, None, 9, 10000, 10001]
+    rows = np.concatenate([a, near, a[:1], a[1:2], a[2:3], [np.eye(64)[0], np.eye(64)[0]]])
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in zip(ids, rows)], "vec_id long, embedding array<double>, table int, bucket string").repartition(4)
+    got = embed_dedup.near_vectors(spark, df).collect()
+    assert len(got) == len(ids)
+    linked = {r["vec_id"]: r for r in got if r["vec_id"] is not None and 10 <= r["vec_id"] < 6000}
+    assert sum(linked[3000 + i]["component_id"] == i for i in range(10, 3000)) >= 0.9 * 2990
+    assert all(r["component_id"] in (i, i - 3000) and r["n_links"] <= 1 + (3000 <= i < 3003) for i, r in linked.items())
+    assert sorted(r["component_id"] for r in got if r["vec_id"] is None) == [0, 1]
+    assert [r["component_id"] for r in got if r["vec_id"] == 9 and not r["kept"]] == [2]
+    assert {r["vec_id"]: (r["component_id"], r["n_links"]) for r in got if (r["vec_id"] or 0) >= 10000} == {10000: (10000, 1), 10001: (10000, 1)}
+
+
 def test_quality_measures(spark, texts):
     def plain(text):
         t = text or ""
