@@ -5,14 +5,15 @@ replaced by frequency ranks (0: the most frequent id of all files), `data` with
 with two bits a rank that tell how many. A folder beside it holds the ids in rank order. Blocks are decoded with
 numpy: a table gives the four lengths of a control byte, and masks cut the codes out of the data.
 
-Null texts count as empty; each document ends with `end_id`. Rows of one doc_id follow each other; a null doc_id
-comes first. An empty table gives no blocks.
+Null texts count as empty; each document ends with `end_id`. Rows of one doc_id follow each other, ordered by their
+ids; null doc_ids come first. Repeated rows are written as often as they stand. Columns other than doc_id and text are
+not read. An empty table gives no blocks.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +34,7 @@ TOKENIZE_BYTES = 4 << 20
 class LibraryTokenizer:
     """A byte-level BPE file of the tokenizers library; the library merges each distinct piece, and pieces are kept.
 
-    Strings of special tokens in a text are ordinary text.
+    As in the library, the file's added tokens are cut out of a text before all else and have their own ids.
     """
 
     def __init__(self, path: str):
@@ -44,6 +45,11 @@ class LibraryTokenizer:
         before = tokenizer.pre_tokenizer
         if not isinstance(before, ByteLevel) or not before.use_regex or before.add_prefix_space or tokenizer.normalizer:
             raise ValueError("a byte-level BPE without normaliser and prefix space is asked for")
+        self.added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on what stands around them aren't read")
+        # the longest first: of tokens that begin at one place the library takes the longest
+        self.found = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.vocabulary = tokenizer.get_vocab_size()
         model = tokenizer.model
         # the library writes byte b as the character that stands for it in its vocabulary
@@ -63,7 +69,30 @@ class LibraryTokenizer:
 
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of texts laid end to end: (ids, the n + 1 offsets of the rows' ids)."""
-        return self.cache.encode(raw, ends)[:2]
+        spans = self._added_in(raw, ends)
+        if not spans:
+            return self.cache.encode(raw, ends)[:2]
+        # what stands between added tokens is encoded like rows of its own
+        begin, end, ids_of = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+        cuts = np.unique(np.concatenate([ends, begin, end]))
+        outside = np.ones(len(raw), bool)
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            outside[a:b] = False
+        kept = np.concatenate([[0], np.cumsum(outside)])
+        ids, offsets = self.cache.encode(raw[outside], kept[cuts])[:2]
+        spot = offsets[np.searchsorted(cuts, begin)]
+        before = np.searchsorted(begin, ends)  # added tokens before each row
+        return np.insert(ids, spot, ids_of), offsets[np.searchsorted(cuts, ends)] + before
+
+    def _added_in(self, raw: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(begin, end, id) of the added tokens in the rows."""
+        if self.found is None:
+            return []
+        data = raw.tobytes()
+        if not self.found.search(data):
+            return []
+        rows = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        return [(m.start(), m.end(), self.added[m.group()]) for a, b in rows for m in self.found.finditer(data, a, b)]
 
 
 @cache
@@ -209,8 +238,3 @@ def token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0
     out = f"{common.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_tokens(spark, docs, path, out, end_id)
     return read_tokens(spark, out)
-
-
-def crc_of(ids: np.ndarray) -> int:
-    """CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

@@ -1,5 +1,6 @@
 """The other training-data operators against plain versions."""
 
+import functools
 import math
 import random
 import re
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from fathomry.llm import bpe, embed_dedup, langid, license_scan, packing, quality, queries, simhash, token_io
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["", None, " \n\t", "a", "'ll 're''s x'S", "a" * 3000, "日本語 テスト " * 50, "\x00 \x00a", "é’s    b\n\n", "x́ 1²3 ½", "the of and in to " * 30, "the of and in to " * 30]
+ODD = ["", None, "a <|endoftext|> b<|endoftext|>", " \n\t", "a", "'ll 're''s x'S", "a" * 3000, "日本語 テスト " * 50, "\x00 \x00a", "é’s    b\n\n", "x́ 1²3 ½", "the of and in to " * 30, "the of and in to " * 30]
 
 
 def frame(spark, texts):
@@ -69,12 +70,35 @@ def test_pieces_equal_the_pattern():
         assert got == [e + len(r[: m.start()].encode()) for e, r in zip(ends, rows) for m in pattern.finditer(r)]
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+
+
+def library_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def test_added_tokens_are_cut_out():
+    tokenizer = token_io.tokenizer_of(queries.tokenizer_file("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["", end, f"a {end} b", f"{end}{end}x's", f" é{end}\n\n{end} ", "<|endof", "text|>", f"x <|endoftext{end}", "", f"'{end}s 12"]
+    for rows in (texts, texts[:1], texts[1:2], texts[::-1]):
+        raw = [t.encode() for t in rows]
+        ids, offsets = tokenizer.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() + [0] for a, b in zip(offsets[:-1], offsets[1:])] == [library_ids(t) for t in rows]
+
+
+def test_every_code_point_is_cut_like_the_library():
+    tokenizer = token_io.tokenizer_of(queries.tokenizer_file("byte_bpe_50k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}" for c in points[i : i + 997]) for i in range(0, len(points), 997)]
+    raw = [t.encode() for t in texts]
+    ids, offsets = tokenizer.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == library_ids(t)[:-1], i
 
 
 def test_token_files(spark, texts, monkeypatch):
