@@ -3,7 +3,9 @@
 `Ranks` holds a vocabulary of ranks; its `encode` cuts texts into pieces with the vectorised automaton of
 `pretokenize` and merges each distinct piece once. `encode_documents` and `decode_documents` are the operators on
 DataFrames; encoding keeps the byte offset of every piece, so a span of a text can be decoded alone.
-Null texts count as empty. Repeated rows are encoded as often as they stand; extra columns are kept.
+Null texts count as empty, null ids as none. Repeated rows are encoded as often as they stand, whatever their doc_id; an
+empty table gives an empty result. Extra columns are kept, whatever their names, but for those of the columns that are
+added, which are replaced. Where pairs of equal rank stand in a piece, the leftmost is merged first.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import common, pretokenize
 
@@ -112,7 +115,6 @@ def ranks_of(path: str) -> Ranks:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Adds to each row its `ids` array<int>, and for each piece of its text `piece_start` (byte offset) and `piece_ids` (number of ids)."""
     docs = docs.drop("ids", "piece_start", "piece_ids")
-    schema = docs.schema.simpleString()[7:-1]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((offsets, ids), (first, within), (first, count))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "ids", "piece_start", "piece_ids"])
 
-    return docs.mapInArrow(run, f"{schema}, ids array<int>, piece_start array<int>, piece_ids array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(c, ArrayType(IntegerType())) for c in ("ids", "piece_start", "piece_ids"))]))
 
 
 def id_slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = DECODE_IDS) -> Iterator[pa.RecordBatch]:
@@ -142,8 +144,7 @@ def id_slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = DECODE_ID
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Replaces `ids` by `decoded` binary: the very bytes that were encoded (null ids: empty)."""
     names = [c for c in encoded.columns if c not in ("ids", "decoded")]
-    encoded = encoded.select(*names, "ids")
-    schema = encoded.select(*names).schema.simpleString()[7:-1]
+    encoded = encoded.select(*[encoded[f"`{c}`"] for c in names], "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in id_slices(batches, len(names)):
@@ -155,4 +156,4 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             values = pa.array([blob[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(run, StructType([*(f for f in encoded.schema if f.name != "ids"), StructField("decoded", BinaryType())]))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pretokenize import PieceCache
+
 #: Bytes of text that one vectorised pass of a Python worker holds at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -140,32 +142,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Digests:
     """Two independent 64-bit numbers for each word: the halves of its BLAKE2b digest under a secret key.
 
-    Whoever writes a text doesn't know the key, so no two words can be made to agree. Distinct words are digested once
-    and kept; beyond `keep` of them the table starts anew, which costs time only.
+    Whoever writes a text doesn't know the key, so no two words can be made to agree. Distinct words are told apart by
+    their very bytes, digested once and kept; beyond `keep` of them the table starts anew, which costs time only.
     """
 
     def __init__(self, key: bytes, keep: int = 1 << 18):
-        self.key, self.keep = key, keep
-        self.number: dict[bytes, int] = {}
+        self.key = key
+        self.words = PieceCache(self._digest, keep)
         self.table = np.empty((1 << 14, 2), np.uint64)
 
+    def _digest(self, fresh: list[bytes]) -> list[list[int]]:
+        at = len(self.words.number)
+        while at + len(fresh) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        digests = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in fresh])
+        self.table[at : at + len(fresh)] = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        return [[]] * len(fresh)
+
     def of(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """[n, 2] of the words from `starts` to `stops` in bytes."""
-        data = raw.tobytes()
-        words = [data[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
-        if len(self.number) > self.keep:
-            self.number = {}
-        got = list(map(self.number.get, words))
-        if None in got:
-            fresh = list(dict.fromkeys(w for w, n in zip(words, got, strict=True) if n is None))
-            at = len(self.number)
-            while at + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            digests = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in fresh])
-            self.table[at : at + len(fresh)] = np.frombuffer(digests, "<u8").reshape(-1, 2)
-            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-            got = list(map(self.number.__getitem__, words))
-        return self.table[np.array(got, np.int64)]
+        numbers = self.words.numbers(raw, starts, stops)  # may make the table grow
+        return self.table[numbers]
 
 
 @lru_cache(maxsize=2)

@@ -6,8 +6,11 @@ the smallest total wins; letters are lower-cased on both sides. A narrow margin
 
 The dictionaries are fitted on a bounded sample of labelled rows: per language at most SAMPLE_ROWS distinct texts of
 up to SAMPLE_TEXT bytes, chosen by a hash of the doc_id among all labelled rows, and DICTIONARY bytes in all.
-Predictions read nothing but the text. A null text, or one without any letter, is `und` and rejected. Without any
-labelled row everything is `und`; an empty table gives an empty result.
+Predictions read nothing but the text. A null text, or one without any letter, is `und` and rejected. Of two languages
+with equal sizes the first by name wins, with no margin, so the text is rejected. Repeated rows are predicted each, alike.
+A null doc_id may be learned from. Without any labelled row everything is `und`; with one language only, its margin is
+clear. An empty table gives an empty result. Extra columns are kept, whatever their names, but for those of the columns
+that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import common
 
@@ -38,8 +42,11 @@ def dictionaries(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, byte
     thin = fit.join(share, "lang").where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < F.col("share"))
     thin = thin.groupBy("lang", "text").agg(F.min("h").alias("h"))
     ranked = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= rows)
+    # what doesn't fit into a dictionary isn't collected
+    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("n")) - F.octet_length("text")
+    ranked = ranked.withColumn("before", before).where(F.col("before") <= DICTIONARY)
     out: dict[str, list[bytes]] = {}
-    for r in ranked.orderBy("lang", "n").collect():  # bounded: rows x SAMPLE_TEXT bytes a language
+    for r in ranked.orderBy("lang", "n").collect():  # bounded: DICTIONARY + SAMPLE_TEXT bytes a language
         out.setdefault(r["lang"], []).append(r["text"].lower().encode())
     return {lang: b"\n".join(texts)[:DICTIONARY] for lang, texts in out.items()}
 
@@ -68,21 +75,28 @@ class Classifier:
         return sizes[0][1], min(1.0, 10 * margin), margin
 
 
-def predict(spark: SparkSession, docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
-    """All rows of `docs` with `lang_pred`, `score`, `margin` and `rejected` added."""
-    docs = docs.drop("lang_pred", "score", "margin", "rejected")
-    names, schema = docs.columns, docs.schema.simpleString()[7:-1]
-    text_at = names.index("text")
+def _predicted(spark: SparkSession, docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
+    """(row, lang_pred, score, margin, rejected) of all rows of `docs`; `row` has their columns."""
+    text = common.field_of(docs, "text")
     shared = spark.sparkContext.broadcast(contents)  # DICTIONARY bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value)
-        for batch in common.text_slices(batches):
-            lang, score, margin = zip(*map(classify, batch.column(text_at).to_pylist()), strict=True)
+        for batch in common.text_slices(batches, text=text):
+            lang, score, margin = zip(*map(classify, text(batch).to_pylist()), strict=True)
             more = [pa.array(lang), pa.array(score), pa.array(margin), pa.array([m < MARGIN for m in margin])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["row", *ADDED])
+
+    kinds = (StringType(), DoubleType(), DoubleType(), BooleanType())
+    return common.packed(docs).mapInArrow(run, StructType([StructField("row", docs.schema), *map(StructField, ADDED, kinds)]))
+
+
+ADDED = ("lang_pred", "score", "margin", "rejected")
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, margin double, rejected boolean")
+
+def predict(spark: SparkSession, docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
+    """All rows of `docs` with `lang_pred`, `score`, `margin` and `rejected` added."""
+    return _predicted(spark, docs.drop(*ADDED), contents).select("row.*", *ADDED)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -93,3 +107,8 @@ def held_out(doc_id: str = "doc_id"):
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fits on the rows that aren't held out and predicts all."""
     return predict(spark, docs, dictionaries(docs.where(~held_out())))
+
+
+def clear(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that aren't rejected, with their columns."""
+    return _predicted(spark, docs, dictionaries(docs.where(~held_out()))).where("not rejected").select("row.*")

@@ -89,8 +89,9 @@ known AS (SELECT template, license, len(words) - 1 AS size, unnest({grams}) AS b
 counted AS (SELECT template, license, size, bigram, count(*) AS times FROM known GROUP BY ALL),
 texts AS (SELECT doc_id, {norm.format('text', chr(92) + 'n')} AS t FROM documents WHERE text IS NOT NULL),
 parts AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS u FROM texts UNION ALL SELECT doc_id, t FROM texts
-          UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\\n ?\\n[\\n ]*')) FROM texts WHERE regexp_matches(t, '\\n ?\\n')),
-flat AS (SELECT DISTINCT doc_id, trim(regexp_replace(u, '[\\n ]+', ' ', 'g')) AS unit FROM parts),
+          UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\\n ?\\n[\\n ]*')) FROM texts WHERE regexp_matches(t, '\\n ?\\n')
+          UNION ALL SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.!?]+[ \\t]+|\\n')) FROM documents),
+flat AS (SELECT DISTINCT doc_id, {norm.format('u', '')} AS unit FROM parts),
 cut AS (SELECT doc_id, unit, string_split(unit, ' ') AS words FROM flat),
 grams AS (SELECT doc_id, unit, len(words) - 1 AS unit_size, unnest({grams}) AS bigram FROM cut
           WHERE len(words) - 1 BETWEEN (SELECT min(size) * {t / (2 - t)} FROM counted) AND (SELECT max(size) / {t / (2 - t)} FROM counted)),

@@ -376,28 +376,29 @@ def _strip(text: bytes | None, at: bytes | None, width: int, layout: bool) -> tu
     return n, removed, text[: starts[0]] + (kept if keep[-1] else kept.rstrip(b" \t\n\x0b\x0c\r"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4, layout: bool = False) -> DataFrame:
-    """All rows of `docs` with `n_words`, `n_removed` and `kept` added.
-
-    kept: the kept words joined by one space; with `layout` the text itself without the words removed and the blanks
-    after them (a text that loses nothing is kept as it stands).
-    """
-    docs = docs.drop("n_words", "n_removed", "kept")
+def cut(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4, layout: bool = False) -> DataFrame:
+    """(row, n_words, n_removed, kept) of all rows of `docs`; `row` has their columns. See `dedup`."""
     marks = mark(spark, docs, width, batches).select(F.col("doc_id").alias("id"), F.col("row").alias("hash"), "at").hint("shuffle_hash")
-    # the caller's columns travel as one, so that their names meet no others
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = common.packed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "text_hash": F.xxhash64("row.text")})
     joined = rows.join(marks, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").select("row", "at")
-    text_at = docs.columns.index("text")
+    text = common.field_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0).field(text_at)
+        for batch in common.text_slices(batches, text=text):
+            column = text(batch)
             texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
             got = [_strip(t, a, width, layout) for t, a in zip(texts, batch.column(1).to_pylist(), strict=True)]
             n, removed, kept = zip(*got, strict=True) if got else ((), (), ())
             more = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=["row", "n_words", "n_removed", "kept"])
-            common.trim()
 
-    schema = StructType([StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept")
+    return joined.mapInArrow(run, StructType([StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int = 4, layout: bool = False) -> DataFrame:
+    """All rows of `docs` with `n_words`, `n_removed` and `kept` added.
+
+    kept: the kept words joined by one space; with `layout` the text itself without the words removed and the blanks
+    after them (a text that loses nothing is kept as it stands).
+    """
+    return cut(spark, docs.drop("n_words", "n_removed", "kept"), width, batches, layout).select("row.*", "n_words", "n_removed", "kept")

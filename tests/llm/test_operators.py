@@ -280,10 +280,45 @@ def test_language_id(spark):
 
 
 def test_license_lines_and_texts(spark):
-    mit = license_scan.TEMPLATES[12][1]
-    rows = [(1, "x y z\nReleased under the MIT license!\nfoo"), (2, "intro\n\n" + mit.replace(", ", ",\n")), (3, None), (4, ""), (5, "the MIT"), (6, "Released under the MIT License.\nReleased under the MIT License."), (6, "Released under the MIT License.")]
-    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", 1), 2: ("MIT", 2), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: ("MIT", 1)}
+    L = license_scan
+    whole = f"{L.MIT_GRANT} {L.MIT_NOTICE} {L.MIT_AS_IS}"
+    rows = [
+        (1, "x y z\nReleased under the MIT license!\nfoo"),
+        (2, "intro\n\n" + L.MIT_GRANT.replace(", ", ",\n")),
+        (3, None),
+        (4, ""),
+        (5, "the MIT"),
+        (6, "Released under the MIT License.\nReleased under the MIT License."),
+        (6, "Released under the MIT License."),
+        (7, "Copyright 2024 X. Released under the MIT License. All rights reserved."),
+        (8, f"MIT License\n\nCopyright (c) 2020 A\n\n{L.MIT_GRANT}\n\n{L.MIT_NOTICE}\n\n{L.MIT_AS_IS}\n"),
+        (9, whole),
+        (10, "# SPDX-License-Identifier: GPL-2.0-or-later\nint x;"),
+        (11, "Distributed. " * 3000 + "\n" + f"{L.BSD_GRANT} {L.BSD_TWO} {L.BSD_AS_IS}"),
+        (None, "Licensed under CC BY-NC 4.0."),
+    ]
+    docs = spark.createDataFrame([(i, t, 1, "u", ["w"]) for i, t in rows], "doc_id long, text string, template int, unit string, words array<string>")
+    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in L.scan(spark, docs).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 5, 6, 7)} == {1: ("MIT", 1), 2: ("MIT", 2), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: ("MIT", 1), 7: ("MIT", 1)}
+    assert {i: got[i][0] for i in (8, 9, 10, 11, None)} == {8: "MIT", 9: "MIT", 10: "GPL-2.0-or-later", 11: "BSD-2-Clause", None: "CC-BY-NC-4.0"}
+
+
+def test_license_ties_take_the_first(spark):
+    notices = [("B", "one two three four"), ("A", "one two three four"), ("C", "one two three five")]
+    docs = spark.createDataFrame([(1, "One, two: three four"), (2, "one two three")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], round(r["dice"], 6)) for r in license_scan.scan(spark, docs, notices).collect()}
+    assert got == {1: ("B", 1.0), 2: ("B", 0.8)}
+
+
+def test_license_anchors_are_in_every_match():
+    rnd = random.Random(3)
+    for _ in range(200):
+        words = [rnd.choice("the of and alpha beta gamma delta epsilon zeta eta".split()) for _ in range(rnd.randint(2, 30))]
+        any_of = set(license_scan.anchors([("x", " ".join(words))], 0.8))
+        unit = [w for w in words if rnd.random() < 0.9]
+        a, b = Counter(zip(words, words[1:])), Counter(zip(unit, unit[1:]))
+        if (total := a.total() + b.total()) and 2 * (a & b).total() / total >= 0.8:
+            assert any_of & set(unit)
 
 
 def test_empty_tables(spark):
