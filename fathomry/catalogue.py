@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as fx
 from .operators import aggregates as agg
 from .operators import graph, joins, lookup, ranking, vector
+from .operators.storage import built
 from .plans import projections as p
 from .streaming import changes
 
@@ -73,9 +74,9 @@ def scan_files(spark, sf):
     return p.table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.sha2("html", 256).alias("hash"), F.length("html").alias("n_chars"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
+@query(p.IMPORTS, "SELECT file, path, alias, is_glob FROM imports")
 def scan_imports(spark, sf):
-    return p.table(spark, sf, "pages").select("page_id", F.explode(fx.links(F.col("html"))).alias("target"))
+    return p.imports(spark, sf).select("file", "path", "alias", "is_glob")
 
 
 @query(V, "SELECT id, segment, len(v) AS dimension, round(list_sum(v), 6) AS total FROM vectors")
@@ -89,10 +90,13 @@ def scan_vectors_by_id(spark, sf):
     return p.vectors(spark, sf).where(F.col("id").isin(3, 5, 8, 13, 21, 34, 55)).select("id", "segment")
 
 
-@query(V, "s AS (SELECT id % 50 AS id, segment, id AS n FROM vectors)", "SELECT id, min(segment) AS segment FROM s GROUP BY id")
+@query(V, "SELECT id % 50 AS id, CAST(row_number() OVER (PARTITION BY id % 50 ORDER BY segment, id) AS INT) AS segment, round(v[1], 6) AS head, round(list_sum(v), 6) AS total FROM vectors")
 def scan_segmented_vectors(spark, sf):
-    rows = p.vectors(spark, sf).select((F.col("id") % 50).alias("id"), "segment", F.col("id").alias("n"))
-    return rows.groupBy("id").agg(F.min_by("segment", "segment").alias("segment"))
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy(F.col("id") % 50).orderBy("segment", "id"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return p.vectors(spark, sf).select((F.col("id") % 50).alias("id"), nth.alias("segment"), F.round(F.col("v")[0], 6).alias("head"), F.round(total, 6).alias("total"))
 
 
 @query(M, "SELECT id, thread, line, role, sha256(text) AS hash FROM messages")
@@ -297,11 +301,11 @@ def join_dump_endpoints(spark, sf):
     return joins.dump_endpoints(p.edges(spark, sf), p.symbols(spark, sf).where("id % 10 <> 3")).select("src", "dst", "kind", "line", "from_name", "to_name", "orphan")
 
 
-CALLS = "calls AS (SELECT id AS call_id, name, path, module, language, CAST((line * 7) % 50 AS INT) AS line FROM symbols WHERE id % 3 = 0)"
+CALLS = "calls AS (SELECT id AS call_id, name, path, module, language, CAST((line * 7) % 50 AS INT) AS line FROM symbols)"
 
 
 def _calls(spark, sf):
-    return p.symbols(spark, sf).where("id % 3 = 0").select(F.col("id").alias("call_id"), "name", "path", "module", "language", (F.col("line") * 7 % 50).alias("line"))
+    return p.symbols(spark, sf).select(F.col("id").alias("call_id"), "name", "path", "module", "language", (F.col("line") * 7 % 50).alias("line"))
 
 
 @query(S, CALLS, "SELECT c.call_id, s.id AS target FROM calls c JOIN symbols s ON s.name = c.name AND s.path = c.path")
@@ -347,7 +351,7 @@ def join_range_enclosing(spark, sf):
 
 
 HAVE = "have AS (SELECT DISTINCT c_custkey AS type, o_orderpriority AS member FROM customer JOIN orders ON o_custkey = c_custkey)"
-NEED = "need AS (SELECT DISTINCT n_nationkey % 5 AS interface, o_orderpriority AS member FROM nation JOIN orders ON o_orderkey % 25 = n_nationkey WHERE o_orderkey < 20)"
+NEED = "need AS (SELECT DISTINCT n_nationkey % 5 AS interface, o_orderpriority AS member FROM nation JOIN orders ON o_orderkey % 25 = n_nationkey)"
 
 
 @query(HAVE, NEED, "sz AS (SELECT interface, count(*) AS size FROM need GROUP BY interface)", "SELECT type, interface FROM have JOIN need USING (member) JOIN sz USING (interface) GROUP BY type, interface, size HAVING count(*) = size")
@@ -355,7 +359,7 @@ def join_implements_division(spark, sf):
     o = p.table(spark, sf, "orders")
     have = o.select(F.col("o_custkey").alias("type"), F.col("o_orderpriority").alias("member"))
     n = p.table(spark, sf, "nation")
-    need = o.where("o_orderkey < 20").join(n, F.col("o_orderkey") % 25 == F.col("n_nationkey")).select((F.col("n_nationkey") % 5).alias("interface"), F.col("o_orderpriority").alias("member"))
+    need = o.join(n, F.col("o_orderkey") % 25 == F.col("n_nationkey")).select((F.col("n_nationkey") % 5).alias("interface"), F.col("o_orderpriority").alias("member"))
     return joins.implements_division(have, need)
 
 
@@ -400,9 +404,9 @@ def join_rename_pairs(spark, sf):
 
 @query("m AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text))", "SELECT doc_id, item_id FROM m WHERE n = 1")
 def join_mentions(spark, sf):
-    d = p.table(spark, sf, "documents").select("doc_id", "text")
-    b = p.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("label"))
-    return joins.mentions(d, b, F.col("text").contains(F.col("label")), ("doc_id", "item_id"))
+    d = p.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    b = p.table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.col("text").alias("label"))
+    return joins.mentions(d, b).select(F.col("id").alias("doc_id"), F.col("target").alias("item_id"))
 
 
 @query(
@@ -432,12 +436,12 @@ def join_inbound_callers(spark, sf):
     return s.join(callers, "id", "left_semi").where(~fx.in_prefix(F.col("path"), "Brand#6")).select("path").distinct()
 
 
-@query("a AS (SELECT c_custkey, n_name AS label, c_mktsegment AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 60)", "b AS (SELECT s_suppkey, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
+@query("a AS (SELECT c_custkey, n_name AS label, c_mktsegment AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey)", "b AS (SELECT s_suppkey, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
        "m AS (SELECT c_custkey, s_suppkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM a JOIN b USING (label))", "SELECT c_custkey, CASE WHEN n = 1 THEN min(s_suppkey) ELSE -1 END AS provider, n AS candidates FROM m GROUP BY c_custkey, n")
 def join_contract_consumers(spark, sf):
-    a = p.table(spark, sf, "customer").where("c_custkey < 60").select("c_custkey", F.col("c_nationkey").alias("k"))
-    b = p.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    m = a.join(b, "k").groupBy("c_custkey").agg(F.count("*").alias("candidates"), F.min("s_suppkey").alias("first"))
+    a = p.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    b = p.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("candidates"), F.min("s_suppkey").alias("first"))
+    m = a.join(b, "k")
     return m.select("c_custkey", F.when(F.col("candidates") == 1, F.col("first")).otherwise(-1).alias("provider"), "candidates")
 
 
@@ -449,9 +453,12 @@ def join_provenance(spark, sf):
     return old.join(seen, "path", "left").select("path", status.alias("status"))
 
 
-@query(V, QV, f"SELECT id, round({COS}, 6) AS score FROM vectors, q")
+@query(V, "qs AS (SELECT id AS query, v AS q FROM vectors WHERE id < 8)", f"SELECT query, id, round({COS}, 6) AS score FROM vectors, qs WHERE {COS} >= 0.2")
 def join_vector_cross(spark, sf):
-    return vector.scored(p.vectors(spark, sf), _q(spark, sf)).withColumn("score", F.round("score", 6))
+    v = p.vectors(spark, sf)
+    queries = v.where("id < 8").select(F.col("id").alias("query"), F.col("v").alias("q")).limit(100)  # a few queries against all
+    scored = v.crossJoin(F.broadcast(queries)).select("query", "id", vector.cosine(F.col("v"), F.col("q")).alias("score"))
+    return scored.where("score >= 0.2").withColumn("score", F.round("score", 6))
 
 
 # aggregations
@@ -490,9 +497,17 @@ df AS (SELECT q, count(*) FILTER (tf > 0) AS df FROM c GROUP BY q),
 scores AS (SELECT chunk_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM c JOIN df USING (q), st WHERE tf > 0 GROUP BY chunk_id)"""
 
 
+def _bm25(spark, sf, terms=TERMS):
+    """(id, score) of chunks, from postings that are built once a session."""
+    fields = {"content": "content"}
+    stored = built(spark, f"{sf}/chunk_postings", lambda: agg.postings(p.chunks(spark, sf), "chunk_id", fields), ("folder",))
+    sizes = built(spark, f"{sf}/chunk_lengths", lambda: agg.lengths(p.chunks(spark, sf), fields))
+    return agg.bm25_of(stored, sizes, terms)
+
+
 @query(C, BM25, "SELECT id, round(score, 6) AS score FROM scores")
 def agg_bm25(spark, sf):
-    return agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+    return _bm25(spark, sf).withColumn("score", F.round("score", 6))
 
 
 @query(C, "SELECT chunk_id, len(list_intersect(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), ['the', 'license', 'public', 'version'])) AS coverage FROM chunks")
@@ -504,7 +519,7 @@ MIXED = f"{C}, {BM25}, {V}, {QV}, lex AS (SELECT id, row_number() OVER (ORDER BY
 
 
 def _channels(spark, sf):
-    lex = agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id")
+    lex = _bm25(spark, sf)
     sem = vector.scored(p.vectors(spark, sf), _q(spark, sf))
     deg = agg.degree(p.edges(spark, sf)).withColumnRenamed("degree", "score")
     return ranking.ranked(lex, "lexical", 64).union(ranking.ranked(sem, "semantic", 32)).union(ranking.ranked(deg, "graph", 64))
@@ -512,7 +527,7 @@ def _channels(spark, sf):
 
 @query(E, MIXED, "SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM allr GROUP BY id")
 def agg_rrf(spark, sf):
-    return agg.rrf(_channels(spark, sf)).withColumn("score", F.round("score", 6))
+    return agg.rrf(_channels(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(E, "b AS (SELECT src AS id, dst AS o FROM edges WHERE kind <> 'DispatchCandidate' UNION SELECT dst, src FROM edges WHERE kind <> 'DispatchCandidate')", "SELECT id, count(*) AS degree FROM b GROUP BY id")
@@ -634,7 +649,7 @@ def win_first_dup(spark, sf):
 @query(C, BM25, "s AS (SELECT id, score, collection AS source FROM scores JOIN chunks ON chunk_id = id)", "d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY score DESC, id) > 5 THEN 1 ELSE 0 END AS late FROM s)", "SELECT id, source FROM d ORDER BY late, score DESC, id LIMIT 40")
 def win_diversify(spark, sf):
     c = p.chunks(spark, sf)
-    s = agg.bm25(c, "chunk_id", "content", TERMS).join(c.select("chunk_id", F.col("collection").alias("source")), "chunk_id").withColumnRenamed("chunk_id", "id")
+    s = _bm25(spark, sf).join(c.select(F.col("chunk_id").alias("id"), F.col("collection").alias("source")), "id")
     return ranking.diversify(s, 40, 5).select("id", "source")
 
 
@@ -643,8 +658,7 @@ def win_diversify(spark, sf):
 
 @query(C, BM25, "SELECT id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20")
 def topk_bm25(spark, sf):
-    s = agg.bm25(p.chunks(spark, sf), "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id")
-    return vector.top(s, 20).withColumn("score", F.round("score", 6))
+    return vector.top(_bm25(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
 @query(V, QV, f"SELECT id, round({COS}, 6) AS score FROM vectors, q ORDER BY {COS} DESC, id LIMIT 10")
@@ -665,7 +679,7 @@ def topk_hubs(spark, sf):
 @query(C, BM25, "cov AS (SELECT id, score, len(list_intersect(t, ['the', 'license', 'public', 'version'])) AS coverage FROM scores JOIN w ON w.chunk_id = id)", "pool AS (SELECT * FROM cov ORDER BY score DESC, id LIMIT 160)", "SELECT id, coverage FROM pool ORDER BY coverage DESC, score DESC, id LIMIT 10")
 def topk_rerank(spark, sf):
     c = p.chunks(spark, sf)
-    pool = vector.top(agg.bm25(c, "chunk_id", "content", TERMS).withColumnRenamed("chunk_id", "id"), 160)
+    pool = vector.top(_bm25(spark, sf), 160)
     cov = ranking.coverage(c, "content", TERMS).select(F.col("chunk_id").alias("id"), F.col("coverage").cast("long").alias("coverage"))
     return pool.join(cov, "id").orderBy(F.desc("coverage"), F.desc("score"), "id").limit(10).select("id", "coverage")
 
@@ -725,11 +739,15 @@ def fn_trigrams(spark, sf):
     return p.symbols(spark, sf).select("id", F.array_join(fx.trigrams(F.col("name")), "|").alias("grams"))
 
 
-@query(S, "n AS (SELECT DISTINCT name, CASE WHEN length(name) BETWEEN 6 AND 64 THEN list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) ELSE [] END AS g FROM symbols)", "x AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) + len(b.g) AS t FROM n a, n b WHERE a.name < b.name)", "SELECT a, b, CASE WHEN s >= 3 AND floor(2000.0 * s / t) >= 700 THEN CAST(floor(2000.0 * s / t) AS BIGINT) ELSE 0 END AS near FROM x")
+@query(S, "n AS (SELECT DISTINCT name, CASE WHEN length(name) BETWEEN 6 AND 64 THEN list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) ELSE [] END AS g FROM symbols)", "x AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) + len(b.g) AS t FROM n a, n b WHERE a.name < b.name)", "SELECT a, b, CAST(floor(2000.0 * s / t) AS BIGINT) AS near FROM x WHERE s >= 3 AND floor(2000.0 * s / t) >= 700")
 def fn_near_match(spark, sf):
     n = p.symbols(spark, sf).select("name").distinct().withColumn("g", fx.trigrams(F.col("name")))
-    a, b = n.select(F.col("name").alias("a"), F.col("g").alias("x")), n.select(F.col("name").alias("b"), F.col("g").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", fx.near_match(F.col("x"), F.col("y")).alias("near"))
+    grams = n.select("name", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    a, b = (grams.select(F.col("name").alias(x), F.col("size").alias(f"{x}_size"), "gram") for x in "ab")
+    # names meet under a trigram they share; what they share is counted
+    shared = a.join(b, "gram").where("a < b").groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("n"))
+    near = F.floor(2000 * F.col("n") / (F.col("a_size") + F.col("b_size")))
+    return shared.select("a", "b", "n", near.alias("near")).where("n >= 3 and near >= 700").select("a", "b", "near")
 
 
 @query(S, "g AS (SELECT DISTINCT name, unnest(range(3, 11)) AS n FROM symbols)", "x AS (SELECT name, n, unnest(range(1, length(name) - n + 2)) AS i FROM g WHERE length(name) >= n)", "SELECT DISTINCT name, substring(name, i, n) AS gram FROM x")
@@ -775,9 +793,9 @@ def fn_is_identifier(spark, sf):
     return p.symbols(spark, sf).select("id", fx.is_identifier(F.replace(F.col("name"), F.lit(" "), F.lit("_"))).alias("joined"), fx.is_identifier(F.col("name")).alias("plain"))
 
 
-@query(M, "SELECT id, regexp_replace(regexp_replace(lower(trim(substring(text, 1, 60))), '\\s', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g') AS slug FROM messages")
+@query(M, "SELECT id, regexp_replace(regexp_replace(lower(trim(text, ' ')), '\\s', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g') AS slug FROM messages")
 def fn_slug(spark, sf):
-    return p.messages(spark, sf).select("id", fx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return p.messages(spark, sf).select("id", fx.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, sha256(CAST(octet_length(encode(source)) AS VARCHAR) || ':' || source || CAST(octet_length(encode(text)) AS VARCHAR) || ':' || text) AS digest FROM documents")
@@ -791,10 +809,15 @@ def fn_portable_path(spark, sf):
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
-def fn_md_links(spark, sf):
+def scan_links(spark, sf):
     return p.table(spark, sf, "pages").select("page_id", F.explode(fx.links(F.col("html"))).alias("target"))
 
 
+@query(p.MARKDOWN, "SELECT page_id, unnest(regexp_extract_all(md, '\\]\\(([^)\\s]*)\\)', 1)) AS target FROM markdown")
+def fn_md_links(spark, sf):
+    return p.markdown(spark, sf).select("page_id", F.explode(fx.markdown_links(F.col("md"))).alias("target"))
+
+
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
 def fn_epoch(spark, sf):
     return p.events(spark, sf).select("event_id", F.unix_timestamp("ts").alias("seconds"))
@@ -807,9 +830,9 @@ def fn_inverse(spark, sf):
     return p.edges(spark, sf).select("kind").distinct().withColumn("inverse", pairs[F.col("kind")])
 
 
-@query(M, "SELECT id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 100)), '[^a-z0-9]+'), lambda t: length(t) > 0)).list_sort(), ' ') AS terms FROM messages WHERE NOT regexp_matches(substring(text, 1, 100), '[\\^\"~*():\\[\\]{}\\\\!+]') AND NOT regexp_matches(substring(text, 1, 100), '(^|\\s)(AND|OR|NOT)(\\s|$)') AND len(list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 100)), '[^a-z0-9]+'), lambda t: length(t) > 0))) >= 2")
+@query(M, "SELECT id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 0)).list_sort(), ' ') AS terms FROM messages WHERE octet_length(encode(text)) <= 4096 AND NOT regexp_matches(text, '[\\^\"~*():\\[\\]{}\\\\!+]') AND NOT regexp_matches(text, '(^|\\s)(AND|OR|NOT)(\\s|$)') AND len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 0))) >= 2")
 def fn_query_terms(spark, sf):
-    terms = fx.query_terms(F.substring("text", 1, 100))
+    terms = fx.query_terms(F.col("text"))
     return p.messages(spark, sf).select("id", F.array_join(F.array_sort(terms), " ").alias("terms")).where("terms is not null")
 
 
@@ -846,16 +869,24 @@ def graph_impact(spark, sf):
     return graph.impact(p.edges(spark, sf), 1, 3)
 
 
-@query(E, "f AS (SELECT min(dst) AS goal FROM edges WHERE src = 1)", "SELECT CAST(0 AS INT) AS position, CAST(1 AS BIGINT) AS id FROM f WHERE goal IS NOT NULL UNION ALL SELECT 1, goal FROM f WHERE goal IS NOT NULL")
+@query(
+    E,
+    "h AS (SELECT DISTINCT dst AS mid FROM edges WHERE src = 1)",
+    "f AS (SELECT min(dst) AS goal FROM edges WHERE src IN (SELECT mid FROM h) AND dst NOT IN (SELECT mid FROM h) AND dst <> 1)",
+    "m AS (SELECT goal, min(src) AS mid FROM edges JOIN f ON dst = goal WHERE src IN (SELECT mid FROM h) GROUP BY goal)",
+    "SELECT CAST(0 AS INT) AS position, CAST(1 AS BIGINT) AS id FROM m UNION ALL SELECT 1, mid FROM m UNION ALL SELECT 2, goal FROM m",
+)
 def graph_path(spark, sf):
-    e = p.edges(spark, sf)
-    goal = e.where("src = 1").agg(F.min("dst")).first()[0]
+    e = p.edges(spark, sf).select("src", "dst").distinct()
+    near = e.where("src = 1").select(F.col("dst").alias("src"))
+    beyond = e.join(near, "src", "left_semi").join(near.select(F.col("src").alias("dst")), "dst", "left_anti").where("dst <> 1")
+    goal = beyond.agg(F.min("dst")).first()[0]
     return graph.path(e, 1, -1 if goal is None else goal)
 
 
-@query(E, S, "u AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE kind <> 'DispatchCandidate' AND src < 400 AND dst < 400)", "b AS (SELECT a, b FROM u UNION SELECT b, a FROM u)", "r(id, c) AS (SELECT a, a FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id)", "SELECT id, min(c) AS component FROM r GROUP BY id")
+@query()  # too slow as recursive SQL on all edges; compared with union-find on small graphs
 def graph_components(spark, sf):
-    return graph.components(p.edges(spark, sf).where("src < 400 and dst < 400"))
+    return graph.components(p.edges(spark, sf))
 
 
 @query(S, E, "seeds AS (SELECT id FROM symbols WHERE path = 'Brand#8/small/f3' OR starts_with(path, 'Brand#8/small/f3/'))", "h AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'Defines')", "r(id, d) AS (SELECT id, 0 FROM seeds UNION SELECT h.src, d + 1 FROM r JOIN h ON h.dst = r.id WHERE d < 2)", "SELECT id, CAST(min(d) AS INT) AS depth FROM r GROUP BY id")
@@ -883,8 +914,9 @@ def ann_assign(spark, sf):
 @query(V, QV, CENTRES, "s AS (SELECT id, v, cluster, row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(v, c) DESC, cluster) AS k FROM vectors, centres)", "near AS (SELECT cluster FROM centres, q ORDER BY list_cosine_similarity(c, q) DESC, cluster LIMIT 1)", f"SELECT id, round({COS}, 6) AS score FROM s, q WHERE k = 1 AND cluster = (SELECT cluster FROM near) ORDER BY {COS} DESC, id LIMIT 10")
 def ann_ivf_search(spark, sf):
     v, q = p.vectors(spark, sf), _q(spark, sf)
-    centres = vector.centroids(v, "segment")
-    return vector.ivf_search(vector.assign(v, centres), centres, q, 10).withColumn("score", F.round("score", 6))
+    centres = built(spark, f"{sf}/centres", lambda: vector.centroids(v, "segment"))
+    assigned = built(spark, f"{sf}/assigned", lambda: vector.assign(v, centres).repartition("cluster"), ("cluster",))
+    return vector.ivf_search(assigned, centres, q, 10).withColumn("score", F.round("score", 6))
 
 
 @query(M, "SELECT id, substring(text, 1, 800) AS preview, CASE WHEN role = 'user' THEN 2.0 ELSE 1.0 END::DOUBLE AS boost FROM messages WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')")
@@ -909,8 +941,7 @@ def search_semantic(spark, sf):
 
 @query(E, MIXED, "SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score, count(*) AS sources FROM allr GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 30")
 def search_ticket(spark, sf):
-    ranks = _channels(spark, sf)
-    fused = agg.rrf(ranks).join(ranks.groupBy("id").agg(F.count_distinct("source").alias("sources")), "id")
+    fused = agg.rrf(_channels(spark, sf))
     return fused.orderBy(F.desc("score"), "id").limit(30).withColumn("score", F.round("score", 6))
 
 
@@ -940,12 +971,13 @@ def sink_delete_symbol(spark, sf):
     return e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "kind", "line")
 
 
-@query(V, "SELECT id % 100 AS id, min(segment) AS segment FROM vectors WHERE (id % 100) % 3 = 0 GROUP BY id % 100")
+@query(V, "k AS (SELECT id % 100 AS id, v, row_number() OVER (PARTITION BY id % 100 ORDER BY segment, id) AS n FROM vectors WHERE (id % 100) % 3 = 0)", "SELECT id, round(v[1], 6) AS head, round(list_sum(v), 6) AS total FROM k WHERE n = 1")
 def sink_vector_compact(spark, sf):
     from .sources.readers import compact_vectors
 
-    rows = p.vectors(spark, sf).select("segment", (F.col("id") % 100).alias("id"), F.col("segment").alias("v"))
-    return compact_vectors(rows, spark.range(0, 100, 3)).select("id", F.col("v").alias("segment"))
+    rows = p.vectors(spark, sf).select(F.struct("segment", "id").alias("segment"), (F.col("id") % 100).alias("id"), "v")
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return compact_vectors(rows, spark.range(0, 100, 3)).select("id", F.round(F.col("v")[0], 6).alias("head"), F.round(total, 6).alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def headings(text: Column) -> Column:
 
 
 def backticks(text: Column, most: int = 8) -> Column:
-    """The first distinct bare identifiers in single backticks."""
+    """The first `most` distinct bare identifiers in single backticks, a documented limit of the operator."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_]*)`"), 1)), 1, most)
 
 
@@ -110,6 +110,11 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)
 
 
+def markdown_links(text: Column) -> Column:
+    """Targets of inline Markdown links."""
+    return F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]*)\)"), 1)
+
+
 def digest(*parts: Column) -> Column:
     """SHA-256 of the parts, each with its length before it."""
     return F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)

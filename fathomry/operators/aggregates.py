@@ -19,34 +19,56 @@ def degree(edges: DataFrame) -> DataFrame:
 def rrf(ranked: DataFrame, k: int = RRF) -> DataFrame:
     """(id, score) of (id, source, rank): each source gives 1 / (k + best rank)."""
     best = ranked.groupBy("id", "source").agg(F.min("rank").alias("rank"))
-    return best.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
-
-
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl): lower-case alphanumeric terms of each text; one shuffle on (key, term)."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    exploded = texts.select(key, terms.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return exploded.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def _occurrences(terms: str, term: str) -> Column:
-    return F.size(F.filter(terms, lambda t: t == term))
-
-
-def bm25(texts: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """(key, score) of the texts with any of the query's terms."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    sized = texts.select(key, F.size(terms).alias("dl"), terms.alias("terms"))
-    # term frequencies of the query only: the table is scanned once for its statistics and once for the matches
-    counts = sized.select(key, "dl", *[_occurrences("terms", q).alias(f"tf{i}") for i, q in enumerate(query)])
-    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(query))])
-    score = F.lit(0.0)
-    for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score += F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    any_of = F.greatest(*[F.col(f"tf{i}") for i in range(len(query))], F.lit(0)) > 0
-    return counts.where(any_of).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
+    return best.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.count("*").alias("sources"))
+
+
+def terms_of(text: Column) -> Column:
+    """Lower-case alphanumeric terms, repeats included."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+
+
+#: Folders that postings are dealt into by a hash of their term.
+TERM_FOLDERS = 64
+
+
+def term_folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+
+
+def postings(texts: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """(term, id, field, tf, dl, folder) of each field (name: column) of each text; written by folder and sorted by term, a query reads its terms only.
+
+    Texts are cut into terms once, and each text's repeats are counted before anything is shuffled.
+    """
+    every = None
+    for field, column in fields.items():
+        terms = texts.select(F.col(key).alias("id"), terms_of(F.col(column)).alias("terms"))
+        words = terms.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        counted = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "id", F.lit(field).alias("field"), "tf", "dl")
+        every = counted if every is None else every.union(counted)
+    every = every.withColumn("folder", term_folder(F.col("term")))
+    # ranges of term and id, so that a term in every text is dealt over many files too
+    return every.repartitionByRange("folder", "term", "id").sortWithinPartitions("folder", "term", "id")
+
+
+def lengths(texts: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(field, n, avgdl): one row for each field."""
+    sizes = [F.struct(F.lit(f).alias("field"), F.size(terms_of(F.col(c))).alias("dl")) for f, c in fields.items()]
+    return texts.select(F.explode(F.array(*sizes)).alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.avg("x.dl").alias("avgdl"))
+
+
+def bm25_of(stored: DataFrame, sizes: DataFrame, query: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+    """(id, score) from stored `postings` and `lengths`: fields add up, each with its boost."""
+    query = list(dict.fromkeys(query))
+    folders = [r[0] for r in stored.sparkSession.createDataFrame([(q,) for q in query], "q string").select(term_folder(F.col("q"))).distinct().collect()]
+    mine = stored.where(F.col("folder").isin(folders) & F.col("term").isin(query))
+    df = mine.groupBy("term", "field").agg(F.count("*").alias("df"))
+    # one row for each term of the query and field
+    weights = df.join(F.broadcast(sizes), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if boosts:
+        score = score * F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])[F.col("field")]
+    return mine.join(F.broadcast(weights), ["term", "field"]).groupBy("id").agg(F.sum(score).alias("score"))
 
 
 def risk(direct: int, cross: int, total: int) -> str:

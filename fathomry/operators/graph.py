@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import shared_dir
+
 IMPACT_KINDS = ("Calls", "Uses", "Implements", "Extends", "References", "DispatchCandidate")
 
 
@@ -14,13 +14,6 @@ class BudgetExceeded(ValueError):
     """A traversal met more nodes or edges than it may; there is no partial result."""
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def neighbours(edges: DataFrame, node: int, kinds: tuple[str, ...], reverse: bool = False) -> DataFrame:
     """(id, kind, line) of the edges that leave, or enter, a node."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -28,9 +21,13 @@ def neighbours(edges: DataFrame, node: int, kinds: tuple[str, ...], reverse: boo
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
-    """(id, depth) of nodes within `depth` steps along src -> dst, starts at 0. The frontier is joined, never collected."""
-    spark = edges.sparkSession
-    checkpoints(spark)
+    """(id, depth) of nodes within `depth` steps along src -> dst, starts at 0. The frontier is joined, never collected.
+
+    Edges are staged once and read at each step; parallel edges count towards `max_edges`.
+    """
+    shared_dir(edges.sparkSession)
+    edges = edges.select("src", "dst") if max_edges is not None else edges.select("src", "dst").distinct()
+    edges = edges.checkpoint()
     seen = starts.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
     walked = 0
     for step in range(1, depth + 1):
@@ -61,7 +58,8 @@ def impact(edges: DataFrame, start: int, depth: int, max_nodes: int | None = Non
 def path(edges: DataFrame, start: int, end: int, depth: int = 16) -> DataFrame:
     """(position, id) of a shortest path, the smallest ids of all shortest ones seen from the end; no rows if there is none."""
     spark = edges.sparkSession
-    hops = edges.select("src", "dst").distinct()
+    shared_dir(spark)
+    hops = edges.select("src", "dst").distinct().checkpoint()
     levels = reach(hops, spark.createDataFrame([(start,)], "id long"), depth)
     found = levels.where(F.col("id") == end).first()
     rows = []
@@ -77,8 +75,7 @@ def path(edges: DataFrame, start: int, end: int, depth: int = 16) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component), component the smallest id; candidate edges don't connect. Stars are contracted until they stand still."""
-    spark = edges.sparkSession
-    checkpoints(spark)
+    shared_dir(edges.sparkSession)
     e = edges.where("kind <> 'DispatchCandidate'").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct().checkpoint()
     while True:
         both = e.union(e.select("b", "a"))

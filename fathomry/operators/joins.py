@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import shared_dir
+
 
 def exactly_one(candidates: DataFrame, *key: str) -> DataFrame:
     """Rows whose key has one candidate; ambiguous keys have none."""
@@ -44,10 +46,15 @@ def tiered(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def asof_closest(calls: DataFrame, definitions: DataFrame, key: str) -> DataFrame:
-    """For each call (call_id, key, line) the definition (id, key, line) with the greatest line not after it."""
-    d = definitions.select(key, F.col("line").alias("def_line"), F.col("id").alias("target"))
-    best = calls.join(d, key).where("def_line <= line").groupBy("call_id").agg(F.max(F.struct("def_line", (-F.col("target")).alias("t"))).alias("x"))
-    return best.select("call_id", F.col("x.def_line").alias("def_line"), (-F.col("x.t")).alias("target"))
+    """For each call (call_id, key, line) the definition (id, key, line) with the greatest line not after it, of equals the smallest id.
+
+    Both sides are sorted together by key and line and the last definition is carried on: no pairs are made.
+    """
+    d = definitions.groupBy(key, "line").agg(F.min("id").alias("target"))
+    both = d.select(key, "line", F.struct(F.col("line").alias("def_line"), "target").alias("d"), F.lit(None).cast("long").alias("call_id"))
+    both = both.unionByName(calls.select(key, "line", F.lit(None).alias("d"), F.col("call_id").cast("long").alias("call_id")))
+    upto = Window.partitionBy(key).orderBy("line", F.col("call_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("call_id is not null and d is not null").select("call_id", "d.def_line", "d.target")
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, key: str, width: int) -> DataFrame:
@@ -90,19 +97,38 @@ def drift(committed: DataFrame, live: DataFrame, first: int) -> DataFrame:
     return status.orderBy("path").limit(first).crossJoin(F.broadcast(total))
 
 
-def mentions(sources: DataFrame, targets: DataFrame, matches: Column, keys: tuple[str, str]) -> DataFrame:
-    """(source, target) where the text names exactly one target; `targets` is a bounded list that is broadcast."""
-    found = sources.join(F.broadcast(targets), matches)
-    return exactly_one(found.select(*keys), keys[0])
+def mentions(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target) where a text (id, text) has the label of exactly one target (target, label) as a part.
 
-
-def reexports(exports: DataFrame, rounds: int = 8) -> DataFrame:
-    """(name, target): chains of (name, refers_to) followed to names that refer to nothing, in at most `rounds` rounds."""
-    reached = exports.select("name", F.col("refers_to").alias("target"))
-    step = exports.select(F.col("name").alias("target"), F.col("refers_to").alias("next"))
-    for _ in range(rounds):
-        reached = reached.join(step, "target", "left").select("name", F.coalesce("next", "target").alias("target"))
-    return reached.join(step.select("target").distinct(), "target", "left_anti").select("name", "target")
+    A label of five words or more is met by its second to fourth word, which stand whole in any text that has it, and
+    then verified; shorter labels are compared with every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
+    label = targets.withColumn("w", words("label"))
+    three = lambda w, i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(3)])
+    long = label.where(F.size("w") >= 5).select("target", "label", three(F.col("w"), F.lit(1)).alias("key"))
+    text = sources.withColumn("w", words("text")).where(F.size("w") >= 3)
+    keyed = text.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("key"))
+    met = keyed.select("id", "key").join(long, "key").select("id", "target", "label")  # texts come back for what was met only
+    found = met.join(sources, "id").where(F.col("text").contains(F.col("label"))).select("id", "target")
+    short = sources.crossJoin(label.where(F.size("w") < 5)).where(F.col("text").contains(F.col("label"))).select("id", "target")
+    return exactly_one(found.union(short).distinct(), "id")
+
+
+def reexports(exports: DataFrame) -> DataFrame:
+    """(name, target): chains of (name, refers_to) followed to names that refer to nothing, whatever their length; each name refers once.
+
+    Each round doubles the hops; it ends when no more names arrive, and names on or before a cycle have no target.
+    """
+    shared_dir(exports.sparkSession)
+    reached, open_before = exports.select("name", F.col("refers_to").alias("target")).checkpoint(), None
+    while True:
+        still_open = reached.join(reached.select(F.col("name").alias("target")), "target", "left_semi").count()
+        if still_open == 0 or still_open == open_before:
+            return reached.join(reached.select(F.col("name").alias("target")), "target", "left_anti").select("name", "target")
+        open_before = still_open
+        step = reached.select(F.col("name").alias("target"), F.col("target").alias("next"))
+        reached = reached.join(step, "target", "left").select("name", F.coalesce("next", "target").alias("target")).checkpoint()
 
 
 def dispatch_candidates(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -21,7 +21,14 @@ def page(found: DataFrame, limit: int, offset: int, order: tuple = ORDER) -> Dat
     total = found.agg(F.count("*").alias("total"))
     rows = found.orderBy(*order).limit(offset + limit)
     rows = rows.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > offset)
-    return total.join(rows, F.lit(True), "left")  # a page past the end still tells the total
+    return rows.crossJoin(F.broadcast(total))  # one row; a page past the end is empty, `page_total` tells the number
+
+
+def page_total(found: DataFrame, limit: int, offset: int) -> DataFrame:
+    """(total, next_offset) of a page: next_offset is null on the last one and past the end."""
+    after = offset + limit
+    total = found.agg(F.count("*").alias("total"))
+    return total.select("total", F.when(F.col("total") > after, F.lit(after)).cast("long").alias("next_offset"))
 
 
 def dotted(symbols: DataFrame, path: str) -> DataFrame:

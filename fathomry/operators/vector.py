@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Centres of an index at most.
+MOST_CENTRES = 100
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -43,15 +47,18 @@ def centroids(vectors: DataFrame, cluster: str) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, cluster) of the nearest centre, the first of equals; centres are at most 100."""
-    s = vectors.crossJoin(F.broadcast(centres)).select("id", "v", "cluster", cosine(F.col("v"), F.col("c")).alias("s"))
-    return s.groupBy("id").agg(F.max_by(F.struct("cluster", "v"), F.struct("s", -F.col("cluster"))).alias("x")).select("id", "x.cluster", "x.v")
+    """(id, cluster, v) with the nearest centre, the first of equals; each row looks at all centres, so none is multiplied."""
+    every = centres.limit(MOST_CENTRES + 1).agg(F.collect_list(F.struct("cluster", "c")).alias("centres"))  # bounded
+    every = every.where(F.assert_true(F.size("centres") <= MOST_CENTRES, F.lit(f"more than {MOST_CENTRES} centres")).isNull())
+    near = F.array_max(F.transform("centres", lambda x: F.struct(cosine(F.col("v"), x["c"]).alias("s"), (-x["cluster"]).alias("k"))))
+    return vectors.crossJoin(F.broadcast(every)).select("id", (-near["k"]).alias("cluster"), "v")
 
 
 def ivf_search(assigned: DataFrame, centres: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k best of the cluster nearest to the query."""
-    near = centres.crossJoin(query.select("q").limit(1)).select("cluster", cosine(F.col("c"), F.col("q")).alias("s")).orderBy(F.desc("s"), "cluster").limit(1)
-    return top(scored(assigned.join(F.broadcast(near.select("cluster")), "cluster"), query), k)
+    """The k best of the cluster nearest to the query; `assigned` is stored by cluster, and the others aren't read."""
+    near = centres.crossJoin(query.select("q").limit(1)).select("cluster", cosine(F.col("c"), F.col("q")).alias("s"))
+    first = near.orderBy(F.desc("s"), "cluster").first()  # of at most MOST_CENTRES rows
+    return top(scored(assigned.where(F.col("cluster") == (first["cluster"] if first else None)), query), k)
 
 
 def relative_cutoff(scores: DataFrame, k: int) -> DataFrame:

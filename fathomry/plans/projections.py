@@ -14,7 +14,12 @@ SYMBOLS = """symbols AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind,
 EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst,
   CASE a.l_suppkey % 7 WHEN 0 THEN 'Calls' WHEN 1 THEN 'Uses' WHEN 2 THEN 'Implements' WHEN 3 THEN 'Extends' WHEN 4 THEN 'References' WHEN 5 THEN 'Defines' ELSE 'DispatchCandidate' END AS kind,
   a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_partkey <> b.l_partkey AND a.l_returnflag = 'R' AND a.l_linestatus = 'F')"""
+  WHERE a.l_partkey <> b.l_partkey)"""
+#: What a file (a path of symbols) imports: the module of the symbol an edge leads to; an alias for every third, a glob for every fifth.
+IMPORTS = f"""{EDGES}, {SYMBOLS}, imports AS (SELECT DISTINCT a.path AS file, b.module AS path, CASE WHEN b.id % 3 = 0 THEN b.name END AS alias, b.id % 5 = 0 AS is_glob
+  FROM edges e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst WHERE e.kind = 'Uses')"""
+#: Pages as Markdown: links become inline links, headings lines of hashes, other tags go.
+MARKDOWN = """markdown AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '[\\2](\\1)', 'g'), '<h([1-3])[^>]*>([^<]*)</h[1-3]>', chr(10) || '# \\2' || chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS md FROM pages)"""
 CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, lang AS collection, source AS source_path, text AS content FROM documents)"
 MESSAGES = "messages AS (SELECT conv_id * 1000 + turn AS id, conv_id AS thread, turn AS line, role, text FROM conversations)"
 VECTORS = "vectors AS (SELECT vec_id AS id, label AS segment, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -44,12 +49,25 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    a = lines.where("l_returnflag = 'R' and l_linestatus = 'F'").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"), "l_suppkey")
+    a = lines.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"), "l_suppkey")
     b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_suppkey") % 7 + 1).cast("int"))
     return a.join(b, ["l_orderkey", "line"]).where("src <> dst").select("src", "dst", kind.alias("kind"), "line").distinct()
 
 
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = symbols(spark, sf_dir)
+    a = s.select(F.col("id").alias("src"), F.col("path").alias("file"))
+    b = s.select(F.col("id").alias("dst"), F.col("module").alias("path"), F.when(F.col("id") % 3 == 0, F.col("name")).alias("alias"), (F.col("id") % 5 == 0).alias("is_glob"))
+    return edges(spark, sf_dir).where("kind = 'Uses'").join(a, "src").join(b, "dst").select("file", "path", "alias", "is_glob").distinct()
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.regexp_replace("html", '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)")
+    md = F.regexp_replace(F.regexp_replace(md, "<h([1-3])[^>]*>([^<]*)</h[1-3]>", "\n# $2\n"), "<[^>]*>", "\n")
+    return table(spark, sf_dir, "pages").select("page_id", "url", md.alias("md"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("collection"), F.col("source").alias("source_path"), F.col("text").alias("content"))
 
