@@ -27,8 +27,8 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
 
 
-#: Folders that postings are dealt into by a hash of their term.
-TERM_FOLDERS = 64
+#: Folders that postings are dealt into by a hash of their term, and tasks that write one of them.
+TERM_FOLDERS, SPREAD = 64, 8
 
 
 def term_folder(term: Column) -> Column:
@@ -47,8 +47,8 @@ def postings(texts: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
         counted = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "id", F.lit(field).alias("field"), "tf", "dl")
         every = counted if every is None else every.union(counted)
     every = every.withColumn("folder", term_folder(F.col("term")))
-    # ranges of term and id, so that a term in every text is dealt over many files too
-    return every.repartitionByRange("folder", "term", "id").sortWithinPartitions("folder", "term", "id")
+    # a folder is dealt by id too, so that a term in every text doesn't stand in one task
+    return every.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("folder", "term", "id")
 
 
 def lengths(texts: DataFrame, fields: dict[str, str]) -> DataFrame:

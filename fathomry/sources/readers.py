@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,52 @@ def compact_vectors(segments: DataFrame, live: DataFrame) -> DataFrame:
     """Live ids of segments (segment, id, v) once each: the first segment that holds an id wins."""
     first = segments.groupBy("id").agg(F.min_by("v", "segment").alias("v"))
     return first.join(live.select("id").distinct(), "id", "left_semi")
+
+
+def directories(paths: DataFrame) -> DataFrame:
+    """(dir): the distinct folders of files (path)."""
+    return paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
+
+
+def snapshot(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+    """Files (path, bytes), or an error where there are more files or bytes than may be."""
+    n, size = files.agg(F.count("*"), F.sum("bytes")).first()
+    if n > max_files or (size or 0) > max_bytes:
+        raise ValueError(f"{n} files of {size} bytes are more than {max_files} of {max_bytes}")
+    return files
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: ** crosses folders, * and ? stay in one."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = glob[i]
+            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".+()[]{}^$|\\" else c), i + 1
+    return f"^{out}$"
+
+
+def collection(paths: DataFrame, globs: list[str]) -> DataFrame:
+    """Distinct paths that match one of the globs."""
+    return paths.select("path").where(F.col("path").rlike("|".join(map(glob_pattern, globs)))).distinct()
+
+
+def exports_of(stored: DataFrame) -> DataFrame:
+    """(file, name, id) of exports stored as one JSON list a file (file, exports)."""
+    return stored.select("file", F.explode(F.from_json("exports", "array<struct<name: string, id: bigint>>")).alias("x")).select("file", "x.name", "x.id")
+
+
+def store_exports(symbols: DataFrame) -> DataFrame:
+    """(file, exports): the public symbols of each file as a JSON list."""
+    public = symbols.where("visibility = 'Public'")
+    return public.groupBy(F.col("path").alias("file")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("name", "id")))).alias("exports"))
+
+
+def message_text(content: Column) -> Column:
+    """The texts of a JSON list of typed blocks, one a line."""
+    blocks = F.from_json(content, "array<struct<type: string, text: string>>")
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"]), "\n")
