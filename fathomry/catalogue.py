@@ -983,3 +983,6 @@ def sink_vector_compact(spark, sf):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: lexical, semantic and graph channels fused by reciprocal rank."""
     return search_ticket(spark, sf_dir)
+
+
+from . import catalogue_facts  # noqa: E402, F401  registers its queries

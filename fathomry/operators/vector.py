@@ -66,3 +66,13 @@ def relative_cutoff(scores: DataFrame, k: int) -> DataFrame:
     kth = scores.orderBy(F.desc("score"), "id").limit(k).agg(F.min("score").alias("kth"))
     floor = F.when(F.col("kth") > 0, 0.9 * F.col("kth")).otherwise(F.col("kth"))
     return scores.crossJoin(F.broadcast(kth)).where(F.col("score") >= floor).drop("kth")
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, cluster, v): k-means by cosine from k-means|| starts; vectors without a length are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.where(norm(F.col("v")) > 0).withColumn("features", array_to_vector("v"))
+    model = KMeans(k=min(k, MOST_CENTRES), seed=seed, distanceMeasure="cosine", maxIter=100, tol=1e-4, predictionCol="cluster").fit(rows)
+    return model.transform(rows).select("id", "cluster", "v")

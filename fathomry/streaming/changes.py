@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,14 @@ def start_upsert(events: DataFrame, key: str, order: str, path: str, checkpoint:
         latest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/generation={epoch}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def bounded_bursts(events: DataFrame, key: str, quiet: int, most: int) -> DataFrame:
+    """(key, first, last, n): bursts of a key's events that lie less than `quiet` seconds apart, released after `most` seconds at the latest."""
+    by = Window.partitionBy(key).orderBy("ts")
+    starts = F.when(F.lag("ts").over(by).isNull() | (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by).cast("timestamp")) >= quiet * 1_000_000), 1).otherwise(0)
+    numbered = events.withColumn("starts", starts).withColumn("burst", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    age = micros - F.min(micros).over(Window.partitionBy(key, "burst"))
+    cut = numbered.withColumn("part", F.floor(age / (most * 1_000_000)))
+    return cut.groupBy(key, "burst", "part").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("burst", "part")
