@@ -985,4 +985,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_ticket(spark, sf_dir)
 
 
-from . import catalogue_facts  # noqa: E402, F401  registers its queries
+from . import catalogue_facts, catalogue_search  # noqa: E402, F401  register their queries

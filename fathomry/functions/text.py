@@ -118,3 +118,76 @@ def markdown_links(text: Column) -> Column:
 def digest(*parts: Column) -> Column:
     """SHA-256 of the parts, each with its length before it."""
     return F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
+def highlight(text: Column, words: list[str]) -> Column:
+    """Matches of words, whatever their case, between double asterisks; matches with only blanks between are one."""
+    marked = F.regexp_replace(text, "(?i)(" + "|".join(words) + ")", r"**$1**")
+    return F.regexp_replace(marked, r"\*\*([ \t]*)\*\*", "$1")
+
+
+def module_path(path: Column, root: str, prefix: str, separator: str) -> Column:
+    """A file's path as a module: without its extension, the source root replaced by `prefix`, `separator` between segments."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\.[a-z]+$", ""), f"^{root}", prefix)
+    return F.replace(bare, F.lit("/"), F.lit(separator))
+
+
+def parameter_type(signature: Column, name: str) -> Column:
+    """The type that a signature gives a parameter; empty if it has none."""
+    return F.regexp_extract(signature, rf"[(,]\s*{name}\s*:\s*&?\s*([A-Za-z_][A-Za-z0-9_]*)", 1)
+
+
+def declared_bases(signature: Column) -> Column:
+    """The base classes of a class signature, keyword arguments left out."""
+    inside = F.regexp_extract(signature, r"^\s*class\s+\w+\s*\(([^)]*)\)", 1)
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.contains("="))
+
+
+def receiver(context: Column) -> tuple[Column, Column]:
+    """(receiver, whether the call is static) of `receiver:...,static:...`."""
+    pattern = r"^receiver:([^,]*),static:(true|false)$"
+    return F.regexp_extract(context, pattern, 1), F.regexp_extract(context, pattern, 2) == "true"
+
+
+def parsed_kind(text: Column, known: dict[str, str], default: str) -> Column:
+    """The kind that a word names, whatever its case, else the default."""
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(names[F.lower(text)], F.lit(default))
+
+
+def segments(n: Column, most: int = 8) -> Column:
+    """At most `most` of `n` segments, sorted: the centre, the first, the last, and others evenly between."""
+    div = lambda a, b: F.floor(a / b).cast("int")
+    every = F.array(div(n, 2), F.lit(0), n - 1, *[div((n - 1) * k, most - 1) for k in range(1, most - 1)])
+    return F.slice(F.array_sort(F.array_distinct(every)), 1, most)
+
+
+def embedding_input(headings: Column, content: Column) -> Column:
+    """What is embedded of a chunk: its headings, a blank line, its text."""
+    return F.concat(F.array_join(headings, " > "), F.lit("\n\n"), content)
+
+
+def lexical_score(fields: list[tuple[Column, int]], terms: list[str]) -> tuple[Column, Column]:
+    """(terms found in any field, the sum of the weights of the fields they are found in)."""
+    found, weight = F.lit(0), F.lit(0)
+    for term in terms:
+        hits = [(F.array_contains(words, term), w) for words, w in fields]
+        any_of = hits[0][0]
+        for hit, _ in hits[1:]:
+            any_of |= hit
+        found += any_of.cast("int")
+        for hit, w in hits:
+            weight += hit.cast("int") * w
+    return found, weight
+
+
+def local_target(path: Column, target: Column) -> tuple[Column, Column]:
+    """(path, fragment) that a relative link leads to from a file; null for what has a scheme, is absolute or leaves the root."""
+    bare, fragment = F.split_part(target, F.lit("#"), F.lit(1)), F.split_part(target, F.lit("#"), F.lit(2))
+    folder = F.when(bare == "", path).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), bare))
+    parts = F.filter(F.split(folder, "/"), lambda x: (x != "") & (x != "."))
+    none = F.lit(None).cast("array<string>")
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(none)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(done.isNull(), none).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    outside = target.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)")
+    return F.when(~outside, F.array_join(walked, "/")), F.when(~outside & (fragment != ""), fragment)

@@ -98,3 +98,15 @@ def first_duplicate(rows: DataFrame, keys: tuple[str, ...], earliest: str) -> Da
     """Of rows with equal keys the earliest."""
     w = Window.partitionBy(*keys).orderBy(earliest)
     return rows.withColumn("k_", F.row_number().over(w)).where("k_ = 1").drop("k_")
+
+
+def community_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(community, members, repos, internal, boundary) of nodes (id, community, repo); an edge between two communities is a boundary of both."""
+    a, b = (nodes.select(F.col("id").alias(end), F.col("community").alias(c)) for end, c in (("src", "a"), ("dst", "b")))
+    met = edges.join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.count("*").alias("n"))
+    inside = F.col("a") == F.col("b")
+    sides = met.select(F.col("a").alias("community"), F.when(inside, F.col("n")).otherwise(0).alias("internal"), F.when(inside, 0).otherwise(F.col("n")).alias("boundary"))
+    sides = sides.union(met.where(~inside).select("b", F.lit(0), "n"))
+    totals = sides.groupBy("community").agg(F.sum("internal").alias("internal"), F.sum("boundary").alias("boundary"))
+    members = nodes.groupBy("community").agg(F.count("*").alias("members"), F.count_distinct("repo").alias("repos"))
+    return members.join(totals, "community").select("community", "members", "repos", "internal", "boundary")

@@ -54,3 +54,27 @@ def latest_per_key(rows: DataFrame, key: str, *order: Column | str) -> DataFrame
     """The last row of each key, by an aggregate."""
     others = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("x")).select(key, "x.*")
+
+
+def heading_stack(headings: DataFrame, key: str, at: str, level: str) -> DataFrame:
+    """Adds h1 to h3: the places of the headings above each; a heading ends those of its own level and deeper."""
+    upto = Window.partitionBy(key).orderBy(at)
+    last = {n: F.max(F.when(F.col(level) == n, F.col(at))).over(upto) for n in (1, 2, 3)}
+    out = headings.withColumns({f"p{n}": c for n, c in last.items()})
+    one, two = F.coalesce("p1", F.lit(-1)), F.coalesce("p2", F.lit(-1))
+    return out.withColumns({"h1": F.col("p1"), "h2": F.when(F.col("p2") > one, F.col("p2")), "h3": F.when(F.col("p3") > F.greatest(one, two), F.col("p3"))}).drop("p1", "p2", "p3")
+
+
+def first_per_key(rows: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+    """The first `n` rows of each key, with the number of those left out."""
+    by = Window.partitionBy(key)
+    numbered = rows.withColumns({"n_": F.row_number().over(by.orderBy(*order)), "omitted": F.greatest(F.count("*").over(by) - n, F.lit(0))})
+    return numbered.where(F.col("n_") <= n).drop("n_")
+
+
+def token_page(ranked: DataFrame, order: tuple[Column, ...], offset: int, limit: int) -> DataFrame:
+    """A page of at most 1000 ranked rows (id), with `position` and a `token` that changes when the ranking does."""
+    placed = within_budget(ranked, 1000).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    ids = F.array_sort(F.collect_list(F.struct("position", F.col("id").cast("string").alias("id"))))
+    token = placed.agg(F.sha2(F.array_join(F.transform(ids, lambda x: x["id"]), ","), 256).alias("token"))
+    return placed.where((F.col("position") > offset) & (F.col("position") <= offset + limit)).crossJoin(F.broadcast(token))
