@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokenize import PieceCache
-
 #: Bytes of text that one vectorised pass of a Python worker holds at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -140,34 +138,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Digests:
-    """Two independent 64-bit numbers for each word: the halves of its BLAKE2b digest under a secret key.
+    """Two independent 64-bit numbers for each word, by multilinear hashing under a secret key.
 
-    Whoever writes a text doesn't know the key, so no two words can be made to agree. Distinct words are told apart by
-    their very bytes, digested once and kept; beyond `keep` of them the table starts anew, which costs time only.
+    A lane is the upper half of the sum of a word's 32-bit parts, and its length, each times a secret 64-bit number of
+    the lane's own; two lanes make a number, which is then mixed. Any two words agree in one number with a chance of
+    2**-64, and as whoever writes a text doesn't know the key, no words can be made to agree.
     """
 
-    def __init__(self, key: bytes, keep: int = 1 << 18):
-        self.key = key
-        self.words = PieceCache(self._digest, keep)
-        self.table = np.empty((1 << 14, 2), np.uint64)
+    LANES = 4
+
+    def __init__(self, key: bytes):
+        self.key, self.drawn = key, 0
+        self.secret = np.empty((0, self.LANES), np.uint64)
+        self._draw(64)
 
-    def _digest(self, fresh: list[bytes]) -> list[list[int]]:
-        at = len(self.words.number)
-        while at + len(fresh) > len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        digests = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in fresh])
-        self.table[at : at + len(fresh)] = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        return [[]] * len(fresh)
+    def _draw(self, n: int) -> None:
+        """At least `n` rows of secret numbers: digests of a counter under the key."""
+        while len(self.secret) < n:
+            more = b"".join(hashlib.blake2b((self.drawn + i).to_bytes(8, "little"), key=self.key).digest() for i in range(max(32, len(self.secret) // 2)))
+            self.drawn += max(32, len(self.secret) // 2)
+            self.secret = np.concatenate([self.secret, np.frombuffer(more, "<u8").reshape(-1, self.LANES)])
 
     def of(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """[n, 2] of the words from `starts` to `stops` in bytes."""
-        numbers = self.words.numbers(raw, starts, stops)  # may make the table grow
-        return self.table[numbers]
+        size = stops - starts
+        self._draw(4 + 2 * -(-int(size.max(initial=0)) // 8))
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+        sums = [self.secret[0, x] + size.astype(np.uint64) * self.secret[1, x] for x in range(self.LANES)]
+        live, at, left, step = slice(None), starts, size, 2
+        while len(at):
+            part = eight[at]
+            short = left < 8
+            part = np.where(short, part & ((np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) << np.uint64(3))) - np.uint64(1)), part)
+            low, high = part & np.uint64(0xFFFFFFFF), part >> np.uint64(32)
+            for x in range(self.LANES):
+                sums[x][live] += low * self.secret[step, x] + high * self.secret[step + 1, x]
+            more = np.flatnonzero(left > 8)
+            live = more if isinstance(live, slice) else live[more]
+            at, left, step = at[more] + 8, left[more] - 8, step + 2
+        upper = np.uint64(0xFFFFFFFF00000000)
+        return np.stack([mix64((sums[x] & upper | sums[x + 1] >> np.uint64(32)) ^ self.secret[0, x]) for x in (0, 2)], axis=1)
 
 
 @lru_cache(maxsize=2)
 def digests_of(key: bytes) -> Digests:
-    """One table for each key in a worker process, kept between tasks."""
+    """One set of secret numbers for each key in a worker process."""
     return Digests(key)
 
 
