@@ -170,10 +170,10 @@ def filter_exclude_sources(spark, sf):
     return c.join(c.where("chunk_id < 10").select("source_path").distinct(), "source_path", "left_anti").select("chunk_id", "source_path")
 
 
-@query(S, "SELECT id FROM symbols WHERE 20 BETWEEN line AND line + 5")
+@query(S, "SELECT id FROM symbols WHERE (line < 20 OR line = 20 AND id % 10 <= 5) AND (line + 5 > 20 OR line + 5 = 20 AND id % 7 >= 5)")
 def pred_range_contains(spark, sf):
-    ranges = p.symbols(spark, sf).select("id", F.col("line").alias("start_line"), (F.col("line") + 5).alias("end_line"))
-    return lookup.contains_position(ranges, 20).select("id")
+    ends = {"start_line": F.col("line"), "start_column": F.col("id") % 10, "end_line": F.col("line") + 5, "end_column": F.col("id") % 7}
+    return lookup.contains_position(p.symbols(spark, sf).withColumns(ends), 20, 5).select("id")
 
 
 @query(S, "SELECT id FROM symbols WHERE path = 'Brand#3/promo/f2' OR module = 'promo.2' OR starts_with(module, 'promo.2.') OR starts_with('promo.2', module || '.') OR visibility = 'Public'")
@@ -192,9 +192,14 @@ def pred_usage_hier(spark, sf):
     return p.edges(spark, sf).select("src", "dst", "line", kind.isin("Calls", "Uses", "References").alias("is_usage"), kind.isin("Implements", "Extends").alias("is_hierarchical"))
 
 
-@query("SELECT page_id, contains(url, '/fr/') AS is_french, regexp_matches(url, '\\?') AS has_query FROM pages")
+NAMED = "CASE id % 6 WHEN 0 THEN '/main.rs' WHEN 1 THEN '/package.json' WHEN 2 THEN '/tests/x_test.py' WHEN 3 THEN '/readme.md' WHEN 4 THEN '/spec/a.rb' ELSE '/conf.yaml' END"
+
+
+@query(S, f"SELECT id, {', '.join(f"regexp_matches(path || {NAMED}, '{v}') AS {k}" for k, v in fx.PATHS.items())} FROM symbols")
 def pred_paths(spark, sf):
-    return p.table(spark, sf, "pages").select("page_id", F.col("url").contains("/fr/").alias("is_french"), F.col("url").rlike(r"\?").alias("has_query"))
+    names = F.array(*map(F.lit, ("/main.rs", "/package.json", "/tests/x_test.py", "/readme.md", "/spec/a.rb", "/conf.yaml")))
+    path = F.concat("path", F.element_at(names, (F.col("id") % 6 + 1).cast("int")))
+    return p.symbols(spark, sf).select("id", *[c.alias(n) for n, c in fx.path_kinds(path).items()])
 
 
 @query(S, "SELECT id, line + 1 AS line FROM symbols")
@@ -230,9 +235,13 @@ def lookup_dotted(spark, sf):
     return lookup.dotted(p.symbols(spark, sf), "small.4.cold ring")
 
 
-@query(S, "SELECT id, 'found' AS status FROM symbols WHERE id = 77")
+@query(S, "c AS (SELECT id, name, count(*) OVER (PARTITION BY name) AS n FROM symbols)", "SELECT 'symbol_id:77' AS target, id, 'found' AS status FROM symbols WHERE id = 77 UNION ALL SELECT name, id, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END FROM c WHERE name IN ('red widget', 'no such name')")
 def lookup_id_or_name(spark, sf):
-    return lookup.id_or_name(p.symbols(spark, sf), "symbol_id:77").select("id", "status")
+    found = None
+    for target in ("symbol_id:77", "red widget", "no such name"):
+        part = lookup.id_or_name(p.symbols(spark, sf), target).select(F.lit(target).alias("target"), "id", "status")
+        found = part if found is None else found.union(part)
+    return found
 
 
 @query(S, "SELECT id, name FROM symbols WHERE path = 'Brand#5/medium/f1'")
@@ -245,14 +254,16 @@ def lookup_by_module(spark, sf):
     return p.symbols(spark, sf).where("module = 'medium.1'").select("id", "name")
 
 
-@query(S, "SELECT id, name FROM symbols WHERE name = 'old bolt' AND line BETWEEN 10 AND 20")
+@query(S, "k AS (SELECT name, path, line FROM symbols WHERE id % 50 = 7)", "SELECT s.id, s.name FROM symbols s JOIN k ON k.name = s.name AND k.path = s.path AND k.line = s.line")
 def lookup_name_range(spark, sf):
-    return p.symbols(spark, sf).where("name = 'old bolt' and line between 10 and 20").select("id", "name")
+    s = p.symbols(spark, sf)
+    wanted = s.where("id % 50 = 7").select("name", "path", "line").distinct()
+    return s.join(wanted, ["name", "path", "line"], "left_semi").select("id", "name")
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id = 7")
+@query("SELECT page_id, url, sha256(html) AS hash, CAST(octet_length(encode(html)) AS INT) AS bytes FROM pages WHERE page_id = 7")
 def lookup_file_info(spark, sf):
-    return p.table(spark, sf, "pages").where("page_id = 7").select("page_id", "url")
+    return p.table(spark, sf, "pages").where("page_id = 7").select("page_id", "url", F.sha2("html", 256).alias("hash"), F.octet_length("html").alias("bytes"))
 
 
 @query(S, "SELECT id, path FROM symbols WHERE starts_with(path, 'Brand#9/')")
@@ -445,12 +456,13 @@ def join_contract_consumers(spark, sf):
     return m.select("c_custkey", F.when(F.col("candidates") == 1, F.col("first")).otherwise(-1).alias("provider"), "candidates")
 
 
-@query(OLD, LIVE, "SELECT o.path, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.hash = o.hash THEN 'matching_observed_hashes' ELSE 'stale' END AS status FROM old o LEFT JOIN live l ON l.path = o.path")
+@query(OLD, LIVE, "SELECT coalesce(o.path, l.path) AS path, CASE WHEN o.path IS NULL THEN 'not_recorded' WHEN o.path % 17 = 0 THEN 'unverifiable' WHEN l.path IS NULL THEN 'missing' WHEN l.hash = o.hash THEN 'matching_observed_hashes' ELSE 'stale' END AS status FROM old o FULL JOIN live l ON l.path = o.path")
 def join_provenance(spark, sf):
     old, live = _snapshots(spark, sf)
-    seen = live.select("path", F.col("hash").alias("observed"))
-    status = F.when(F.col("observed").isNull(), "missing").when(F.col("observed") == F.col("hash"), "matching_observed_hashes").otherwise("stale")
-    return old.join(seen, "path", "left").select("path", status.alias("status"))
+    told = old.withColumns({"hash": F.when(F.col("path") % 17 != 0, F.col("hash")), "recorded": F.lit(True)})  # some without a hash
+    both = told.join(live.select("path", F.col("hash").alias("observed")), "path", "full")
+    status = F.when(F.col("recorded").isNull(), "not_recorded").when(F.col("hash").isNull(), "unverifiable").when(F.col("observed").isNull(), "missing")
+    return both.select("path", status.when(F.col("observed") == F.col("hash"), "matching_observed_hashes").otherwise("stale").alias("status"))
 
 
 @query(V, "qs AS (SELECT id AS query, v AS q FROM vectors WHERE id < 8)", f"SELECT query, id, round({COS}, 6) AS score FROM vectors, qs WHERE {COS} >= 0.2")
@@ -552,9 +564,10 @@ def agg_risk(spark, sf):
     return c.select(F.col("dst").alias("id"), F.when((score >= 40) | (F.col("cross_n") >= 3), "high").when((score >= 12) | (F.col("cross_n") > 0), "medium").otherwise("low").alias("risk"))
 
 
-@query(S, E, "SELECT s.id, s.name, coalesce(o.n, 0) AS outgoing, CASE WHEN coalesce(o.n, 0) = 0 THEN 'medium' ELSE 'high' END AS confidence FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.id WHERE s.id NOT IN (SELECT dst FROM edges WHERE kind <> 'Defines')")
+@query(S, E, "SELECT s.id, s.name, coalesce(o.n, 0) AS outgoing, CASE WHEN coalesce(o.n, 0) = 0 THEN 'medium' ELSE 'high' END AS confidence FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.id WHERE s.id NOT IN (SELECT dst FROM edges WHERE kind = 'Calls') AND NOT (s.kind = 'PROMO' AND s.visibility = 'Public')")
 def agg_dead_code(spark, sf):
-    return agg.dead_code(p.edges(spark, sf), p.symbols(spark, sf))
+    pointing = p.edges(spark, sf).withColumn("kind", F.when(F.col("kind") == "Calls", "Calls").otherwise("Defines"))  # only calls keep a symbol alive
+    return agg.dead_code(pointing, p.symbols(spark, sf), (F.col("kind") == "PROMO") & (F.col("visibility") == "Public"))
 
 
 @query(C, "SELECT collection, count(DISTINCT source_path) AS files, count(*) AS chunks FROM chunks GROUP BY collection")
@@ -562,17 +575,20 @@ def agg_collection_stats(spark, sf):
     return p.chunks(spark, sf).groupBy("collection").agg(F.count_distinct("source_path").alias("files"), F.count("*").alias("chunks"))
 
 
-@query(S, V, "SELECT count(*) AS total, count(*) FILTER (visibility = 'Public') AS eligible, count(*) FILTER (visibility = 'Public' AND v.id IS NOT NULL) AS embedded FROM symbols s LEFT JOIN (SELECT id FROM vectors) v ON v.id = s.id")
+@query(S, V, "SELECT count(*) AS total, count(*) FILTER (visibility = 'Public') AS eligible, count(*) FILTER (visibility = 'Public' AND v.id IS NOT NULL) AS embedded, (SELECT count(*) FROM vectors WHERE id NOT IN (SELECT id FROM symbols)) AS without_symbol FROM symbols s LEFT JOIN (SELECT id FROM vectors) v ON v.id = s.id")
 def agg_semantic_coverage(spark, sf):
     v = p.vectors(spark, sf).select(F.col("id").alias("vid"))
     s = p.symbols(spark, sf)
     public = F.col("visibility") == "Public"
-    return s.join(v, s["id"] == v["vid"], "left").agg(F.count("*").alias("total"), F.count_if(public).alias("eligible"), F.count_if(public & F.col("vid").isNotNull()).alias("embedded"))
+    both = s.join(v, s["id"] == v["vid"], "full")
+    return both.agg(F.count("id").alias("total"), F.count_if(public).alias("eligible"), F.count_if(public & F.col("vid").isNotNull()).alias("embedded"), F.count_if(F.col("id").isNull()).alias("without_symbol"))
 
 
-@query(E, "SELECT src AS id, kind, count(DISTINCT dst) AS n, min(dst) AS first FROM edges GROUP BY src, kind")
+@query(E, "SELECT src AS id, kind, count(DISTINCT dst) AS n, array_to_string(list_sort(list(DISTINCT dst)), ',') AS targets FROM edges GROUP BY src, kind")
 def agg_group_deps(spark, sf):
-    return p.edges(spark, sf).groupBy(F.col("src").alias("id"), "kind").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("first"))
+    targets = F.array_sort(F.collect_set("dst"))
+    listed = p.edges(spark, sf).groupBy(F.col("src").alias("id"), "kind").agg(targets.alias("t"))
+    return listed.select("id", "kind", F.size("t").cast("long").alias("n"), F.array_join(F.col("t").cast("array<string>"), ",").alias("targets"))
 
 
 @query(S, E, "o AS (SELECT src AS id, count(*) FILTER (kind = 'Calls') AS calls, count(*) FILTER (kind = 'Uses') AS uses, count(*) FILTER (kind = 'Implements') AS implements FROM edges GROUP BY src)", "i AS (SELECT dst AS id, count(*) FILTER (kind = 'Calls') AS callers, count(*) FILTER (kind = 'Uses') AS used_by, count(*) FILTER (kind = 'Implements') AS implemented_by FROM edges GROUP BY dst)", "SELECT s.id, s.name, coalesce(calls, 0) AS calls, coalesce(uses, 0) AS uses, coalesce(implements, 0) AS implements, coalesce(callers, 0) AS callers, coalesce(used_by, 0) AS used_by, coalesce(implemented_by, 0) AS implemented_by FROM symbols s LEFT JOIN o USING (id) LEFT JOIN i USING (id)")
@@ -646,11 +662,19 @@ def win_first_dup(spark, sf):
     return agg.first_duplicate(rows, ("l_orderkey", "l_linenumber"), "l_partkey")
 
 
-@query(C, BM25, "s AS (SELECT id, score, collection AS source FROM scores JOIN chunks ON chunk_id = id)", "d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY score DESC, id) > 5 THEN 1 ELSE 0 END AS late FROM s)", "SELECT id, source FROM d ORDER BY late, score DESC, id LIMIT 40")
+@query(
+    C,
+    BM25,
+    "s AS (SELECT id, score, source_path AS source, id % 4 AS section FROM scores JOIN chunks ON chunk_id = id)",
+    "a AS (SELECT *, row_number() OVER (PARTITION BY source, section ORDER BY score DESC, id) = 1 AS is_first, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS nth FROM s)",
+    "b AS (SELECT *, sum(is_first::INT) OVER (PARTITION BY source ORDER BY score DESC, id) AS nth_first, sum(is_first::INT) OVER (PARTITION BY source) AS firsts FROM a)",
+    "c2 AS (SELECT *, is_first AND nth_first <= 5 AS taken FROM b)",
+    "d AS (SELECT *, sum((NOT taken)::INT) OVER (PARTITION BY source ORDER BY score DESC, id) AS nth_rest FROM c2)",
+    "SELECT id, source, CASE WHEN nth = 1 THEN 0 WHEN taken THEN 1 WHEN nth_rest <= 5 - least(5, firsts) THEN 2 ELSE 3 END AS round FROM d ORDER BY round, score DESC, id LIMIT 10",
+)
 def win_diversify(spark, sf):
-    c = p.chunks(spark, sf)
-    s = _bm25(spark, sf).join(c.select(F.col("chunk_id").alias("id"), F.col("collection").alias("source")), "id")
-    return ranking.diversify(s, 40, 5).select("id", "source")
+    c = p.chunks(spark, sf).select(F.col("chunk_id").alias("id"), F.col("source_path").alias("source"), (F.col("chunk_id") % 4).alias("section"))
+    return ranking.diversified(_bm25(spark, sf).join(c, "id"), 10, True).select("id", "source", "round")
 
 
 # top-k
@@ -684,17 +708,18 @@ def topk_rerank(spark, sf):
     return pool.join(cov, "id").orderBy(F.desc("coverage"), F.desc("score"), "id").limit(10).select("id", "coverage")
 
 
-@query(E, "f AS (SELECT * FROM edges WHERE kind = 'Calls')", "r AS (SELECT *, row_number() OVER (ORDER BY src, dst, line) AS position FROM f)", "SELECT src, dst, line, position::INT AS position, (SELECT count(*) FROM f) AS total FROM r WHERE position BETWEEN 11 AND 30")
+@query(E, "f AS (SELECT * FROM edges WHERE kind = 'Calls')", "r AS (SELECT *, row_number() OVER (ORDER BY src, dst, line) AS position FROM f)", "SELECT src, dst, line, position::INT AS position, (SELECT count(*) FROM f) AS total, CASE WHEN (SELECT count(*) FROM f) > 30 THEN 30 END AS next_offset FROM r WHERE position BETWEEN 11 AND 30")
 def topk_edge_page(spark, sf):
-    return lookup.page(p.edges(spark, sf).where("kind = 'Calls'"), 20, 10, ("src", "dst", "line")).select("src", "dst", "line", "position", "total")
+    rows = lookup.page(p.edges(spark, sf).where("kind = 'Calls'"), 20, 10, ("src", "dst", "line"))
+    return rows.select("src", "dst", "line", "position", "total", F.when(F.col("total") > 30, 30).alias("next_offset"))
 
 
 # sets
 
 
-@query(E, "SELECT DISTINCT dst AS id FROM edges WHERE src < 20 AND kind IN ('Calls', 'Uses') UNION SELECT DISTINCT src FROM edges WHERE dst < 20 AND kind IN ('Calls', 'Uses')")
+@query(E, "SELECT DISTINCT dst AS id FROM edges WHERE src < 20 AND kind IN ('Calls', 'Uses', 'Implements', 'Extends', 'References', 'DispatchCandidate') UNION SELECT DISTINCT src FROM edges WHERE dst < 20 AND kind IN ('Calls', 'Uses', 'Implements', 'Extends', 'References', 'DispatchCandidate')")
 def set_union_kinds(spark, sf):
-    e = p.edges(spark, sf).where("kind in ('Calls', 'Uses')")
+    e = p.edges(spark, sf).where(F.col("kind").isin(*graph.IMPACT_KINDS))
     return e.where("src < 20").select(F.col("dst").alias("id")).union(e.where("dst < 20").select("src")).distinct()
 
 
@@ -755,10 +780,9 @@ def fn_ngram(spark, sf):
     return p.symbols(spark, sf).select("name").distinct().select("name", F.explode(fx.ngrams(F.col("name"))).alias("gram"))
 
 
-@query(S, "SELECT DISTINCT name, CAST(levenshtein(name, 'red widgit') AS INT) AS distance FROM symbols WHERE levenshtein(name, 'red widgit') <= 2")
+@query(S, "SELECT DISTINCT name FROM symbols WHERE levenshtein(name, 'red wdiget') <= 1 OR " + " OR ".join(f"levenshtein(name, '{w}') <= 0" for w in fx.swaps("red wdiget")))
 def fn_fuzzy(spark, sf):
-    d = F.levenshtein("name", F.lit("red widgit"))
-    return p.symbols(spark, sf).select("name", d.alias("distance")).where("distance <= 2").distinct()
+    return p.symbols(spark, sf).select("name").distinct().where(fx.fuzzy(F.col("name"), "red wdiget", 1))
 
 
 @query(V, QV, f"SELECT id, round({COS}, 6) AS cosine FROM vectors, q")
@@ -818,16 +842,18 @@ def fn_md_links(spark, sf):
     return p.markdown(spark, sf).select("page_id", F.explode(fx.markdown_links(F.col("md"))).alias("target"))
 
 
-@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, CAST(epoch_us(ts) AS BIGINT) AS micros FROM events")
 def fn_epoch(spark, sf):
-    return p.events(spark, sf).select("event_id", F.unix_timestamp("ts").alias("seconds"))
+    return p.events(spark, sf).select("event_id", F.unix_timestamp("ts").alias("seconds"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
 
 
-@query(E, "SELECT DISTINCT kind, CASE kind WHEN 'Calls' THEN 'CalledBy' WHEN 'Uses' THEN 'UsedBy' WHEN 'Implements' THEN 'ImplementedBy' WHEN 'Extends' THEN 'ExtendedBy' WHEN 'References' THEN 'ReferencedBy' WHEN 'Defines' THEN 'DefinedIn' ELSE 'DispatchCandidateOf' END AS inverse FROM edges")
+@query(E, "SELECT DISTINCT kind, CASE kind WHEN 'Calls' THEN 'CalledBy' WHEN 'Uses' THEN 'UsedBy' WHEN 'Implements' THEN 'ImplementedBy' WHEN 'Extends' THEN 'ExtendedBy' WHEN 'References' THEN 'ReferencedBy' WHEN 'Defines' THEN 'DefinedIn' ELSE 'DispatchCandidateOf' END AS inverse FROM edges UNION ALL SELECT DISTINCT CASE kind WHEN 'Calls' THEN 'CalledBy' WHEN 'Uses' THEN 'UsedBy' WHEN 'Implements' THEN 'ImplementedBy' WHEN 'Extends' THEN 'ExtendedBy' WHEN 'References' THEN 'ReferencedBy' WHEN 'Defines' THEN 'DefinedIn' ELSE 'DispatchCandidateOf' END, kind FROM edges")
 def fn_inverse(spark, sf):
     names = {"Calls": "CalledBy", "Uses": "UsedBy", "Implements": "ImplementedBy", "Extends": "ExtendedBy", "References": "ReferencedBy", "Defines": "DefinedIn", "DispatchCandidate": "DispatchCandidateOf"}
+    names |= {b: a for a, b in names.items()}
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return p.edges(spark, sf).select("kind").distinct().withColumn("inverse", pairs[F.col("kind")])
+    kinds = p.edges(spark, sf).select("kind").distinct()
+    return kinds.union(kinds.select(pairs[F.col("kind")])).withColumn("inverse", pairs[F.col("kind")])
 
 
 @query(M, "SELECT id, array_to_string(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 0)).list_sort(), ' ') AS terms FROM messages WHERE octet_length(encode(text)) <= 4096 AND NOT regexp_matches(text, '[\\^\"~*():\\[\\]{}\\\\!+]') AND NOT regexp_matches(text, '(^|\\s)(AND|OR|NOT)(\\s|$)') AND len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 0))) >= 2")
@@ -896,10 +922,11 @@ def graph_kimpact(spark, sf):
     return graph.reach(back, seeds, 2)
 
 
-@query(E, "SELECT src, dst, line FROM edges WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)")
+@query(E, "k AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 9 <> 0)", "SELECT src, dst, line, src NOT IN (SELECT id FROM k) AS no_source, dst NOT IN (SELECT id FROM k) AS no_target FROM edges WHERE src NOT IN (SELECT id FROM k) OR dst NOT IN (SELECT id FROM k)")
 def graph_validate(spark, sf):
-    known = p.symbols(spark, sf).where("id % 9 <> 0").select(F.col("id").alias("src"))
-    return p.edges(spark, sf).join(known, "src", "left_anti").select("src", "dst", "line")
+    known = p.symbols(spark, sf).where("id % 9 <> 0").select("id", "name")
+    ends = joins.dump_endpoints(p.edges(spark, sf), known).where("orphan")
+    return ends.select("src", "dst", "line", F.col("from_name").isNull().alias("no_source"), F.col("to_name").isNull().alias("no_target"))
 
 
 # retrieval

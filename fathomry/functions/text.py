@@ -110,6 +110,34 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)
 
 
+def fuzzy(text: Column, word: str, most: int) -> Column:
+    """Whether a text is `most` edits from a word; two neighbouring characters in each other's place are one edit, once."""
+    out = F.levenshtein(text, F.lit(word)) <= most
+    if most > 0:
+        for swapped in swaps(word):
+            out |= F.levenshtein(text, F.lit(swapped)) <= most - 1
+    return out
+
+
+def swaps(word: str) -> list[str]:
+    """The word with each pair of unlike neighbours exchanged."""
+    return [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if word[i] != word[i + 1]]
+
+
+#: What a path tells of a file, by patterns.
+PATHS = {
+    "is_document": r"\.(md|mdx|txt|rst|adoc|html)$",
+    "is_config": r"\.(json|toml|ya?ml|ini|cfg)$",
+    "is_test": r"(^|/)(tests?|spec)(/|$)|[._-](test|spec)\.",
+    "is_manifest": r"(^|/)(package\.json|Cargo\.toml|go\.mod|pyproject\.toml|pom\.xml)$",
+    "is_entry": r"(^|/)(main|index|__main__|lib|mod)\.[a-z]+$",
+}
+
+
+def path_kinds(path: Column) -> dict[str, Column]:
+    return {name: path.rlike(pattern) for name, pattern in PATHS.items()}
+
+
 def markdown_links(text: Column) -> Column:
     """Targets of inline Markdown links."""
     return F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]*)\)"), 1)

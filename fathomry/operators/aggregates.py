@@ -77,8 +77,9 @@ def risk(direct: int, cross: int, total: int) -> str:
     return "high" if score >= 40 or cross >= 3 else "medium" if score >= 12 or cross else "low"
 
 
-def dead_code(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols that nothing but an owner points to, with their outgoing edges; none outgoing is medium confidence."""
+def dead_code(edges: DataFrame, symbols: DataFrame, entry: Column | None = None) -> DataFrame:
+    """Symbols that nothing but an owner points to and that are no entry points, with their outgoing edges; none outgoing is medium confidence."""
+    symbols = symbols if entry is None else symbols.where(~entry)
     used = edges.where("kind not in ('Defines')").select(F.col("dst").alias("id")).distinct()
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outgoing"))
     rest = symbols.join(used, "id", "left_anti").join(out, "id", "left").withColumn("outgoing", F.coalesce("outgoing", F.lit(0)))

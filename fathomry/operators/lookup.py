@@ -81,5 +81,8 @@ def visible_from(symbols: DataFrame, path: str, module: str) -> DataFrame:
     return symbols.where((F.col("path") == path) | inside | (F.col("visibility") == "Public"))
 
 
-def contains_position(ranges: DataFrame, line: int) -> DataFrame:
-    return ranges.where(F.lit(line).between(F.col("start_line"), F.col("end_line")))
+def contains_position(ranges: DataFrame, line: int, column: int = 0) -> DataFrame:
+    """Ranges (start_line, start_column, end_line, end_column) around a place, ends included."""
+    at = F.struct(F.lit(line).alias("l"), F.lit(column).alias("c"))
+    begin, end = (F.struct(F.col(f"{x}_line").cast("int").alias("l"), F.col(f"{x}_column").cast("int").alias("c")) for x in ("start", "end"))
+    return ranges.where((begin <= at) & (at <= end))

@@ -37,6 +37,27 @@ def diversify(scored: DataFrame, limit: int, quota: int) -> DataFrame:
     return scored.withColumn("late", late).orderBy("late", F.desc("score"), "id").limit(limit)
 
 
+def diversified(ranked: DataFrame, limit: int, prefer_sources: bool) -> DataFrame:
+    """(id, source, section, score, round): `limit` rows in four rounds, by score within a round.
+
+    First one row of each source (with `prefer_sources`), then first rows of other sections, then other rows, all while
+    their source has less than half of the limit, then whatever is left.
+    """
+    most = max(1, limit // 2)
+    order = (F.desc("score"), "id")
+    section, source = Window.partitionBy("source", "section"), Window.partitionBy("source")
+    rows = ranked.withColumns({"of_section": F.row_number().over(section.orderBy(*order)), "of_source": F.row_number().over(source.orderBy(*order))})
+    first = F.col("of_section") == 1
+    rows = rows.withColumns({"nth_first": F.sum(first.cast("int")).over(source.orderBy(*order)), "firsts": F.sum(first.cast("int")).over(source)})
+    taken = first & (F.col("nth_first") <= most)
+    rows = rows.withColumn("taken", taken)
+    nth_rest = F.sum((~F.col("taken")).cast("int")).over(source.orderBy(*order))
+    one = F.lit(prefer_sources) & (F.col("of_source") == 1)
+    round_ = F.when(one, 0).when(F.col("taken"), 1 if prefer_sources else 0).when(nth_rest <= most - F.least(F.lit(most), F.col("firsts")), 2).otherwise(3)
+    chosen = rows.withColumn("round", round_).orderBy("round", *order).limit(limit)
+    return chosen.select("id", "source", "section", "score", "round")
+
+
 def coverage(texts: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """Adds the number of distinct terms that a text has as whole words."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
