@@ -5,8 +5,8 @@ replaced by frequency ranks (0: the most frequent id of all files), `data` with
 with two bits a rank that tell how many. A folder beside it holds the ids in rank order. Blocks are decoded with
 numpy: a table gives the four lengths of a control byte, and masks cut the codes out of the data.
 
-Null texts count as empty; each document ends with `end_id`. Rows of one doc_id follow each other, ordered by their
-ids; null doc_ids come first. Repeated rows are written as often as they stand. Columns other than doc_id and text are
+Null texts count as empty; each document ends with `end_id`. Rows of one doc_id follow each other, in an order that
+their ids alone decide; null doc_ids come first. Repeated rows are written as often as they stand. Columns other than doc_id and text are
 not read. An empty table gives no blocks.
 """
 
@@ -203,7 +203,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, out: str, end_
         if ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # by a hash of the ids too, so that many rows of one doc_id, or of none, are dealt over many ranges
+    order = ("doc_id", "hash")
+    ordered = tokens.withColumn("hash", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{out}/blocks")
 
 

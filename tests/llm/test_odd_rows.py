@@ -123,3 +123,18 @@ def test_language_ties_and_odd_texts(spark, rows):
     assert got.columns == [*docs.columns, *langid.ADDED] and got.where("told <> 'told'").count() == 0
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(i for i, _ in rows)
     assert all(r["lang_pred"] == "und" and r["rejected"] for r in got.collect() if not (r["text"] or "").strip())
+
+
+def test_language_equals_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    contents = langid.dictionaries(docs.where(~langid.held_out()))
+    packers = {lang: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for lang, c in sorted(contents.items())}
+    for r in langid.identify(spark, docs).collect():
+        raw = r["text"].lower().encode()
+        step = -(-len(raw) // max(1, -(-len(raw) // 4096)))
+        size = {lang: sum(len(z.compress(raw[i : i + step])) for i in range(0, len(raw), step)) for lang, z in packers.items()}
+        best, second = sorted(size.values())[:2]
+        assert size[r["lang_pred"]] == best and abs(r["margin"] - (second - best) / second) < 1e-12
+        assert r["rejected"] == (r["margin"] < 0.004) and r["score"] == min(1.0, 10 * r["margin"])
