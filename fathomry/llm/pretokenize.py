@@ -159,7 +159,7 @@ class PieceCache:
     costs time only.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], keep: int = 3 << 17):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], keep: int = 1 << 17):
         self.merge, self.keep = merge, keep
         self._clear()
 
