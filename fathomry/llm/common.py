@@ -223,6 +223,20 @@ def _with_lowest(edges: DataFrame, low: DataFrame, bound: int) -> DataFrame:
     return tagged.where("m is not null").select("a", "b", "m").union(rest.select("a", "b", "m"))
 
 
+def join_hot(rows: DataFrame, told: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` (`total` of them) with what `told` says of their `key`: one row for each, with `n`, the number of rows that have it.
+
+    Keys of many rows are broadcast, so that a key with a third of all rows stays where its rows are.
+    """
+    bound = max(HUB, total // HUBS)
+    names = [c for c in told.columns if c not in (key, "n")]
+    part = lambda where: told.where(where).select(key, F.struct(*names).alias("told"))
+    tagged = rows.join(F.broadcast(part(F.col("n") > bound)), key, "left")  # at most HUBS rows
+    rest = tagged.where("told is null").select(*rows.columns).join(part(F.col("n") <= bound), key)
+    out = [*rows.columns, "told.*"]
+    return tagged.where("told is not null").select(*out).union(rest.select(*out))
+
+
 def components(spark: SparkSession, links: DataFrame, label: str) -> DataFrame:
     """Connected components of `links` (a, b of one type that has an order): (id, root), root the smallest id reachable.
 

@@ -204,7 +204,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     # nodes are ordered by their smallest vec_id, so the root's is the component's
     roots = roots.select(F.col("id.id").alias("class_id"), F.col("root.low").alias("root"))
     known = classes.join(counts, "class_id", "left").join(roots, "class_id", "left")
-    known = known.select(F.col("key"), F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"), F.lit(True).alias("known"))
-    component = F.when(F.col("known"), F.col("component")).otherwise(F.col("vec_id"))
-    out = each.join(known, "key", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).cast("long")
+    known = known.select("key", F.col("rows").alias("n"), links.alias("n_links"), F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component_id"))
+    linked = common.join_hot(each.where("key is not null"), known, "key", each.count()).select("vec_id", "n_links", "component_id")
+    out = linked.union(each.where("key is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

