@@ -352,8 +352,11 @@ def mark(spark: SparkSession, docs: DataFrame, width: int = WIDTH, batches: int
                 part = part.where(F.col("doc_id") > low)
             if high is not None:
                 part = part.where(F.col("doc_id") <= high)
-            index.add(part, compact=high is not None)  # nothing comes after the last
+            index.add(part, compact=False)
             common.release_shuffles(spark)
+            if high is not None and len(index.runs) > max_runs:  # nothing comes after the last; what the batch shuffled is gone by now
+                index.compact()
+                common.release_shuffles(spark)
         return common.staged(spark, index.marked(), "marked")
     finally:
         index.drop()
