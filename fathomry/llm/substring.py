@@ -9,7 +9,8 @@ table bucketed by that number, so that merging a new batch with old runs moves o
 2. buckets merge-join what was sent with each other and with all runs. A match is verified: the windows must also agree
    in a check. Fingerprint and check come from independent halves of keyed digests of the window's words, 96 bits
    together, and the key is secret, so that texts can't be written to collide. What an earlier document or run has is
-   marked, what is new becomes the next run;
+   marked, what is new becomes the next run. Marked windows stay in the bucket that found them, in one file, and are
+   dealt to their documents when they are read;
 3. when there are more than `max_runs` runs, they are merged into one and the old ones are emptied.
 
 The folder tells which runs count (a manifest, written after a run is complete), so an index can be opened again in
@@ -29,7 +30,8 @@ from __future__ import annotations
 
 import secrets
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +51,28 @@ MOST_BITS, MOST_FILES, MOST_HELD = 18, 1 << 15, 1 << 22
 
 SENT = "bucket int, n long, hashes binary, checks binary, doc_ids binary, rows binary, doc_of binary, at binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("hashes", "checks", "doc_ids", "rows", "doc_of", "at"))])
-#: kind 0: marked windows of the documents of one group, packed as they are sent. kind 1: a bucket's new fingerprints.
-KEPT = "bucket int, n long, hashes binary, checks binary, doc_group long, doc_ids binary, rows binary, doc_of binary, at binary, kind int"
-_KEPT_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("doc_group", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "rows", "doc_of", "at")), ("kind", pa.int32())])
+#: kind 0: marked windows that one bucket found or was sent, packed as they are sent. kind 1: a bucket's new fingerprints.
+KEPT = f"{SENT}, kind int"
+_KEPT_ARROW = _SENT_ARROW.append(pa.field("kind", pa.int32()))
+#: Marked windows on their way to their documents, packed as they are sent.
+_DEALT_ARROW = pa.schema([("doc_group", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "rows", "doc_of", "at"))])
+
+
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each in a process, as rows are many and short."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def shrink(values: np.ndarray) -> bytes:
     """An integer array as bytes: its byte planes, compressed."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _zstd()[0].compress(planes)
 
 
 def grow(blob: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(blob), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
@@ -116,13 +126,8 @@ class _Windows:
         first = rank[doc] == np.repeat(low, np.diff(np.append(lead, len(hashes))))
 
         def row(bucket: int, chosen: np.ndarray | slice, with_hashes: bool) -> list:
-            used, doc_of = np.unique(doc[chosen], return_inverse=True)
-            by_id = np.argsort(ids[used], kind="stable")
-            place = np.empty(len(used), np.uint32)
-            place[by_id] = np.arange(len(used), dtype=np.uint32)
-            used = used[by_id]
             h, c = (hashes[chosen], checks[chosen]) if with_hashes else (hashes[:0], checks[:0])
-            return [bucket, len(doc_of), shrink_sorted(h), shrink(c), shrink_sorted(ids[used]), shrink(rows[used]), shrink(place[doc_of]), shrink(at[chosen])]
+            return [bucket, len(at[chosen]), shrink_sorted(h), shrink(c), *_packed(ids, rows, doc[chosen], at[chosen])]
 
         out = []
         marked = np.flatnonzero(~first)
@@ -135,56 +140,82 @@ class _Windows:
         yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW).to_batches(64)
 
 
-def _emit_marked(out: dict, groups: int, ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
-    """A row for each group of documents that has marked windows."""
+def _packed(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Windows as they are sent: `doc_ids` and `rows` of their documents, `doc_of` and `at` of each; `doc` is a window's place in `ids` and `rows`."""
+    used, doc_of = np.unique(doc, return_inverse=True)
+    by_id = np.argsort(ids[used], kind="stable")
+    place = np.empty(len(used), np.uint32)
+    place[by_id] = np.arange(len(used), dtype=np.uint32)
+    used = used[by_id]
+    return [shrink_sorted(ids[used]), shrink(rows[used]), shrink(place[doc_of]), shrink(at)]
+
+
+def _by_document(packed: Iterable[tuple[bytes, bytes, bytes, bytes]], groups: int = 1) -> tuple[np.ndarray, ...]:
+    """Windows of packed rows by group and document: (group, id and row of each document, the n + 1 offsets of its windows, `at` of the windows, ascending)."""
+    ids, rows, doc, at, n = [], [], [], [], 0
+    for i, r, d, a in packed:
+        ids.append(grow_sorted(i, "<i8"))
+        rows.append(grow(r, "<i8"))
+        doc.append(grow(d, "<u4").astype(np.int64) + n)
+        at.append(grow(a, "<u4"))
+        n += len(ids[-1])
+    ids, rows, doc, at = (np.concatenate(x) for x in (ids, rows, doc, at))
     group = (common.mix64(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.lexsort((at, rows, ids, group))
-    group, ids, rows, at = group[order], ids[order], rows[order], at[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])[: len(ids)]
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    order = np.lexsort((rows, ids, group))
+    group, ids, rows = group[order], ids[order], rows[order]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])[:n]
+    place = np.empty(n, np.uint64)
+    place[order] = np.cumsum(new) - 1
+    doc = place[doc]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc.astype(np.int64), minlength=int(new.sum())))])
+    at = np.sort(doc << np.uint64(32) | at).astype("<u4")  # the lower half
+    return group[new], ids[new], rows[new], offsets, at
+
+
+def _deal(packed: list[tuple[bytes, bytes, bytes, bytes]], groups: int) -> Iterator[pa.RecordBatch]:
+    """A row for each group of documents that has windows in packed rows."""
+    group, ids, rows, offsets, at = _by_document(packed, groups)
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+    out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        lead = a + np.flatnonzero(new[a:b])
-        values = (int(group[a]), int(b - a), None, None, int(group[a]), shrink_sorted(ids[lead]), shrink(rows[lead]), shrink((np.cumsum(new[a:b]) - 1).astype(np.uint32)), shrink(at[a:b]), 0)
-        for c, v in zip(out, values, strict=True):
-            out[c].append(v)
+        doc_of = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(offsets[a : b + 1]))
+        out.append([int(group[a]), shrink_sorted(ids[a:b]), shrink(rows[a:b]), shrink(doc_of), shrink(at[offsets[a] : offsets[b]])])
+    yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _DEALT_ARROW, strict=True)], schema=_DEALT_ARROW).to_batches(64)
 
 
 def _unpack_marked(group: pa.Table) -> pa.Table:
     """A row for each document of a group: its marked windows from all buckets."""
     common.trim()
-    ids, rows, at = [], [], []
-    for i, r, d, a in zip(*(group[c].to_pylist() for c in ("doc_ids", "rows", "doc_of", "at")), strict=True):
-        doc_of = grow(d, "<u4")
-        ids.append(grow_sorted(i, "<i8")[doc_of])
-        rows.append(grow(r, "<i8")[doc_of])
-        at.append(grow(a, "<u4"))
-    ids, rows, at = (np.concatenate(x) for x in (ids, rows, at))
-    order = np.lexsort((at, rows, ids))
-    ids, rows, blob = ids[order], rows[order], at[order].tobytes()
-    edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]), [True]]))
-    values = [blob[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return pa.table({"doc_id": ids[edges[:-1]], "row": rows[edges[:-1]], "at": pa.array(values, pa.binary())})
+    _, ids, rows, offsets, at = _by_document(zip(*(group[c].to_pylist() for c in ("doc_ids", "rows", "doc_of", "at")), strict=True))
+    blob, cuts = at.tobytes(), (4 * offsets).tolist()
+    values = [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"doc_id": ids, "row": rows, "at": pa.array(values, pa.binary())})
+
 
+def _merge(key: tuple, sent: pa.Table, runs: pa.Table) -> pa.Table:
+    """Merge-joins what a batch sent to one bucket with itself and with the bucket's part of every run.
 
-def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
-    """Merge-joins what a batch sent to one bucket with itself and with the bucket's part of every run."""
+    All rows that come out are the bucket's, so that a bucket writes one file of marked windows and one of fingerprints.
+    """
     common.trim()
-    out = {c: [] for c in _KEPT_ARROW.names}
-    hashes, checks, ids, rows, at = [], [], [], [], []
+    bucket, out = key[0].as_py(), []
+    hashes, checks, ids, rows, doc, at, docs = [], [], [], [], [], [], 0
     for n, h, c, i, r, d, a in zip(*(sent[x].to_pylist() for x in sent.column_names[1:]), strict=True):
-        doc_ids, row, doc_of, a = grow_sorted(i, "<i8"), grow(r, "<i8"), grow(d, "<u4"), grow(a, "<u4")
         if len(got := grow_sorted(h, "<u8")):
             hashes.append(got)
             checks.append(grow(c, "<u4"))
-            ids.append(doc_ids[doc_of])
-            rows.append(row[doc_of])
-            at.append(a)
+            ids.append(grow_sorted(i, "<i8"))
+            rows.append(grow(r, "<i8"))
+            doc.append(grow(d, "<u4").astype(np.int32) + np.int32(docs))
+            at.append(grow(a, "<u4"))
+            docs += len(ids[-1])
         elif n:
-            _emit_marked(out, groups, doc_ids[doc_of], row[doc_of], a)
+            out.append([bucket, n, None, None, i, r, d, a, 0])
     if hashes:
-        hashes, checks, ids, rows, at = (np.concatenate(x) for x in (hashes, checks, ids, rows, at))
+        hashes, checks, ids, rows, doc, at = (np.concatenate(x) for x in (hashes, checks, ids, rows, doc, at))
         order = np.lexsort((checks, hashes))
-        hashes, checks, ids, rows, at = hashes[order], checks[order], ids[order], rows[order], at[order]
+        hashes, checks, doc, at = hashes[order], checks[order], doc[order], at[order]
+        rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)[doc]
         lead = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]))
         size = np.diff(np.append(lead, len(hashes)))
         own, own_check = hashes[lead], checks[lead]
@@ -201,16 +232,11 @@ def _merge(key: tuple, sent: pa.Table, runs: pa.Table, groups: int) -> pa.Table:
                 known[live[same]] = True
                 live = live[~same]
                 spot[live] += 1
-        marked = np.repeat(known, size) | (ids > np.repeat(np.minimum.reduceat(ids, lead), size))
-        _emit_marked(out, groups, ids[marked], rows[marked], at[marked])
-        out["kind"].append(1)
-        out["bucket"].append(key[0].as_py())
-        out["n"].append(int((~known).sum()))
-        out["hashes"].append(shrink_sorted(own[~known]))
-        out["checks"].append(shrink(own_check[~known]))
-        for c in ("doc_group", "doc_ids", "rows", "doc_of", "at"):
-            out[c].append(None)
-    return pa.table(out, schema=_KEPT_ARROW)
+        marked = np.repeat(known, size) | (rank > np.repeat(np.minimum.reduceat(rank, lead), size))
+        if marked.any():
+            out.append([bucket, int(marked.sum()), None, None, *_packed(ids, rows, doc[marked], at[marked]), 0])
+        out.append([bucket, int((~known).sum()), shrink_sorted(own[~known]), shrink(own_check[~known]), None, None, None, None, 1])
+    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_KEPT_ARROW)], schema=_KEPT_ARROW)
 
 
 def _compact(group: pa.Table) -> pa.Table:
@@ -221,7 +247,7 @@ def _compact(group: pa.Table) -> pa.Table:
     hashes, checks = hashes[order], checks[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])[: len(hashes)]
     common.trim()
-    return pa.table({"bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_group": [None], "doc_ids": [None], "rows": [None], "doc_of": [None], "at": [None], "kind": [1]}, schema=_KEPT_ARROW)
+    return pa.table({"bucket": [group["bucket"][0].as_py()], "n": [int(new.sum())], "hashes": [shrink_sorted(hashes[new])], "checks": [shrink(checks[new])], "doc_ids": [None], "rows": [None], "doc_of": [None], "at": [None], "kind": [1]}, schema=_KEPT_ARROW)
 
 
 class FingerprintIndex:
@@ -296,7 +322,7 @@ class FingerprintIndex:
 
         sent = docs.select("doc_id", "text", "row").mapInArrow(send, SENT)
         known = self._part(1, self.runs).select("bucket", "hashes", "checks")
-        merged = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda key, a, b: _merge(key, a, b, 1 << bits), KEPT)
+        merged = sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_merge, KEPT)
         run = self._save(merged)
         self.runs.append(run)
         self.batches.append(run)
@@ -314,8 +340,24 @@ class FingerprintIndex:
 
     def marked(self, batches: list[int] | None = None) -> DataFrame:
         """(doc_id, row, at) of batches (all, if none are named), once for each document: the first words of its marked windows."""
-        part = self._part(0, self.batches if batches is None else batches).select("doc_group", "doc_ids", "rows", "doc_of", "at")
-        return part.groupBy("doc_group").applyInArrow(_unpack_marked, "doc_id long, row long, at binary")
+        part = self._part(0, self.batches if batches is None else batches)
+        groups = 1 + (part.agg(F.sum("n")).first()[0] or 0) // BUCKET
+        limit = HELD
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                for more, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.append(packed)
+                    n += more
+                    if n >= limit:
+                        yield from _deal(held, groups)
+                        held, n = [], 0
+            if held:
+                yield from _deal(held, groups)
+
+        dealt = part.select("n", "doc_ids", "rows", "doc_of", "at").mapInArrow(deal, "doc_group long, doc_ids binary, rows binary, doc_of binary, at binary")
+        return dealt.groupBy("doc_group").applyInArrow(_unpack_marked, "doc_id long, row long, at binary")
 
     def close(self) -> None:
         """Forgets the table's name; the folder stays."""

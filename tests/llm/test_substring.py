@@ -115,3 +115,16 @@ def test_layout_is_kept(spark):
 
 def test_empty_table(spark):
     assert substring.dedup(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_bucket_writes_two_files_a_batch(spark, tmp_path):
+    # every document repeats the first, so each bucket finds windows of documents of every group
+    text = " ".join(f"w{i}" for i in range(3000))
+    index = substring.FingerprintIndex.create(spark, f"file://{tmp_path}/index", 5)
+    for low in (0, 40):
+        index.add(substring.keyed(spark.createDataFrame([(low + i, text) for i in range(40)], "doc_id long, text string").repartition(8)))
+    files = list((tmp_path / "index" / "runs").rglob("*.parquet"))
+    marked = {r["doc_id"]: len(r["at"]) // 4 for r in index.marked().collect()}
+    index.drop()
+    assert marked == {i: 2988 for i in range(1, 80)}
+    assert len(files) <= 2 * 2 * 2**5
