@@ -8,6 +8,7 @@ table. Boundaries then follow from the states and the symbols around a position.
 
 from __future__ import annotations
 
+import secrets
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -155,41 +156,98 @@ def piece_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class PieceCache:
     """Numbers of distinct pieces, and the token ids of each number, merged once and kept.
 
-    merge: the ids of each piece of a list. keep: the number of distinct pieces held; beyond it the table starts anew, which
-    costs time only.
+    Pieces of up to 16 bytes, nearly all, stand in arrays: a table with open addressing, by a hash whose factors are drawn for
+    each cache, so that no text is written to crowd it. A dictionary has the longer ones.
+
+    merge: the ids of each piece of a list. keep: the number of distinct pieces held; beyond it those that came only once go,
+    or all if that isn't enough, which costs time only.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], keep: int = 1 << 17):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], keep: int = 1 << 18):
         self.merge, self.keep = merge, keep
+        self.factors = np.frombuffer(secrets.token_bytes(24), "<u8") | np.uint64(1)
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.begin, self.used = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
-
-    def _look(self, pieces: list[bytes]) -> np.ndarray:
-        """The numbers of pieces; those not seen before are merged together and added."""
-        got = list(map(self.number.get, pieces))
-        fresh = list(dict.fromkeys(p for p, n in zip(pieces, got, strict=True) if n is None))
-        if fresh:
-            merged = self.merge(fresh)
-            sizes = np.fromiter(map(len, merged), np.int64, len(merged))
-            n, more = len(self.number), int(sizes.sum())
-            while n + len(fresh) + 2 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            while self.used + more > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(merged), np.int32, more)
-            self.begin[n + 1 : n + 1 + len(fresh)] = self.used + np.cumsum(sizes)
-            self.used += more
-            self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            got = list(map(self.number.__getitem__, pieces))
-        return np.array(got, np.int64)
+        self.ids, self.begin, self.used, self.count = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+        self.again = np.zeros(1 << 14, bool)  # what came more than once
+        self._table(1 << 15)
+
+    def _table(self, slots: int) -> None:
+        """An empty table; a size of 0 tells a free slot."""
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size, self.at = np.zeros(slots, np.uint8), np.zeros(slots, np.int32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        a, b, c = self.factors
+        return ((low * a + high * b + size.astype(np.uint64) * c) >> np.uint64(65 - len(self.size).bit_length())).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of short pieces, -1 for those that the table hasn't got."""
+        out, slot, live = np.full(len(low), -1, np.int64), self._slots(low, high, size), np.arange(len(low))
+        while len(live):
+            there = self.size[slot]
+            same = (there == size[live]) & (self.low[slot] == low[live]) & (self.high[slot] == high[live])
+            out[live[same]] = self.at[slot[same]]
+            on = (there != 0) & ~same
+            live, slot = live[on], slot[on] + 1 & len(self.size) - 1
+        return out
+
+    def _put(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds short pieces under new numbers."""
+        slots, n = len(self.size), int(np.count_nonzero(self.size)) + len(low)
+        if 4 * n > 3 * slots:  # at most three quarters are taken
+            full = np.flatnonzero(self.size)
+            low, high, size, numbers = (np.concatenate(x) for x in ((self.low[full], low), (self.high[full], high), (self.size[full], size), (self.at[full], numbers)))
+            self._table(1 << (4 * n // 3).bit_length())
+        slot, live = self._slots(low, high, size), np.arange(len(low))
+        while len(live):
+            free = np.flatnonzero(self.size[slot] == 0)
+            self.at[slot[free]] = numbers[live[free]]
+            won = free[self.at[slot[free]] == numbers[live[free]]]  # of several at one slot the last written
+            at, i = slot[won], live[won]
+            self.low[at], self.high[at], self.size[at] = low[i], high[i], size[i]
+            on = np.ones(len(live), bool)
+            on[won] = False
+            live, slot = live[on], slot[on] + 1 & len(self.size) - 1
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """New numbers of pieces, which are merged together."""
+        merged = self.merge(pieces)
+        sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+        n, more = self.count, int(sizes.sum())
+        while n + len(pieces) + 2 > len(self.begin):
+            self.begin, self.again = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.again, np.zeros_like(self.again)])
+        while self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(merged), np.int32, more)
+        self.begin[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
+        self.used += more
+        self.count += len(pieces)
+        return np.arange(n, self.count)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came more than once, if these leave room; the rest starts anew."""
+        full = np.flatnonzero(self.size)
+        full = full[self.again[self.at[full]]]
+        if 2 * len(full) > self.keep:
+            self._clear()
+            return
+        low, high, size, old = self.low[full], self.high[full], self.size[full], self.at[full]
+        begin, count = self.begin[old], self.begin[old + 1] - self.begin[old]
+        until = np.cumsum(count)
+        ids = self.ids[np.arange(int(count.sum())) + np.repeat(begin - (until - count), count)]
+        self._clear()
+        self.ids, self.used, self.count = np.concatenate([ids, self.ids]), len(ids), len(old)
+        self.begin = np.concatenate([[0], until, np.zeros_like(self.begin)])
+        self.again = np.zeros(len(self.begin), bool)
+        self._put(low, high, size, np.arange(len(old)))
 
     def numbers(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The number of each piece. Pieces of up to 16 bytes are grouped by their very bytes before the look-up."""
-        if len(self.number) > self.keep:
-            self._clear()
+        if self.count > self.keep:
+            self._forget()
         data, size = raw.tobytes(), stops - starts
         out = np.empty(len(starts), np.int64)
 
@@ -213,11 +271,21 @@ class PieceCache:
             new = np.ones(len(order), bool)
             new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (n[1:] != n[:-1])
             lead = np.flatnonzero(new)
-            a = s[order[lead]]
-            out[short[order]] = self._look(cut(a, a + n[lead]))[np.cumsum(new) - 1]
+            low, high, n, a = low[lead], high[lead], n[lead].astype(np.uint8), s[order[lead]]
+            found = self._find(low, high, n)
+            self.again[found[found >= 0]] = True
+            fresh = np.flatnonzero(found < 0)
+            if len(fresh):
+                found[fresh] = self._add(cut(a[fresh], a[fresh] + n[fresh]))
+                self._put(low[fresh], high[fresh], n[fresh], found[fresh])
+            out[short[order]] = found[np.cumsum(new) - 1]
         long = np.flatnonzero(size > 16)
         if len(long):
-            out[long] = self._look(cut(starts[long], stops[long]))
+            pieces = cut(starts[long], stops[long])
+            fresh = [p for p in dict.fromkeys(pieces) if p not in self.number]
+            if fresh:
+                self.number.update(zip(fresh, self._add(fresh).tolist(), strict=True))
+            out[long] = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         return out
 
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
