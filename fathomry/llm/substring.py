@@ -45,7 +45,7 @@ from . import common
 
 WIDTH = 13
 #: Windows that a task holds before it sends them, and windows in a bucket of one batch, on average.
-HELD, BUCKET = 1 << 20, 1 << 19
+HELD, BUCKET = 1 << 20, 1 << 18
 #: Bounds of the number of buckets, and of the files of a run; windows that a task holds at most, so that rows stay filled.
 MOST_BITS, MOST_FILES, MOST_HELD = 18, 1 << 15, 1 << 22
 

@@ -28,7 +28,7 @@ from . import common, pretokenize
 #: Ids in one block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: Bytes of text taken at a time: the larger, the more repeated pieces are looked up once.
-TOKENIZE_BYTES = 2 << 20
+TOKENIZE_BYTES = 1 << 20
 
 
 class LibraryTokenizer:
