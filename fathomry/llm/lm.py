@@ -4,8 +4,9 @@ One pass over the texts counts: tasks hold a chunk of documents at a time and se
 distinct words, bigrams and trigrams of the chunk that belong to it, with their training counts. Each bucket adds them
 up, builds its segment of the filter, and answers every chunk: the exact training count of each of its words, and the
 levels that the segment gives back for its n-grams. A chunk's documents travel as ranks of words; with the answers of
-all buckets they are scored. Nothing is broadcast, as the model grows with the corpus. A word in a third of all texts
-is one entry of a chunk.
+all buckets, which hold its words and the buckets' totals too, they are scored. Nothing is broadcast, as the model grows
+with the corpus, and nothing is staged: the disk holds what the two shuffles move. A word in a third of all texts is one
+entry of a chunk.
 
 The filter holds quantised counts: an n-gram seen c times has the level of the largest of LOWEST that is not above c.
 It is inserted once for each level up to its own, so a count is read back by probing level after level until one is
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .substring import grow, grow_sorted, shrink, shrink_sorted
+from .substring import grow, shrink
 
 #: Tokens that a task holds before it sends them, and tokens of a bucket on average; both grow up to MOST times with large
 #: corpora, as a chunk and a bucket have one row for each other.
@@ -66,12 +67,12 @@ LOWEST = _lowest()
 
 GRAMS = ("words", "bigrams", "trigrams")
 #: head: the documents of a chunk, with the bucket that its number falls into.
-HEAD = ("ids", "nulls", "trains", "n_tokens", "vocabulary", "tf", "ranks")
+HEAD = ("ids", "nulls", "trains", "n_tokens", "tf", "ranks")
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in HEAD), *((f"{g}{x}", pa.binary()) for g in GRAMS for x in ("", "_counts"))])
 SENT = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _SENT_ARROW.names[2:])
-#: kind 0: a bucket's answer to a chunk, and the chunk's head in one of them. 1: a bucket's totals.
-_GIVEN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in (*HEAD, "counts", *(f"{g}_levels" for g in GRAMS))), ("total", pa.int64()), ("distinct_words", pa.int64())])
-GIVEN = "kind int, bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _GIVEN_ARROW.names[3:-2]) + ", total long, distinct_words long"
+#: A bucket's answer to a chunk, with the chunk's words in it, the chunk's head in one of them, and the bucket's totals.
+_GIVEN_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in (*HEAD, "words", "counts", *(f"{g}_levels" for g in GRAMS))), ("total", pa.int64()), ("distinct_words", pa.int64())])
+GIVEN = "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in _GIVEN_ARROW.names[2:-2]) + ", total long, distinct_words long"
 
 
 def tokens_of(column: pa.Array, digests: common.Digests) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +114,46 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype("<u4")
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit numbers in Rice's code: the low bits of each gap as they are, the rest of it in unary.
+
+    Fingerprints are evenly spread, so this is within a tenth of a bit each of what they must take.
+    """
+    n = len(values)
+    if not n:
+        return b""
+    gaps = np.diff(values)
+    width = int(np.log2(max(1.0, gaps.mean()))) if n > 1 else 0
+    width = min(width, max(0, width - 1), key=lambda w: w * len(gaps) + int((gaps >> np.uint64(w)).sum()))
+    high = (gaps >> np.uint64(width)).astype(np.int64)
+    unary = np.zeros(int(high.sum()) + len(gaps), bool)
+    unary[np.cumsum(high + 1) - 1] = True
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    whole, odd = divmod(width, 8)
+    out = [bytes([width]), n.to_bytes(8, "little"), int(values[0]).to_bytes(8, "little"), planes[:, :whole].T.tobytes()]
+    if odd:
+        out.append(np.packbits(np.unpackbits(planes[:, whole : whole + 1], axis=1, count=odd, bitorder="little")).tobytes())
+    return b"".join([*out, np.packbits(unary).tobytes()])
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    whole, odd = divmod(blob[0], 8)
+    n, raw = int.from_bytes(blob[1:9], "little") - 1, np.frombuffer(blob, np.uint8)[17:]
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :whole] = raw[: whole * n].reshape(whole, n).T
+    raw = raw[whole * n :]
+    if odd:
+        planes[:, whole] = np.packbits(np.unpackbits(raw, count=odd * n).reshape(n, odd), axis=1, bitorder="little")[:, 0]
+        raw = raw[-(-odd * n // 8) :]
+    high = np.diff(np.flatnonzero(np.unpackbits(raw)), prepend=-1) - 1
+    out = np.empty(n + 1, np.uint64)
+    out[0] = int.from_bytes(blob[9:17], "little")
+    out[1:] = planes.view("<u8")[:, 0] | high.astype(np.uint64) << np.uint64(blob[0])
+    return np.cumsum(out, dtype=np.uint64)
+
+
 class _Counts:
     def __init__(self, bits: int, key: bytes):
         self.bits, self.digests = bits, common.digests_of(key)
@@ -143,14 +184,14 @@ class _Counts:
         rank = np.empty(len(words), np.int64)
         rank[np.argsort(-tf, kind="stable")] = np.arange(len(words))
         head = [shrink(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), np.packbits(trains).tobytes(), shrink(size.astype("<i8"))]
-        head += [shrink_sorted(words), shrink(_small(tf)), shrink(_small(rank[place]))]
+        head += [shrink(_small(tf)), shrink(_small(rank[place]))]
         edges = [np.searchsorted(h >> np.uint64(width - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(h)]) for h, _, width in grams]
         home = int(common.mix64(np.array([chunk + 1], np.uint64))[0]) & ((1 << self.bits) - 1)
         for b in range(1 << self.bits):
             row = [b, chunk, *(head if b == home else [None] * len(head))]
             for (hashes, counts, _), edge in zip(grams, edges, strict=True):
                 part = slice(edge[b], edge[b + 1])
-                row += [shrink_sorted(hashes[part]), shrink(_small(counts[part]))]
+                row += [pack_sorted(hashes[part]), shrink(_small(counts[part]))]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
         common.trim()
 
@@ -217,17 +258,17 @@ def _count(key: tuple, sent: pa.Table) -> pa.Table:
             out[c].append(row.get(c))
 
     bucket, rows = key[0].as_py(), sent.to_pylist()
-    found = [_summed([grow_sorted(r[g], "<u8") for r in rows], [grow(r[f"{g}_counts"], "<u4") for r in rows]) for g in GRAMS]
+    found = [_summed([unpack_sorted(r[g]) for r in rows], [grow(r[f"{g}_counts"], "<u4") for r in rows]) for g in GRAMS]
     # fingerprints of different orders are told apart by a bit that none of them has
     tagged = [(keys if n == 0 else keys | np.uint64(n << 62), level_of(counts)) for n, (keys, counts, _) in enumerate(found)]
     model = Filter(int(sum(levels.sum() for _, levels in tagged)))
     model.insert(*((keys[levels > 0], levels[levels > 0]) for keys, levels in tagged))
     known = [model.levels(keys) for keys, _ in tagged]
     counts = found[0][1]
+    totals = {"total": int(counts.sum()), "distinct_words": int((counts > 0).sum())}
     for i, row in enumerate(rows):
         answer = {f"{g}_levels": shrink(levels[places[i]]) for g, levels, (_, _, places) in zip(GRAMS, known, found, strict=True)}
-        put(kind=0, bucket=bucket, chunk=row["chunk"], **{c: row[c] for c in HEAD}, counts=shrink(counts[found[0][2][i]].astype("<i8")), **answer)
-    put(kind=1, bucket=bucket, total=int(counts.sum()), distinct_words=int((counts > 0).sum()))
+        put(bucket=bucket, chunk=row["chunk"], **{c: row[c] for c in (*HEAD, "words")}, counts=shrink(counts[found[0][2][i]].astype("<i8")), **answer, **totals)
     common.trim()
     return pa.table(out, schema=_GIVEN_ARROW)
 
@@ -245,9 +286,10 @@ def probabilities(first: np.ndarray, words: np.ndarray, bigrams: np.ndarray, tri
     return p
 
 
-def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
+def _gather(group: pa.Table) -> pa.Table:
     """The scores of a chunk's documents, from the answers of all buckets."""
     rows = group.sort_by("bucket").to_pylist()
+    total, distinct_words = (sum(r[x] for r in rows) for x in ("total", "distinct_words"))
     head = next(r for r in rows if r["ids"] is not None)
     size = grow(head["n_tokens"], "<i8")
     n = len(size)
@@ -256,7 +298,7 @@ def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
     exact = np.concatenate([grow(r["counts"], "<i8") for r in rows])
     levels = [np.concatenate([grow(r[f"{g}_levels"], "u1") for r in rows]) for g in GRAMS]
     place = np.argsort(-grow(head["tf"], "<u4").astype(np.int64), kind="stable")[grow(head["ranks"], "<u4")]
-    tokens = grow_sorted(head["vocabulary"], "<u8")[place]
+    tokens = np.concatenate([unpack_sorted(r["words"]) for r in rows])[place]
     told = [levels[0][place]]
     for (last, hashes), known in zip(ngram_hashes(tokens, size), levels[1:], strict=True):
         of = np.zeros(len(tokens), np.uint8)
@@ -265,8 +307,9 @@ def _gather(group: pa.Table, total: int, distinct_words: int) -> pa.Table:
     first = np.cumsum(size) - size
     p = probabilities(first, *told, total, distinct_words)
     sums = lambda x: np.add.reduceat(x, first)
+    base = sums(np.log10(exact + 1.0)[place]) - size * np.log10(float(total + distinct_words + 1))
     out = {"doc_id": pa.array(grow(head["ids"], "<i8"), mask=nulls), "held_out": ~trains, "n_tokens": size, "n_known": sums((exact > 0).astype(np.int64)[place])}
-    out |= {"part": sums(np.log10(exact + 1.0)[place]), "score": sums(np.log10(p))}
+    out |= {"train_tokens": np.full(n, total, np.int64), "base_score": base, "score": sums(np.log10(p))}
     common.trim()
     return pa.table(out)
 
@@ -294,10 +337,5 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if counts.held:
             yield from counts.send(chunk)
 
-    sent = docs.mapInArrow(send, SENT)
-    given = common.staged(spark, sent.groupBy("bucket").applyInArrow(_count, GIVEN), "counts")
-    total, vocabulary = (int(x or 0) for x in given.where("kind = 1").agg(F.sum("total"), F.sum("distinct_words")).first())
-    answers = given.where("kind = 0").drop("kind", "total", "distinct_words")
-    scored = answers.groupBy("chunk").applyInArrow(lambda table: _gather(table, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double")
-    base = F.col("part") - F.col("n_tokens") * F.log10(F.lit(float(total + vocabulary + 1)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    given = docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(_count, GIVEN)
+    return given.groupBy("chunk").applyInArrow(_gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
