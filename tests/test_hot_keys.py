@@ -64,7 +64,7 @@ def test_pairs_of_one_anchor_are_dealt_over_tasks(spark, hot, monkeypatch):
     assert len(got) > 50_000 and by_task.max() < 0.7 * by_task.sum()
 
 
-@pytest.mark.parametrize("name", ["join_disambiguate", "join_defines_containment", "join_import_tier"])
+@pytest.mark.parametrize("name", ["join_disambiguate", "join_language_tier", "join_defines_containment", "join_import_tier"])
 def test_no_pairs_are_made(spark, hot, name):
     equal_to_sql(spark, hot, name)
     catalogue.queries()[name](spark, hot).write.format("noop").mode("overwrite").save()
