@@ -69,3 +69,16 @@ def test_no_pairs_are_made(spark, hot, name):
     equal_to_sql(spark, hot, name)
     catalogue.queries()[name](spark, hot).write.format("noop").mode("overwrite").save()
     assert most_rows(spark) < 5 * 6000
+
+
+def test_islands_hold_no_table(spark):
+    from fathomry.operators import ranking
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(30)])) for _ in range(60)] + [(3, 7), (3, 7), (3, 8), (4, None), (4, None)]
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame(rows, columns=["k", "n"], dtype="Int64"))
+    want = con.execute("WITH r AS (SELECT DISTINCT k, n FROM t), g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM r) SELECT k, min(n), max(n), count(*) FROM g GROUP BY k, g").fetchall()
+    got = ranking.islands(spark.createDataFrame(rows, "k long, n long"), "k", "n")
+    assert plain(map(tuple, got.collect())) == plain(want)
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
