@@ -82,3 +82,22 @@ def test_islands_hold_no_table(spark):
     got = ranking.islands(spark.createDataFrame(rows, "k long, n long"), "k", "n")
     assert plain(map(tuple, got.collect())) == plain(want)
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_of_classes_come_in_batches(spark):
+    from fathomry.operators import resolution
+
+    rnd = random.Random(8)
+    rows = sorted({(a, rnd.randint(a + 1, a + 9)) for a in range(200) for _ in range(3)})
+    parents = [(a, b, rnd.randint(1, 2)) for a, b in rows]  # positions tie: the smaller parent comes first
+    lists = {}
+    for a, b, _ in sorted(parents, key=lambda r: (r[2], r[1])):
+        lists.setdefault(a, []).append(b)
+
+    def upto(a, depth):
+        return {a: lists[a]} | {k: v for b in lists[a] if depth and b in lists for k, v in upto(b, depth - 1).items()}
+
+    want = sorted((a, i, x) for a in lists for i, x in enumerate(resolution.c3(a, upto(a, 2)) or []))
+    got = resolution.mro(spark.createDataFrame(parents, "src long, dst long, position int"), 2)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
