@@ -101,3 +101,16 @@ def test_orders_of_classes_come_in_batches(spark):
     got = resolution.mro(spark.createDataFrame(parents, "src long, dst long, position int"), 2)
     assert sorted(map(tuple, got.collect())) == want
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _texts(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(5, 40)))) for i in range(400)] + [(1000, None), (1001, ""), (None, "a b")]
+    return spark.createDataFrame(rows, "id long, text string").repartition(2)
+
+
+def test_postings_travel_in_blocks(spark):
+    from fathomry.operators import aggregates
+
+    stored = aggregates.postings(_texts(spark), "id", {"text": "text"})
+    assert stored.count() <= 2 * 8
