@@ -114,3 +114,12 @@ def test_postings_travel_in_blocks(spark):
 
     stored = aggregates.postings(_texts(spark), "id", {"text": "text"})
     assert stored.count() <= 2 * 8
+
+
+def test_scores_do_not_follow_the_order_of_postings(spark):
+    from fathomry.operators import aggregates
+
+    t, fields = _texts(spark), {"text": "text"}
+    stored, sizes = aggregates.postings(t, "id", fields), aggregates.lengths(t, fields)
+    told = [sorted(map(tuple, aggregates.bm25_of(stored.repartition(1).sortWithinPartitions(order), sizes, list("badhc")).where("id is not null").collect())) for order in (F.asc("term"), F.desc("term"))]
+    assert len(told[0]) > 300 and told[0] == told[1]
