@@ -68,7 +68,7 @@ def test_pairs_of_one_anchor_are_dealt_over_tasks(spark, hot, monkeypatch):
 def test_no_pairs_are_made(spark, hot, name):
     equal_to_sql(spark, hot, name)
     catalogue.queries()[name](spark, hot).write.format("noop").mode("overwrite").save()
-    assert most_rows(spark) < 5 * 6000
+    assert most_rows(spark) < 5 * (6000 if name == "join_import_tier" else 1500)
 
 
 def test_islands_hold_no_table(spark):
@@ -121,5 +121,5 @@ def test_scores_do_not_follow_the_order_of_postings(spark):
 
     t, fields = _texts(spark), {"text": "text"}
     stored, sizes = aggregates.postings(t, "id", fields), aggregates.lengths(t, fields)
-    told = [sorted(map(tuple, aggregates.bm25_of(stored.repartition(1).sortWithinPartitions(order), sizes, list("badhc")).where("id is not null").collect())) for order in (F.asc("term"), F.desc("term"))]
+    told = [sorted(map(tuple, aggregates.bm25_of(stored.repartition(1).sortWithinPartitions(order).localCheckpoint(), sizes, list("badhc")).where("id is not null").collect())) for order in (F.asc("term"), F.desc("term"))]
     assert len(told[0]) > 300 and told[0] == told[1]
